@@ -91,28 +91,30 @@ def parse_rating(text: Column) -> Column:
     return F.when(value <= 5, value)
 
 
-def _label_count(label: Column) -> Column:
-    low = F.lower(label)
-    portuguese, english = rf"([\p{{Nd}}.]+){SPACE}*avaliaç", rf"([\p{{Nd}},]+){SPACE}*review"
-    group = F.when(low.rlike(portuguese), F.regexp_extract(low, portuguese, 1)).when(
-        low.rlike(english), F.regexp_extract(low, english, 1)
-    )
-    return ascii_digits(digits_only(group)).try_cast("int")
+def _counts(texts: Column) -> Column:
+    """Whole numbers of an array of digit texts; empty and unparsable ones become null."""
+    return F.transform(texts, lambda digits: ascii_digits(digits).try_cast("int"))
 
 
 def parse_review_count(labels: Column) -> Column:
     """Count named by the first label that carries one ("1.250 avaliações", "1,250 reviews"); else 0."""
-    counts = F.filter(F.transform(labels, _label_count), lambda n: n.isNotNull())
-    return F.coalesce(_first(counts), F.lit(0))
+    # The two ways a label names its count.
+    portuguese, english = rf"([\p{{Nd}}.]+){SPACE}*avaliaç", rf"([\p{{Nd}},]+){SPACE}*review"
+
+    def number(label: Column) -> Column:
+        found = F.coalesce(
+            absent_as_null(F.regexp_extract(label, portuguese, 1)), F.regexp_extract(label, english, 1)
+        )
+        return digits_only(found)
+
+    counts = _counts(F.transform(F.transform(labels, F.lower), number))
+    return F.coalesce(_first(F.filter(counts, lambda n: n.isNotNull())), F.lit(0))
 
 
 def review_count_from_spans(labelled: Column, spans: Column) -> Column:
     """Fallback when the labels gave 0: first comma-free span with a positive number."""
-    def count(span: Column) -> Column:
-        text = trim_ws(span)
-        return F.when(~text.contains(","), ascii_digits(digits_only(text)).try_cast("int"))
-
-    counts = F.filter(F.transform(spans, count), lambda n: n > 0)
+    whole = F.filter(spans, lambda span: ~span.contains(","))
+    counts = F.filter(_counts(F.transform(whole, digits_only)), lambda n: n > 0)
     return F.when(labelled != 0, labelled).otherwise(F.coalesce(_first(counts), F.lit(0)))
 
 
@@ -137,44 +139,56 @@ def pick_photo(sources: Column) -> Column:
     return F.regexp_replace(chosen, r"=w\p{Nd}+.*$", _PHOTO_SIZE)
 
 
-def _address_places(address: Column, country: Column) -> Column:
-    """Valid (city, state) pairs found in a Brazilian address; empty elsewhere."""
-    cities = F.transform(F.regexp_extract_all(address, F.lit(_CITY_UF), F.lit(1)), trim_ws)
-    states = F.regexp_extract_all(address, F.lit(_CITY_UF), F.lit(2))
-    pairs = F.zip_with(cities, states, lambda c, s: F.struct(c.alias("city"), s.alias("state")))
-    valid = F.filter(
-        pairs, lambda p: p["state"].isin(BR_STATES) & F.length(p["city"]).between(2, 40)
-    )
-    return F.when(present(address) & (country == "BR"), valid)
+def address_places(address: Column, country: Column) -> Column:
+    """Texts "- City - UF" of a Brazilian address that name a valid city and state; null elsewhere."""
+    def valid(match: Column) -> Column:
+        return F.right(match, F.lit(2)).isin(BR_STATES) & F.length(_city_in(match)).between(2, 40)
 
+    found = F.filter(F.regexp_extract_all(address, F.lit(_CITY_UF), F.lit(0)), valid)
+    return F.when(present(address) & (country == "BR"), found)
 
-def parse_city_state(address: Column, city: Column, state: Column, country: Column) -> Column:
-    """struct(city, state): the last valid pair of the address, else what was searched for."""
-    found = F.try_element_at(_address_places(address, country), F.lit(-1))
+
+def _city_in(match: Column) -> Column:
+    return trim_ws(F.regexp_extract(match, _CITY_UF, 1))
+
+
+def city_state_of(places: Column, city: Column, state: Column, country: Column) -> Column:
+    """struct(city, state): the last of :func:`address_places`, else what was searched for."""
+    found = F.try_element_at(places, F.lit(-1))
     searched_state = F.coalesce(
         absent_as_null(state), F.when(country == "BR", F.lit("SP")).otherwise("")
     )
     return F.struct(
-        F.coalesce(found["city"], city).alias("city"),
-        F.coalesce(found["state"], searched_state).alias("state"),
+        F.coalesce(_city_in(found), city).alias("city"),
+        F.coalesce(F.right(found, F.lit(2)), searched_state).alias("state"),
     )
 
 
+def parse_city_state(address: Column, city: Column, state: Column, country: Column) -> Column:
+    """struct(city, state): the last valid pair of the address, else what was searched for."""
+    return city_state_of(address_places(address, country), city, state, country)
+
+
 def parse_neighborhood(address: Column) -> Column:
     """First dash-delimited part of the address, stripped; null without one."""
     return F.when(address.rlike(_NEIGHBORHOOD), trim_ws(F.regexp_extract(address, _NEIGHBORHOOD, 1)))
 
 
-def city_confirmed(address: Column, city: Column, country: Column) -> Column:
-    """Whether the address supports the searched city: no address, a valid pair, or the city's name in it.
-
-    Outside Brazil an address never confirms anything.
-    """
+def confirmed_by(places: Column, address: Column, city: Column, country: Column) -> Column:
+    """:func:`city_confirmed` for known :func:`address_places`."""
     folded = ascii_fold_inner(address)
     mentioned = (folded != "") & folded.contains(ascii_fold(city))
     return (
         F.when(~present(address), True)
-        .when(F.coalesce(country == "BR", F.lit(False)),
-              (F.size(_address_places(address, country)) > 0) | mentioned)
+        .when(F.size(places) > 0, True)
+        .when(country == "BR", mentioned)
         .otherwise(False)
     )
+
+
+def city_confirmed(address: Column, city: Column, country: Column) -> Column:
+    """Whether the address supports the searched city: no address, a valid pair, or the city's name in it.
+
+    Outside Brazil an address never confirms anything.
+    """
+    return confirmed_by(address_places(address, country), address, city, country)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 # The characters Python's str.strip() and re's \s treat as white space, by rule.
 SPACES = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 # The same set for use inside a regular-expression character class.
-SPACE_CHARS = "".join(f"\\x{{{ord(ch):X}}}" for ch in SPACES)
+SPACE_CHARS = r"\s\x1C-\x1F\x{85}\p{Z}"
 SPACE = f"[{SPACE_CHARS}]"
 
 
@@ -94,7 +94,7 @@ def _ascii_lower(col: Column) -> Column:
 
 def ascii_digits(col: Column) -> Column:
     """Decimal digits of any script as 0-9, so that casts accept what int() accepts."""
-    return _translate(col, _DIGIT_FOLDS)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), _translate(col, _DIGIT_FOLDS)).otherwise(col)
 
 
 def digits_only(col: Column) -> Column:

@@ -30,10 +30,9 @@ def put_places(cache: DataFrame, leads: DataFrame, ttl_s: int = CACHE_TTL_S) ->
         place_key(F.col("url")).alias("key"), "url", "lead", "cached_at", F.lit(ttl_s).alias("ttl_s")
     )
     merged = cache.select(*written.columns).unionByName(written)
-    value = F.struct("url", "lead", "cached_at", "ttl_s")
-    # The address breaks ties of equal times, so that the outcome does not depend on partitions.
-    latest = merged.groupBy("key").agg(F.max_by(value, F.struct("cached_at", "url")).alias("_v"))
-    return latest.select("key", "_v.*")
+    # The whole value breaks ties of equal times, so that the outcome does not depend on partitions.
+    latest = merged.groupBy("key").agg(F.max(F.struct("cached_at", "url", "lead", "ttl_s")).alias("_v"))
+    return latest.select("key", "_v.url", "_v.lead", "_v.cached_at", "_v.ttl_s")
 
 
 def invalidate_places(cache: DataFrame, urls: DataFrame) -> DataFrame:

@@ -34,21 +34,23 @@ def build_leads(raw: DataFrame) -> DataFrame:
     """
     c = F.col
     labelled = fx.parse_review_count(c("review_labels"))
-    place = fx.parse_city_state(c("address"), c("search_city"), c("search_state"), c("country"))
-    first = raw.withColumns(
+    search = (c("search_city"), c("search_state"), c("country"))
+    # Intermediate columns that several fields share are computed once, in a projection of their own.
+    shared = raw.withColumns({"_places": fx.address_places(c("address"), c("country")), "_labelled": labelled})
+    first = shared.withColumns(
         {
             "category": fx.category_or_keyword(c("category_raw"), c("keyword")),
             "address": F.coalesce("address", F.lit("")),
             "neighborhood": fx.parse_neighborhood(c("address")),
-            "_place": place,
+            "_place": fx.city_state_of(c("_places"), *search),
             "phone": phone_out(clean_phone(c("phone_raw"))),
             "website": fx.canonical_site(c("site_href")),
             "instagram": fx.pick_instagram(c("instagram_links")),
             "rating": fx.parse_rating(c("rating_raw")),
-            "review_count": fx.review_count_from_spans(labelled, c("rating_spans")),
+            "review_count": fx.review_count_from_spans(c("_labelled"), c("rating_spans")),
             "hours": fx.hours_first_line(c("hours_raw")),
             "photo_url": fx.pick_photo(c("photos")),
-            "_city_confirmed": fx.city_confirmed(c("address"), c("search_city"), c("country")),
+            "_city_confirmed": fx.confirmed_by(c("_places"), c("address"), c("search_city"), c("country")),
         }
     )
     presence = (c("website"), c("instagram"), c("phone"))

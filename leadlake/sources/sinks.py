@@ -83,13 +83,15 @@ def read_place_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLACE_CACHE).parquet(path)
 
 
-def write_result_cache(meta: DataFrame, entries: DataFrame, path: str) -> None:
-    """Write both tables, split by the first two characters of the hash.
+def write_result_cache(meta: DataFrame, entries: DataFrame, path: str, part_chars: int = 2) -> None:
+    """Write both tables, split by the first characters of the hash (16 parts per character).
 
-    With dynamic partition overwrite, a refresh touches only the parts it contains.
+    With dynamic partition overwrite, a refresh touches only the parts it contains, so
+    large caches want small parts.
     """
     for table, name in ((meta, "meta"), (entries, "entries")):
-        parted = table.withColumn("part", F.left("hash", F.lit(2)))
+        # Rebalancing gives each part few files and splits one that is very large.
+        parted = table.withColumn("part", F.left("hash", F.lit(part_chars))).hint("rebalance", "part")
         parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
             f"{path}/{name}"
         )

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadlake.session import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -164,7 +166,7 @@ DERIVED: dict[str, str] = {
     # Writes into the place cache, many per address.
     "place_writes": f"""
         select ' HTTPS://www.google.com/maps/place/P' || cast(l_partkey as string) as url,
-               l_suppkey as supplier, max({NOW_SQL} - (l_orderkey % 700) * 1500 - l_linenumber) as cached_at
+               l_suppkey as supplier, max({NOW_SQL} - (l_orderkey % 700) * 1500 - l_linenumber - cast(l_suppkey as double) / 16384) as cached_at
         from @lineitem group by l_partkey, l_suppkey""",
     # Finished searches and their leads.
     "searches": f"""
@@ -189,16 +191,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived (or driver) table as a DataFrame."""
+def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A derived (or driver) table as a DataFrame; ``heavy`` prepares small files for costly expressions."""
     if name in BASE:
-        return table(spark, sf_dir, name)
+        return spread(table(spark, sf_dir, name)) if heavy else table(spark, sf_dir, name)
     text = DERIVED[name].replace("LIST(", "array(").replace(
         "EPOCH_US(ts)", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
     )
     text = re.sub(r"[{}]", lambda m: m.group() * 2, text)
     used = sorted(set(_NAME.findall(text)))
-    return spark.sql(_NAME.sub(r"{\1}", text), **{n: derived(spark, sf_dir, n) for n in used})
+    return spark.sql(_NAME.sub(r"{\1}", text), **{n: derived(spark, sf_dir, n, heavy) for n in used})
 
 
 def _needed(text: str, seen: list[str]) -> list[str]:

@@ -90,7 +90,7 @@ def placed(spark, sf):
     jobs = derived(spark, sf, "jobs").select(
         "job_id", "keyword", c("city").alias("search_city"), c("state").alias("search_state"), "country", "max_results"
     )
-    return derived(spark, sf, "places").join(jobs, "job_id")
+    return derived(spark, sf, "places", heavy=True).join(jobs, "job_id")
 
 
 QUERIES, ORACLES = {}, {}
@@ -99,7 +99,7 @@ QUERIES, ORACLES = {}, {}
 def projection(name, source, keys, build, oracle_columns, extra=()):
     """Register a query that adds columns to a derived table, with its oracle."""
     def query(spark, sf):
-        rows = placed(spark, sf) if source == "placed" else derived(spark, sf, source)
+        rows = placed(spark, sf) if source == "placed" else derived(spark, sf, source, heavy=source in ("places", "documents"))
         return rows.select(*keys, *[col.alias(alias) for alias, col in build().items()])
 
     QUERIES[name] = query

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from workload import normalise
+from workload import aggregates, diagnose, lookups, normalise
 
 QUERIES, ORACLES = {}, {}
-for module in (normalise,):
+for module in (normalise, diagnose, lookups, aggregates):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
-FLAGSHIP = next(iter(QUERIES.values()))
+FLAGSHIP = diagnose.presence_by_nation
