@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadlake.operators.ordered import with_rank
 
@@ -46,7 +47,7 @@ def assign_flush_batches(
 
     placed = steps.join(entries, ["job_id", "_block"], "left").select(
         "job_id", "_block", "_rank", "_t",
-        F.coalesce("_entry", F.lit(0)).alias("_entry"), F.coalesce("_base", F.lit(0)).alias("_base"),
+        F.coalesce("_entry", F.lit(0).cast("bigint")).alias("_entry"), F.coalesce("_base", F.lit(0).cast("bigint")).alias("_base"),
     )
     in_order = placed.repartition("job_id", "_block").sortWithinPartitions("job_id", "_block", "_rank")
     schema = placed.select("job_id", "_rank", F.col("_base").alias("batch_no")).schema
@@ -60,11 +61,11 @@ def _block_entries(steps: DataFrame, size: int, timeout_s: float, block_rows: in
     ahead = head.withColumn("_block", F.col("_block") - 1).withColumn("_own", F.lit(False))
     walk = steps.withColumn("_own", F.lit(True)).unionByName(ahead)
 
-    key = steps.select("job_id", "_block").schema
-    exits_schema = key.add("_exits", "array<int>").add("_counts", "array<bigint>")
+    numbers = T.ArrayType(T.LongType())
+    exits_schema = steps.select("job_id", "_block").schema.add("_exits", numbers).add("_counts", numbers)
     exits = walk.groupBy("job_id", "_block").applyInPandas(_block_exits(size, timeout_s), exits_schema)
 
-    entry_schema = steps.select("job_id", "_block").schema.add("_entry", "int").add("_base", "bigint")
+    entry_schema = steps.select("job_id", "_block").schema.add("_entry", T.LongType()).add("_base", T.LongType())
     in_order = exits.repartition("job_id").sortWithinPartitions("job_id", "_block")
     return in_order.mapInPandas(_chain_blocks, entry_schema)
 

@@ -36,12 +36,14 @@ def dedup_leads(
     city: str = "city",
     phone: str = "phone",
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Greedy ordered removal by two keys, per ``scope``.
 
     In ``order`` (unique inside a scope), a row is dropped when an earlier *kept* row has
     the same normalised name and city, or the same non-empty phone. Dropped rows
-    register nothing.
+    register nothing. ``largest`` is a known bound on the rows of a scope (after a cap);
+    without one the sizes are looked up.
     """
     keyed = leads.select(
         scope,
@@ -50,11 +52,13 @@ def dedup_leads(
         norm_text(F.col(city)).alias("_city"),
         absent_as_null(phone_key(F.col(phone))).alias("_phone"),
     )
-    kept = greedy_keep(keyed, scope, order, group_rows)
+    kept = greedy_keep(keyed, scope, order, group_rows, largest)
     return leads.join(kept, [scope, order], "left_semi").select(*leads.columns)
 
 
-def greedy_keep(keyed: DataFrame, scope: str, order: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def greedy_keep(
+    keyed: DataFrame, scope: str, order: str, group_rows: int = GROUP_ROWS, largest: int | None = None
+) -> DataFrame:
     """(scope, order) of the rows the greedy rule keeps; ``_name``, ``_city``, ``_phone`` are the keys.
 
     Rows equal in all keys can only be represented by the earliest, so an aggregate
@@ -63,7 +67,8 @@ def greedy_keep(keyed: DataFrame, scope: str, order: str, group_rows: int = GROU
     """
     names = [scope, "_name", "_city"]
     slim = keyed.groupBy(*names, "_phone").agg(F.min(order).alias(order))
-    largest = slim.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = slim.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
         return _decide_in_order(slim, scope, order)
 

@@ -13,6 +13,7 @@ from leadlake.operators.filters import drop_captcha_pages, drop_nameless, drop_u
 from leadlake.operators.limits import cap_per_job
 from leadlake.operators.lookup import backfill_from_feed, lookup_place_cache
 from leadlake.schemas import LEAD_COLUMNS
+from leadlake.session import materialize
 from leadlake.sources.pages import extract_place_fields, place_raw
 
 # Columns that travel with a lead but are not part of it.
@@ -97,7 +98,6 @@ def leads_from_pages(
     pages: DataFrame,
     place_cache: DataFrame | None = None,
     now: float = 0.0,
-    largest: int | None = None,
 ) -> DataFrame:
     """All leads a set of jobs delivers, in the order of their feeds.
 
@@ -105,19 +105,29 @@ def leads_from_pages(
     filters, completion from the cards, cap, lead dedup. The cap after the dedup of the
     original order can never bind (kept leads never outnumber found ones) and is left out.
     """
-    found = leads_before_dedup(jobs, cards, pages, place_cache, now, largest)
-    return dedup_leads(cap_per_job(found, largest=largest))
+    largest = largest_request(jobs)
+    return dedup_leads(found_leads(jobs, cards, pages, place_cache, now, largest), largest=largest)
 
 
-def leads_before_dedup(
-    jobs: DataFrame, cards: DataFrame, pages: DataFrame, place_cache: DataFrame | None, now: float, largest: int | None
+def largest_request(jobs: DataFrame) -> int:
+    return jobs.agg(F.max("max_results")).first()[0] or 0
+
+
+def found_leads(
+    jobs: DataFrame, cards: DataFrame, pages: DataFrame, place_cache: DataFrame | None, now: float, largest: int
 ) -> DataFrame:
+    """Leads of the jobs before the lead dedup.
+
+    Written once: later steps read them more than once, and parsing pages again would
+    cost far more than the table.
+    """
     links = feed_links(cards, jobs, largest)
     hits, misses = (None, links) if place_cache is None else lookup_place_cache(links, place_cache, now)
     context = misses.select(*CONTEXT)
     raw = context.join(extract_pages(pages, misses), "url", "inner")
-    fresh = backfill_from_feed(accepted_leads(build_leads(raw)), misses)
-    if hits is None:
-        return fresh
-    cached = hits.select(*CONTEXT, F.lit(True).alias("_hit"), "lead.*").drop("_hit")
-    return fresh.unionByName(cached.select(*fresh.columns))
+    found = backfill_from_feed(accepted_leads(build_leads(raw)), misses)
+    if hits is not None:
+        cached = hits.select(*CONTEXT, *[F.col(f"lead.{name}").alias(f"_{name}") for name in LEAD_COLUMNS])
+        renamed = cached.select(*CONTEXT, *[F.col(f"_{name}").alias(name) for name in LEAD_COLUMNS])
+        found = found.unionByName(renamed.select(*found.columns))
+    return materialize(cap_per_job(found, largest=largest), "found-leads")

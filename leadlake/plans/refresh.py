@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from leadlake.operators.cache import CACHE_TTL_S, put_results, refresh_index
 from leadlake.operators.filters import valid_refresh_request
-from leadlake.operators.limits import STALE_BATCH, cap_per_job, stale_entries
-from leadlake.plans.leads import leads_before_dedup
+from leadlake.operators.limits import STALE_BATCH, stale_entries
+from leadlake.plans.leads import found_leads, largest_request
 from leadlake.schemas import LEAD_COLUMNS
+from leadlake.session import materialize
 from leadlake.sources.jobs import search_jobs
 
 
@@ -33,8 +34,9 @@ def refresh_cycle(
 
     Refreshed leads skip the lead dedup. Entries that yield no leads stay as they are.
     """
-    jobs = refresh_requests(meta, now, age_s, limit)
-    leads = cap_per_job(leads_before_dedup(jobs, cards, pages, None, now, None)).select(
+    # At most ``limit`` searches; written so that the stale list is chosen once.
+    jobs = materialize(refresh_requests(meta, now, age_s, limit), "refresh-requests")
+    leads = found_leads(jobs, cards, pages, None, now, largest_request(jobs)).select(
         F.col("job_id").alias("search_id"), "n", F.struct(*LEAD_COLUMNS).alias("lead")
     )
     searches = jobs.withColumn("cached_at", F.lit(now))

@@ -26,6 +26,7 @@ log = logging.getLogger(__name__)
 
 # Fixed value: seconds between deliveries.
 TRIGGER = "3 seconds"
+EPOCH = T.StructField("epoch", T.IntegerType())
 OnLeads = Callable[[DataFrame, int], None]
 
 
@@ -54,8 +55,9 @@ def admit_epoch(found: DataFrame, out: str, epoch: int) -> DataFrame:
     (job_id, n, max_results) and the lead columns.
     """
     spark = found.sparkSession
-    count_schema = T.StructType([found.schema["job_id"]]).add("found", "bigint").add("epoch", "int")
-    key_schema = T.StructType([found.schema["job_id"]]).add("_name", "string").add("_city", "string").add("_phone", "string").add("epoch", "int")
+    job = found.schema["job_id"]
+    count_schema = T.StructType([job, T.StructField("found", T.LongType()), EPOCH])
+    key_schema = T.StructType([job, *[T.StructField(k, T.StringType()) for k in ("_name", "_city", "_phone")], EPOCH])
     prior = read_before(spark, f"{out}/found", count_schema, epoch).groupBy("job_id").agg(F.sum("found").alias("_prior"))
     kept_keys = read_before(spark, f"{out}/keys", key_schema, epoch)
 
@@ -134,8 +136,8 @@ def stream_control(
     ``out``/held.
     """
     types = events.schema
-    lead_schema = T.StructType([types["job_id"], types["n"], types["ts"]]).add("epoch", "int")
-    status_schema = T.StructType([types["job_id"], types["status"], types["ts"]]).add("epoch", "int")
+    lead_schema = T.StructType([types["job_id"], types["n"], types["ts"]]).add(EPOCH)
+    status_schema = T.StructType([types["job_id"], types["status"], types["ts"]]).add(EPOCH)
 
     def control(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
