@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ def _css_class(name: str, tag: str = "*") -> tuple:
 
 
 _MAIN = step("div", ("role", "=", "main"))
+_FEED = step("*", ("role", "=", "feed"))
 _VALUE = _css_class("Io6YTe")
 _RATING_BOX = _css_class("F7nice", "div")
 
@@ -113,96 +115,129 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _SELF_CLOSING = {"p", "li", "tr", "td", "th", "option"}
 
 
-def _fits(node: tuple[str, dict], wanted: tuple) -> bool:
-    tag, conditions = wanted
-    if tag != "*" and tag != node[0]:
-        return False
-    for name, operator, value in conditions:
-        actual = node[1].get(name)
-        if actual is None:
-            return False
-        holds = (
-            operator == "?"
-            or (operator == "=" and actual == value)
-            or (operator == "^" and actual.startswith(value))
-            or (operator == "*" and value in actual)
-            or (operator == "~" and value in actual.split())
-        )
-        if not holds:
-            return False
-    return True
+# A page is read as a run of tags; comments, scripts and styles are skipped as a whole.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+    re.DOTALL | re.IGNORECASE,
+)
+_ATTRIBUTE_TEXT = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+
 
+class _Element:
+    """An open element; its attributes are parsed when first asked for."""
 
-class _FieldReader(HTMLParser):
-    """Collects the first (or every) match of each selector of one page."""
+    __slots__ = ("tag", "text", "_attributes")
 
-    def __init__(self, selectors: dict[str, list]) -> None:
-        super().__init__()
-        self._selectors = selectors
-        self._open: list[tuple[str, dict]] = []
-        self._texts: list[tuple[int, list[str]]] = []
-        self._panels = 0
-        self.found: dict[str, list[list]] = {f: [[] for _ in group] for f, group in selectors.items()}
+    def __init__(self, tag: str, text: str) -> None:
+        self.tag, self.text, self._attributes = tag, text, None
 
-    def _reaches(self, path: tuple) -> bool:
-        """The innermost open element ends ``path`` and its outer steps enclose it."""
-        if not _fits(self._open[-1], path[-1]):
+    @property
+    def attributes(self) -> dict[str, str]:
+        if self._attributes is None:
+            self._attributes = {
+                m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE_TEXT.finditer(self.text)
+            }
+        return self._attributes
+
+    def fits(self, wanted: tuple) -> bool:
+        tag, conditions = wanted
+        if tag != "*" and tag != self.tag:
             return False
-        depth = len(self._open) - 2
-        for wanted in reversed(path[:-1]):
-            while depth >= 0 and not _fits(self._open[depth], wanted):
-                depth -= 1
-            if depth < 0:
+        for name, operator, value in conditions:
+            # A plain text search rules most elements out before any parsing.
+            if value not in self.text and "&" not in self.text:
+                return False
+            actual = self.attributes.get(name)
+            if actual is None or not _OPERATORS[operator](actual, value):
                 return False
-            depth -= 1
         return True
 
-    def _excluded(self, field: str) -> bool:
-        if field == "photos":
-            return any(attrs.get("role") == "feed" for _, attrs in self._open)
-        return field == "instagram" and self._panels > 1
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SELF_CLOSING and self._open and self._open[-1][0] == tag:
-            self.handle_endtag(tag)
-        node = (tag, {name: value or "" for name, value in attrs})
-        self._open.append(node)
-        self._panels += _fits(node, _MAIN)
-        for field, group in self._selectors.items():
-            for place, selector in zip(self.found[field], group):
-                if place and field not in _EVERY_MATCH:
-                    continue
-                if any(self._reaches(path) for path in selector) and not self._excluded(field):
-                    attribute = _ATTRIBUTE.get(field)
-                    content = [node[1].get(attribute, "")] if attribute else []
-                    place.append(content)
-                    if not attribute:
-                        self._texts.append((len(self._open), content))
-        if tag in _VOID:
-            self._close_to(len(self._open) - 1)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+_OPERATORS = {
+    "?": lambda actual, value: True,
+    "=": lambda actual, value: actual == value,
+    "^": lambda actual, value: actual.startswith(value),
+    "*": lambda actual, value: value in actual,
+    "~": lambda actual, value: value in actual.split(),
+}
+
+
+def _by_last_tag(selectors: dict[str, list]) -> dict[str, list[tuple]]:
+    """(field, place in its list, path) of every path, under the tag of its innermost step."""
+    index: dict[str, list[tuple]] = {}
+    for field, group in selectors.items():
+        for place, selector in enumerate(group):
+            for path in selector:
+                index.setdefault(path[-1][0], []).append((field, place, path))
+    return index
+
 
-    def _close_to(self, depth: int) -> None:
-        del self._open[depth:]
-        self._texts = [entry for entry in self._texts if entry[0] <= depth]
+def _enclosed(opened: list[_Element], path: tuple) -> bool:
+    """The outer steps of ``path`` enclose the innermost open element."""
+    depth = len(opened) - 2
+    for wanted in reversed(path[:-1]):
+        while depth >= 0 and not opened[depth].fits(wanted):
+            depth -= 1
+        if depth < 0:
+            return False
+        depth -= 1
+    return True
 
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth][0] == tag:
-                self._close_to(depth)
-                return
 
-    def handle_data(self, data: str) -> None:
-        for _, content in self._texts:
-            content.append(data)
+def _read_page(html: str, selectors: dict[str, list], index: dict[str, list[tuple]]) -> list:
+    """Values of all fields of one page, in the order of the field schema."""
+    found: dict[str, list[list]] = {field: [[] for _ in group] for field, group in selectors.items()}
+    opened: list[_Element] = []
+    capturing: list[tuple[int, list[str]]] = []
+    anywhere, panels, position = index.get("*", []), 0, 0
+
+    def close_to(depth: int) -> None:
+        del opened[depth:]
+        while capturing and capturing[-1][0] > depth:
+            capturing.pop()
+
+    for match in _TAG.finditer(html):
+        if capturing and match.start() > position:
+            text = unescape(html[position : match.start()])
+            for _, parts in capturing:
+                parts.append(text)
+        position = match.end()
+        if match[3] is None:
+            continue
+        tag = match[3].lower()
+        if match[2]:
+            depth = next((d for d in range(len(opened) - 1, -1, -1) if opened[d].tag == tag), None)
+            if depth is not None:
+                close_to(depth)
+            continue
+        if tag in _SELF_CLOSING and opened and opened[-1].tag == tag:
+            close_to(len(opened) - 1)
+        element = _Element(tag, match[4])
+        opened.append(element)
+        panels += element.fits(_MAIN)
+        # Elements matched by several selectors of a field are listed once per selector.
+        for field, place, path in index.get(tag, []) + anywhere:
+            values = found[field][place]
+            if values and field not in _EVERY_MATCH:
+                continue
+            if not element.fits(path[-1]) or not _enclosed(opened, path):
+                continue
+            if field == "instagram" and panels > 1 or field == "photos" and any(e.fits(_FEED) for e in opened):
+                continue
+            attribute = _ATTRIBUTE.get(field)
+            parts = [element.attributes.get(attribute, "")] if attribute else []
+            values.append(parts)
+            if not attribute:
+                capturing.append((len(opened), parts))
+        if tag in _VOID:
+            close_to(len(opened) - 1)
 
-    def values(self, field: str):
-        texts = ["".join(content) for place in self.found[field] for content in place]
-        if field in _SINGLE:
-            return texts[0] if texts else None
-        return texts
+    result = []
+    for field in PLACE_TEXTS.fieldNames():
+        texts = ["".join(parts) for values in found[field] for parts in values]
+        result.append((texts[0] if texts else None) if field in _SINGLE else texts)
+    return result
 
 
 def extract_place_fields(
@@ -218,12 +253,9 @@ def extract_place_fields(
     schema = T.StructType([*[pages.schema[c] for c in kept], *PLACE_TEXTS.fields])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _by_last_tag(selectors)
         for batch in batches:
-            rows = []
-            for text in batch[html]:
-                reader = _FieldReader(selectors)
-                reader.feed(text or "")
-                rows.append([reader.values(field) for field in fields])
+            rows = [_read_page(text or "", selectors, index) for text in batch[html]]
             texts = pd.DataFrame(rows, columns=fields, index=batch.index)
             yield pd.concat([batch[kept], texts], axis=1)
 

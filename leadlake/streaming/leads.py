@@ -18,8 +18,8 @@ from leadlake.functions.text import absent_as_null, norm_text, phone_key
 from leadlake.operators.dedup import greedy_keep
 from leadlake.operators.limits import cap_per_job
 from leadlake.operators.lookup import apply_job_control
-from leadlake.plans.leads import accepted_leads, build_leads, job_context
-from leadlake.session import materialize
+from leadlake.plans.leads import accepted_leads, build_leads, job_context, largest_request
+from leadlake.session import materialize, spread
 from leadlake.sources.sinks import append_leads, read_before
 
 log = logging.getLogger(__name__)
@@ -48,11 +48,11 @@ def notify(on_leads: OnLeads | None, leads: DataFrame, epoch: int) -> None:
         log.debug("lead hook failed in epoch %d", epoch, exc_info=True)
 
 
-def admit_epoch(found: DataFrame, out: str, epoch: int) -> DataFrame:
+def admit_epoch(found: DataFrame, out: str, epoch: int, largest: int) -> DataFrame:
     """Leads of one micro-batch that pass the job's cap and the lead dedup.
 
     Leads arrive in job order: every lead of an earlier epoch comes before. ``found`` has
-    (job_id, n, max_results) and the lead columns.
+    (job_id, n, max_results) and the lead columns; ``largest`` is the highest limit.
     """
     spark = found.sparkSession
     job = found.schema["job_id"]
@@ -64,7 +64,7 @@ def admit_epoch(found: DataFrame, out: str, epoch: int) -> DataFrame:
     open_quota = found.join(prior, "job_id", "left").withColumn(
         "_quota", F.col("max_results") - F.coalesce("_prior", F.lit(0))
     )
-    capped = materialize(cap_per_job(open_quota.where("_quota > 0"), limit="_quota"), "epoch-found")
+    capped = materialize(cap_per_job(open_quota.where("_quota > 0"), limit="_quota", largest=largest), "epoch-found")
     append_leads(capped.groupBy("job_id").agg(F.count(F.lit(1)).alias("found")), f"{out}/found", epoch)
 
     keyed = capped.select(
@@ -76,7 +76,7 @@ def admit_epoch(found: DataFrame, out: str, epoch: int) -> DataFrame:
     fresh = keyed.join(kept_keys, ["job_id", "_name", "_city"], "left_anti").join(
         kept_keys.where(F.col("_phone").isNotNull()), ["job_id", "_phone"], "left_anti"
     )
-    kept = materialize(greedy_keep(fresh, "job_id", "n"), "epoch-kept")
+    kept = materialize(greedy_keep(fresh, "job_id", "n", largest=largest), "epoch-kept")
     append_leads(keyed.join(kept, ["job_id", "n"], "left_semi").drop("n"), f"{out}/keys", epoch)
     return capped.join(kept, ["job_id", "n"], "left_semi").select(*found.columns)
 
@@ -92,11 +92,11 @@ def stream_leads(
 
     ``places`` is a stream with (job_id, n, url) and the raw place columns.
     """
-    context = job_context(jobs)
+    context, largest = job_context(jobs), largest_request(jobs)
 
     def deliver(batch: DataFrame, epoch: int) -> None:
-        found = accepted_leads(build_leads(batch.join(context, "job_id", "inner")))
-        leads = admit_epoch(found, out, epoch)
+        found = accepted_leads(build_leads(spread(batch).join(context, "job_id", "inner")))
+        leads = admit_epoch(found, out, epoch, largest)
         append_leads(leads, f"{out}/leads", epoch)
         notify(on_leads, leads, epoch)
 

@@ -11,7 +11,7 @@ from workload.inputs import DERIVED, derived, oracle
 c = F.col
 QUERIES, ORACLES = {}, {}
 
-QUERIES["f1_dedup_urls"] = lambda spark, sf: dedup.dedup_urls(derived(spark, sf, "cards"))
+QUERIES["f1_dedup_urls"] = lambda spark, sf: dedup.dedup_urls(derived(spark, sf, "cards", heavy=True))
 ORACLES["f1_dedup_urls"] = oracle(
     """select job_id, min(position) as position, url, arg_min(name, position) as name, arg_min(rating, position) as rating,
        arg_min(reviews, position) as reviews, arg_min(category, position) as category from @cards group by job_id, url"""
@@ -35,14 +35,14 @@ def greedy(source):
     return [(name, text.replace("{source}", source)) for name, text in GREEDY]
 
 
-QUERIES["f2_dedup_leads"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads"))
+QUERIES["f2_dedup_leads"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads", heavy=True))
 ORACLES["f2_dedup_leads"] = oracle(
     "select l.* from @leads l join walk using (job_id, n) where kept", *greedy("@leads"), recursive=True
 )
 # The same rule by set-based rounds, the way taken for a job too large for one task.
-QUERIES["f2_dedup_leads_rounds"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads"), group_rows=10)
+QUERIES["f2_dedup_leads_rounds"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads", heavy=True), group_rows=10)
 ORACLES["f2_dedup_leads_rounds"] = ORACLES["f2_dedup_leads"]
-QUERIES["f3_unique_lead_count"] = lambda spark, sf: dedup.unique_lead_count(dedup.dedup_leads(derived(spark, sf, "leads")))
+QUERIES["f3_unique_lead_count"] = lambda spark, sf: dedup.unique_lead_count(dedup.dedup_leads(derived(spark, sf, "leads", heavy=True)))
 ORACLES["f3_unique_lead_count"] = oracle(
     "select job_id, count(*) as unique_leads from walk where kept group by 1", *greedy("@leads"), recursive=True
 )

@@ -20,7 +20,7 @@ DAY = 86_400
 SQL_FIRST_CARD = """select job_id, url, min(position) as position, arg_min(name, position) as name, arg_min(rating, position) as rating,
     arg_min(reviews, position) as reviews, arg_min(category, position) as category from @cards group by job_id, url"""
 QUERIES["e1_backfill_from_feed"] = lambda spark, sf: lookup.backfill_from_feed(
-    derived(spark, sf, "part_leads"), dedup.dedup_urls(derived(spark, sf, "cards"))
+    derived(spark, sf, "part_leads", heavy=True), dedup.dedup_urls(derived(spark, sf, "cards", heavy=True))
 )
 ORACLES["e1_backfill_from_feed"] = oracle(
     f"""select l.job_id, l.url, keyword, case when l.name <> '' then l.name when f.name <> '' then f.name else l.name end as name,
@@ -50,7 +50,7 @@ SQL_PLACE_CACHE = """select sha1(lower(trim(url)))[:16] as key, arg_max(url, cac
 
 def _cards_with_city(spark, sf):
     jobs = derived(spark, sf, "supplier_jobs").select("job_id", c("city").alias("search_city"))
-    return dedup.dedup_urls(derived(spark, sf, "cards")).join(jobs, "job_id")
+    return dedup.dedup_urls(derived(spark, sf, "cards", heavy=True)).join(jobs, "job_id")
 
 
 _CARD_CITY = f"select f.*, s.city as search_city, sha1(lower(trim(url)))[:16] as key from ({SQL_FIRST_CARD}) f join @supplier_jobs s using (job_id)"
@@ -106,7 +106,7 @@ ORACLES["e3_lookup_result_cache"] = oracle(
 )
 
 QUERIES["e4_flag_new_leads"] = lambda spark, sf: lookup.flag_new_leads(
-    derived(spark, sf, "leads"), derived(spark, sf, "known_leads"), ["name", "city"]).select("job_id", "n", "is_new")
+    derived(spark, sf, "leads", heavy=True), derived(spark, sf, "known_leads"), ["name", "city"]).select("job_id", "n", "is_new")
 ORACLES["e4_flag_new_leads"] = oracle(
     "select job_id, n, k.name is null as is_new from @leads l left join @known_leads k on l.name = k.name and l.city = k.city"
 )
