@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from leadlake.operators.lookup import flag_new_leads
 from leadlake.schemas import PLACE_CACHE, RESULT_ENTRY, RESULT_META
+from leadlake.session import materialize
 
 # Fixed value: longest error text of a job record.
 ERROR_LENGTH = 400
@@ -39,7 +41,7 @@ def append_leads(batch: DataFrame, path: str, epoch: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def read_before(spark: SparkSession, path: str, schema, epoch: int) -> DataFrame:
+def read_before(spark: SparkSession, path: str, schema: StructType, epoch: int) -> DataFrame:
     """What earlier deliveries wrote; an empty table before the first one."""
     try:
         table = spark.read.option("basePath", path).schema(schema).parquet(path)
@@ -68,10 +70,10 @@ def place_cache_to_json(cache: DataFrame) -> DataFrame:
     return cache.select("key", F.to_json(F.struct("lead", "url", "cached_at", "ttl_s")).alias("value"))
 
 
-def place_cache_from_json(rows: DataFrame, schema=PLACE_CACHE) -> DataFrame:
+def place_cache_from_json(rows: DataFrame, schema: StructType = PLACE_CACHE) -> DataFrame:
     """Entries of (key, value) rows; unreadable ones are dropped."""
     fields = [f for f in schema.fields if f.name != "key"]
-    parsed = rows.select("key", F.from_json("value", type(schema)(fields)).alias("_v"))
+    parsed = rows.select("key", F.from_json("value", StructType(fields)).alias("_v"))
     return parsed.where(F.col("_v.lead").isNotNull()).select("key", "_v.*").select(*schema.fieldNames())
 
 
@@ -83,23 +85,42 @@ def read_place_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PLACE_CACHE).parquet(path)
 
 
-def write_result_cache(meta: DataFrame, entries: DataFrame, path: str, part_chars: int = 2) -> None:
+_PART = StructField("part", StringType())
+
+
+def write_result_cache(
+    meta: DataFrame, entries: DataFrame, path: str, part_chars: int = 2, changed_since: float | None = None
+) -> None:
     """Write both tables, split by the first characters of the hash (16 parts per character).
 
-    With dynamic partition overwrite, a refresh touches only the parts it contains, so
-    large caches want small parts.
+    Without ``changed_since`` the tables are created in a new folder. With it, they
+    replace those parts of existing tables that hold an entry written at or after that
+    time; a refresh of few searches leaves most of a large cache alone. The new parts may
+    depend on the old ones, so they are written aside first.
     """
-    for table, name in ((meta, "meta"), (entries, "entries")):
+    part = F.left("hash", F.lit(part_chars))
+    tables = {name: table.withColumn("part", part) for name, table in (("meta", meta), ("entries", entries))}
+    mode = "errorifexists"
+    if changed_since is not None:
+        # At most 16 ** part_chars rows.
+        touched = meta.where(F.col("cached_at") >= changed_since).select(part.alias("part")).distinct()
+        tables = {
+            name: materialize(table.join(F.broadcast(touched), "part", "left_semi"), f"cache-{name}")
+            for name, table in tables.items()
+        }
+        mode = "overwrite"
+    for name, table in tables.items():
         # Rebalancing gives each part few files and splits one that is very large.
-        parted = table.withColumn("part", F.left("hash", F.lit(part_chars))).hint("rebalance", "part")
-        parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(
-            f"{path}/{name}"
-        )
+        writer = table.hint("rebalance", "part").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(f"{path}/{name}")
 
 
 def read_result_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    meta = spark.read.schema(RESULT_META).parquet(f"{path}/meta")
-    return meta, spark.read.schema(RESULT_ENTRY).parquet(f"{path}/entries")
+    """(meta, entries) as written."""
+    def read(name: str, schema: StructType) -> DataFrame:
+        return spark.read.schema(StructType([*schema.fields, _PART])).parquet(f"{path}/{name}").drop("part")
+
+    return read("meta", RESULT_META), read("entries", RESULT_ENTRY)
 
 
 def job_outcomes(jobs: DataFrame, deliveries: DataFrame, endings: DataFrame) -> DataFrame:
