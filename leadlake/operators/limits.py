@@ -23,25 +23,48 @@ def cap_per_job(
     largest: int | None = None,
     span: int = ROW_SPAN,
 ) -> DataFrame:
-    """First ``limit`` rows of each job in ``order``; the limit may differ per job.
+    """First ``limit`` rows of each job in ``order``; the limit may differ per row's job.
 
-    ``largest`` is the highest limit in the data (looked up when not given). Up to
-    ``GROUP_LIMIT`` every map task keeps at most that many rows per job before the
-    shuffle, so a huge job never reaches one task. Higher limits use slot-wise ranks.
+    ``largest`` is the highest limit in the data (looked up when not given, which reads
+    ``df`` once more). Where limits live in a jobs table, :func:`cap_by_jobs` is cheaper.
     """
     allowed = F.col(limit) if isinstance(limit, str) else limit
     if largest is None:
         largest = df.agg(F.max(allowed)).first()[0] or 0
+    return _first_rows(df, by, order, largest, span).where(F.col("_rank") <= allowed).drop("_rank")
+
+
+def cap_by_jobs(
+    df: DataFrame,
+    jobs: DataFrame,
+    limit: str | Column = "max_results",
+    by: Sequence[str] = ("job_id",),
+    order: Sequence[str] = ("n",),
+    largest: int | None = None,
+    span: int = ROW_SPAN,
+) -> DataFrame:
+    """Join ``jobs`` and keep the first ``limit`` rows of each job.
+
+    Rows are cut to the largest limit before the join, so a huge job is small by the time
+    it meets its job record, whichever way the join runs.
+    """
+    allowed = F.col(limit) if isinstance(limit, str) else limit
+    if largest is None:
+        largest = jobs.agg(F.max(allowed)).first()[0] or 0
+    first = _first_rows(df, by, order, largest, span)
+    return first.join(jobs, list(by), "inner").where(F.col("_rank") <= allowed).drop("_rank")
+
+
+def _first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], largest: int, span: int) -> DataFrame:
+    """The first ``largest`` rows of each group, with their ``_rank``.
+
+    Up to ``GROUP_LIMIT`` every map task keeps at most that many rows per group before the
+    shuffle, so a huge group never reaches one task. Higher limits use slot-wise ranks.
+    """
     if largest > GROUP_LIMIT:
-        ranked = with_rank(df, by, order, "_rank", span)
-        return ranked.where(F.col("_rank") <= allowed).drop("_rank")
+        return with_rank(df, by, order, "_rank", span).where(F.col("_rank") <= F.lit(int(largest)))
     position = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return (
-        df.withColumn("_rank", position)
-        .where(F.col("_rank") <= F.lit(int(largest)))
-        .where(F.col("_rank") <= allowed)
-        .drop("_rank")
-    )
+    return df.withColumn("_rank", position).where(F.col("_rank") <= F.lit(int(largest)))
 
 
 def stale_entries(

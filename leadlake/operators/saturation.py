@@ -17,11 +17,12 @@ def feed_saturation(scrolls: DataFrame, jobs: DataFrame) -> DataFrame:
     ``scrolls`` has (job_id, scroll_no from 1, link_count, pushed); ``jobs`` has
     (job_id, mode, max_results). The stop is the earliest of: enough places (``pushed``
     when pipelined, ``link_count`` when sequential), the third scroll in a row without
-    more links, or the scroll limit. Later scrolls are cut off first, so a job's window
-    never exceeds its scroll limit.
+    more links, or the scroll limit. Later scrolls are cut off first, already in the scan,
+    so a job's window never exceeds the largest scroll limit.
     """
     limit = F.greatest(F.lit(MIN_SCROLLS), F.floor(F.col("max_results") / 5).cast("int") + 4)
-    seen = scrolls.join(jobs.select("job_id", "mode", "max_results"), "job_id").withColumn("_limit", limit)
+    largest = jobs.agg(F.max(limit)).first()[0] or MIN_SCROLLS
+    seen = scrolls.where(F.col("scroll_no") <= F.lit(largest)).join(jobs.select("job_id", "mode", "max_results"), "job_id").withColumn("_limit", limit)
     seen = seen.where(F.col("scroll_no") <= F.col("_limit"))
 
     in_order = W.partitionBy("job_id").orderBy("scroll_no")

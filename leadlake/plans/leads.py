@@ -10,7 +10,7 @@ from leadlake.functions import fields as fx
 from leadlake.functions.text import clean_phone, phone_out
 from leadlake.operators.dedup import dedup_leads, dedup_urls
 from leadlake.operators.filters import drop_captcha_pages, drop_nameless, drop_unconfirmed, keep_city_matches
-from leadlake.operators.limits import cap_per_job
+from leadlake.operators.limits import cap_by_jobs
 from leadlake.operators.lookup import backfill_from_feed, lookup_place_cache
 from leadlake.schemas import LEAD_COLUMNS
 from leadlake.session import materialize
@@ -79,10 +79,9 @@ def accepted_leads(built: DataFrame) -> DataFrame:
     return drop_unconfirmed(keep_city_matches(drop_nameless(built))).drop("_city_confirmed")
 
 
-def feed_links(cards: DataFrame, jobs: DataFrame, largest: int | None = None) -> DataFrame:
+def feed_links(cards: DataFrame, jobs: DataFrame, largest: int) -> DataFrame:
     """The links a job visits: the first ``max_results`` of its feed, each once, with the job context."""
-    with_job = cards.join(job_context(jobs), "job_id", "inner")
-    capped = cap_per_job(with_job, order=("position",), largest=largest)
+    capped = cap_by_jobs(cards, job_context(jobs), order=("position",), largest=largest)
     return dedup_urls(capped).withColumn("n", F.col("position"))
 
 
@@ -102,8 +101,8 @@ def leads_from_pages(
     """All leads a set of jobs delivers, in the order of their feeds.
 
     Feed cap, link dedup, cache lookup, extraction of the misses, city and address
-    filters, completion from the cards, cap, lead dedup. The cap after the dedup of the
-    original order can never bind (kept leads never outnumber found ones) and is left out.
+    filters, completion from the cards, lead dedup. The feed cap comes first and nothing
+    adds rows after it, so capping the found and the kept leads again could never bind.
     """
     largest = largest_request(jobs)
     return dedup_leads(found_leads(jobs, cards, pages, place_cache, now, largest), largest=largest)
@@ -130,4 +129,4 @@ def found_leads(
         cached = hits.select(*CONTEXT, *[F.col(f"lead.{name}").alias(f"_{name}") for name in LEAD_COLUMNS])
         renamed = cached.select(*CONTEXT, *[F.col(f"_{name}").alias(name) for name in LEAD_COLUMNS])
         found = found.unionByName(renamed.select(*found.columns))
-    return materialize(cap_per_job(found, largest=largest), "found-leads")
+    return materialize(found, "found-leads")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leadlake.functions.text import absent_as_null, norm_text, phone_key
 from leadlake.operators.dedup import greedy_keep
-from leadlake.operators.limits import cap_per_job
+from leadlake.operators.limits import cap_by_jobs
 from leadlake.operators.lookup import apply_job_control
 from leadlake.plans.leads import accepted_leads, build_leads, job_context, largest_request
 from leadlake.session import materialize, spread
@@ -48,26 +48,33 @@ def notify(on_leads: OnLeads | None, leads: DataFrame, epoch: int) -> None:
         log.debug("lead hook failed in epoch %d", epoch, exc_info=True)
 
 
-def admit_epoch(found: DataFrame, out: str, epoch: int, largest: int) -> DataFrame:
-    """Leads of one micro-batch that pass the job's cap and the lead dedup.
+def admit_links(batch: DataFrame, context: DataFrame, out: str, epoch: int, largest: int) -> DataFrame:
+    """Places of one micro-batch within their job's limit, with the job context.
 
-    Leads arrive in job order: every lead of an earlier epoch comes before. ``found`` has
-    (job_id, n, max_results) and the lead columns; ``largest`` is the highest limit.
+    Places arrive in job order: every place of an earlier epoch comes before. ``batch`` has
+    (job_id, n, ...); ``largest`` is the highest limit.
     """
-    spark = found.sparkSession
-    job = found.schema["job_id"]
-    count_schema = T.StructType([job, T.StructField("found", T.LongType()), EPOCH])
-    key_schema = T.StructType([job, *[T.StructField(k, T.StringType()) for k in ("_name", "_city", "_phone")], EPOCH])
-    prior = read_before(spark, f"{out}/found", count_schema, epoch).groupBy("job_id").agg(F.sum("found").alias("_prior"))
-    kept_keys = read_before(spark, f"{out}/keys", key_schema, epoch)
-
-    open_quota = found.join(prior, "job_id", "left").withColumn(
-        "_quota", F.col("max_results") - F.coalesce("_prior", F.lit(0))
+    schema = T.StructType([batch.schema["job_id"], T.StructField("visited", T.LongType()), EPOCH])
+    earlier = read_before(batch.sparkSession, f"{out}/visited", schema, epoch)
+    visited = earlier.groupBy("job_id").agg(F.sum("visited").alias("_visited"))
+    quota = context.join(visited, "job_id", "left").withColumn(
+        "_quota", F.col("max_results") - F.coalesce("_visited", F.lit(0))
     )
-    capped = materialize(cap_per_job(open_quota.where("_quota > 0"), limit="_quota", largest=largest), "epoch-found")
-    append_leads(capped.groupBy("job_id").agg(F.count(F.lit(1)).alias("found")), f"{out}/found", epoch)
+    admitted = cap_by_jobs(batch, quota.drop("_visited").where("_quota > 0"), limit="_quota", largest=largest)
+    admitted = materialize(admitted.drop("_quota"), "epoch-visited")
+    append_leads(admitted.groupBy("job_id").agg(F.count(F.lit(1)).alias("visited")), f"{out}/visited", epoch)
+    return admitted
 
-    keyed = capped.select(
+
+def keep_first(found: DataFrame, out: str, epoch: int, largest: int) -> DataFrame:
+    """Leads of one micro-batch that pass the lead dedup, given all earlier epochs.
+
+    A job has at most ``largest`` rows over all epochs (:func:`admit_links`).
+    """
+    keys = ["_name", "_city", "_phone"]
+    schema = T.StructType([found.schema["job_id"], *[T.StructField(k, T.StringType()) for k in keys], EPOCH])
+    kept_keys = read_before(found.sparkSession, f"{out}/keys", schema, epoch)
+    keyed = found.select(
         "job_id", "n",
         norm_text(F.col("name")).alias("_name"),
         norm_text(F.col("city")).alias("_city"),
@@ -78,7 +85,7 @@ def admit_epoch(found: DataFrame, out: str, epoch: int, largest: int) -> DataFra
     )
     kept = materialize(greedy_keep(fresh, "job_id", "n", largest=largest), "epoch-kept")
     append_leads(keyed.join(kept, ["job_id", "n"], "left_semi").drop("n"), f"{out}/keys", epoch)
-    return capped.join(kept, ["job_id", "n"], "left_semi").select(*found.columns)
+    return found.join(kept, ["job_id", "n"], "left_semi")
 
 
 def stream_leads(
@@ -95,8 +102,9 @@ def stream_leads(
     context, largest = job_context(jobs), largest_request(jobs)
 
     def deliver(batch: DataFrame, epoch: int) -> None:
-        found = accepted_leads(build_leads(spread(batch).join(context, "job_id", "inner")))
-        leads = admit_epoch(found, out, epoch, largest)
+        places = admit_links(batch, context, out, epoch, largest)
+        found = materialize(accepted_leads(build_leads(spread(places))), "epoch-found")
+        leads = keep_first(found, out, epoch, largest)
         append_leads(leads, f"{out}/leads", epoch)
         notify(on_leads, leads, epoch)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadlake.operators.batches import assign_flush_batches
-from leadlake.operators.limits import GROUP_LIMIT, cap_per_job, stale_entries
+from leadlake.operators.limits import GROUP_LIMIT, cap_by_jobs, cap_per_job, stale_entries
 from leadlake.operators.ordered import with_carried, with_rank, with_running_total
 
 
@@ -44,6 +44,9 @@ def test_cap_per_job(spark, largest):
     df = spark.createDataFrame(rows, "job_id string, n bigint, max_results int")
     expected = sorted((r[0], r[1]) for g in grouped(rows).values() for r in g[: g[0][2]])
     assert sorted((r.job_id, r.n) for r in cap_per_job(df, largest=largest, span=13).collect()) == expected
+    jobs = df.select("job_id", "max_results").distinct()
+    capped = cap_by_jobs(df.drop("max_results"), jobs, largest=largest, span=13)
+    assert sorted((r.job_id, r.n) for r in capped.collect()) == expected
 
 
 def test_stale_entries_limits_before_dropping(spark):

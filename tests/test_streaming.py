@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from leadlake.operators.lookup import apply_job_control
 from leadlake.streaming import progress
-from leadlake.streaming.leads import admit_epoch, stream_control, stream_leads
+from leadlake.streaming.leads import admit_links, keep_first, stream_control, stream_leads
 from tests.test_dedup import random_rows, sequential
-from workload import normalise as nz
 from workload.inputs import derived
 from workload.streams import finish
 
@@ -35,18 +34,19 @@ def test_admission_over_epochs_equals_sequential(spark, tmp_path):
     for epoch in range(4):
         for attempt in range(2 if epoch == 2 else 1):  # a repeated epoch must not change anything
             batch = spark.createDataFrame(rows[epoch * 60 : epoch * 60 + 60], "job_id string, n bigint, name string, city string, phone string, max_results int")
-            leads = [(r.job_id, r.n) for r in admit_epoch(batch, out, epoch, 25).collect()]
+            links = admit_links(batch.drop("max_results"), batch.select("job_id", "max_results").distinct(), out, epoch, 25)
+            leads = [(r.job_id, r.n) for r in keep_first(links, out, epoch, 25).collect()]
         found += leads
     assert sorted(found) == expected
 
 
 def test_stream_equals_batch_and_survives_a_failing_hook(spark, tmp_path):
     from leadlake.operators.dedup import dedup_leads
-    from leadlake.operators.limits import cap_per_job
-    from leadlake.plans.leads import accepted_leads, build_leads
+    from leadlake.operators.limits import cap_by_jobs
+    from leadlake.plans.leads import accepted_leads, build_leads, job_context
 
     places = derived(spark, SF, "places")
-    expected = dedup_leads(cap_per_job(accepted_leads(build_leads(nz.placed(spark, SF)))))
+    expected = dedup_leads(accepted_leads(build_leads(cap_by_jobs(places, job_context(derived(spark, SF, "jobs"))))))
     calls = []
 
     def hook(leads, epoch):

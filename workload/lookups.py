@@ -171,8 +171,8 @@ ORACLES["e7_pruned_count"] = oracle(
 
 def _capped(largest=None):
     def query(spark, sf):
-        leads = derived(spark, sf, "places").join(derived(spark, sf, "jobs").select("job_id", "max_results"), "job_id")
-        return limits.cap_per_job(leads, largest=largest).select("job_id", "n", "max_results")
+        jobs = derived(spark, sf, "jobs").select("job_id", "max_results")
+        return limits.cap_by_jobs(derived(spark, sf, "places"), jobs, largest=largest).select("job_id", "n", "max_results")
 
     return query
 

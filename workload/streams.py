@@ -93,9 +93,11 @@ _ACCEPTED = (
     f"select job_id, n, {dg.SQL_LEAD} from built where name <> '' and confirmed and {dg.sql_city_matches('city', 'search_city')} "
     "qualify row_number() over (partition by job_id order by n) <= max_results"
 )
+# A stream visits the first places of each job.
+_FED = [("placed", f"select * from ({nz.PLACED}) p qualify row_number() over (partition by job_id order by n) <= max_results"), dg.CTES[1]]
 QUERIES["i2_stream_leads"] = _streamed_leads
 ORACLES["i2_stream_leads"] = oracle(
-    "select f.* from found f join walk using (job_id, n) where kept", *dg.CTES, ("found", _ACCEPTED), *greedy("found"), recursive=True
+    "select f.* from found f join walk using (job_id, n) where kept", *_FED, ("found", _ACCEPTED), *greedy("found"), recursive=True
 )
 
 
@@ -108,7 +110,7 @@ def _hooked(spark, sf):
 
 QUERIES["j1_on_lead_hook"] = _hooked
 ORACLES["j1_on_lead_hook"] = oracle(
-    "select f.job_id, f.n, f.name from found f join walk using (job_id, n) where kept", *dg.CTES, ("found", _ACCEPTED), *greedy("found"),
+    "select f.job_id, f.n, f.name from found f join walk using (job_id, n) where kept", *_FED, ("found", _ACCEPTED), *greedy("found"),
     recursive=True,
 )
 
