@@ -27,8 +27,8 @@ def backfill_columns(keyword: Column) -> dict[str, Column]:
     generic = F.col("category") == title_case(keyword)
     unrated = F.coalesce(F.col("rating") == 0, F.lit(True))
     uncounted = F.coalesce(F.col("review_count") == 0, F.lit(True))
-    card_rating = F.replace(rating, F.lit(","), F.lit(".")).try_cast("double")
-    card_reviews = reviews.try_cast("int")
+    card_rating = F.replace(absent_as_null(rating), F.lit(","), F.lit(".")).try_cast("double")
+    card_reviews = absent_as_null(reviews).try_cast("int")
     return {
         "name": F.when(present(F.col("name")), F.col("name")).otherwise(F.coalesce(absent_as_null(name), F.col("name"))),
         "category": F.when(generic & present(category), category).otherwise(F.col("category")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -163,13 +164,16 @@ _OPERATORS = {
 }
 
 
-def _by_last_tag(selectors: dict[str, list]) -> dict[str, list[tuple]]:
-    """(field, place in its list, path) of every path, under the tag of its innermost step."""
-    index: dict[str, list[tuple]] = {}
+def _by_last_step(selectors: dict[str, list]) -> dict[str, list[tuple]]:
+    """Per tag, the innermost steps asked for and the (field, place in its list, path) behind each."""
+    steps: dict[tuple, list[tuple]] = {}
     for field, group in selectors.items():
         for place, selector in enumerate(group):
             for path in selector:
-                index.setdefault(path[-1][0], []).append((field, place, path))
+                steps.setdefault(path[-1], []).append((field, place, path))
+    index: dict[str, list[tuple]] = {}
+    for last, users in steps.items():
+        index.setdefault(last[0], []).append((last, users))
     return index
 
 
@@ -217,11 +221,10 @@ def _read_page(html: str, selectors: dict[str, list], index: dict[str, list[tupl
         opened.append(element)
         panels += element.fits(_MAIN)
         # Elements matched by several selectors of a field are listed once per selector.
-        for field, place, path in index.get(tag, []) + anywhere:
+        matched = [users for last, users in index.get(tag, []) + anywhere if element.fits(last)]
+        for field, place, path in chain.from_iterable(matched):
             values = found[field][place]
-            if values and field not in _EVERY_MATCH:
-                continue
-            if not element.fits(path[-1]) or not _enclosed(opened, path):
+            if values and field not in _EVERY_MATCH or not _enclosed(opened, path):
                 continue
             if field == "instagram" and panels > 1 or field == "photos" and any(e.fits(_FEED) for e in opened):
                 continue
@@ -253,7 +256,7 @@ def extract_place_fields(
     schema = T.StructType([*[pages.schema[c] for c in kept], *PLACE_TEXTS.fields])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _by_last_tag(selectors)
+        index = _by_last_step(selectors)
         for batch in batches:
             rows = [_read_page(text or "", selectors, index) for text in batch[html]]
             texts = pd.DataFrame(rows, columns=fields, index=batch.index)

@@ -8,7 +8,7 @@ from leadlake.functions import diagnosis as dx
 from leadlake.operators import filters
 from leadlake.plans.leads import accepted_leads, build_leads
 from workload import normalise as nz
-from workload.inputs import derived, oracle, table
+from workload.inputs import DERIVED, derived, oracle, table
 
 c = F.col
 QUERIES, ORACLES = {}, {}
@@ -182,10 +182,14 @@ ORACLES["d0_accepted_leads"] = oracle(
     f"select job_id, n, {SQL_LEAD} from built where name <> '' and confirmed and {sql_city_matches('city', 'search_city')}", *CTES
 )
 
-QUERIES["d1_drop_captcha_pages"] = lambda spark, sf: filters.drop_captcha_pages(table(spark, sf, "pages")).select("page_id", "url")
-ORACLES["d1_drop_captcha_pages"] = "select page_id, url from pages where not ({})".format(
+# The captured pages, some of them blocked.
+DERIVED["captured"] = """
+    select page_id, url, case page_id % 5 when 0 then html || '<p>Detected UNUSUAL traffic</p>'
+      when 1 then html || '<div class="g-reCAPTCHA"></div>' else html end as html from @pages"""
+QUERIES["d1_drop_captcha_pages"] = lambda spark, sf: filters.drop_captcha_pages(derived(spark, sf, "captured")).select("page_id", "url")
+ORACLES["d1_drop_captcha_pages"] = oracle("select page_id, url from @captured where not ({})".format(
     " or ".join(f"contains(lower(html), '{m}')" for m in nz.sx.BLOCK_MARKERS)
-)
+))
 QUERIES["d2_drop_nameless"] = lambda spark, sf: filters.drop_nameless(derived(spark, sf, "places")).select("job_id", "n", "name")
 ORACLES["d2_drop_nameless"] = oracle("select job_id, n, name from @places where name <> ''")
 QUERIES["d3_city_matches"] = lambda spark, sf: filters.keep_city_matches(

@@ -300,7 +300,10 @@ projection(
     lambda: {"url": sx.search_query_url(c("keyword"), c("city"), c("state"))},
     {"url": "'https://www.google.com/maps/search/' || replace(url_encode(concat_ws(' ', keyword, city, nullif(state, ''))), '%20', '+')"},
 )
-projection("b21_classify_captcha", "documents", ["doc_id"], lambda: {"blocked": sx.classify_captcha(c("text"))},
+DERIVED["replies"] = """
+    select doc_id, case doc_id % 4 when 0 then text || ' Unusual Traffic from your COMPUTER' when 1 then 'rc-anchor ' || text else text end as text
+    from @documents"""
+projection("b21_classify_captcha", "replies", ["doc_id"], lambda: {"blocked": sx.classify_captcha(c("text"))},
            {"blocked": " or ".join(f"contains(lower(text), '{m}')" for m in sx.BLOCK_MARKERS)})
 projection("b22_place_key", "pages", ["page_id"], lambda: {"place_key": sx.place_key(c("url"))}, {"place_key": "sha1(lower(trim(url)))[:16]"})
 SQL_HASH = "sha1(" + " || '|' || ".join(sql_norm(x) for x in ("keyword", "city", "state", "country")) + ")[:16]"
