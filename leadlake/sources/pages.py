@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html import unescape
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,14 +255,19 @@ def extract_place_fields(
     fields = PLACE_TEXTS.fieldNames()
     schema = T.StructType([*[pages.schema[c] for c in kept], *PLACE_TEXTS.fields])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _by_last_step(selectors)
         for batch in batches:
-            rows = [_read_page(text or "", selectors, index) for text in batch[html]]
-            texts = pd.DataFrame(rows, columns=fields, index=batch.index)
-            yield pd.concat([batch[kept], texts], axis=1)
-
-    return pages.mapInPandas(read, schema)
+            texts = batch.column(batch.schema.get_field_index(html)).to_pylist()
+            columns = zip(*[_read_page(text or "", selectors, index) for text in texts])
+            found = [
+                pa.array(values, pa.string() if field in _SINGLE else pa.list_(pa.string()))
+                for field, values in zip(fields, columns)
+            ]
+            passed = [batch.column(batch.schema.get_field_index(name)) for name in kept]
+            yield pa.RecordBatch.from_arrays([*passed, *found], [*kept, *fields])
+
+    return pages.mapInArrow(read, schema)
 
 
 def place_raw(texts: DataFrame) -> DataFrame:

@@ -217,9 +217,9 @@ QUERIES["j2_page_headings"] = lambda spark, sf: page_source.place_raw(
     page_source.extract_place_fields(derived(spark, sf, "pages", heavy=True).select("page_id", "html"), _GENERIC)
 ).select("page_id", "name", "site_href")
 ORACLES["j2_page_headings"] = """
-    select page_id, trim(replace(replace(replace(replace(replace(
+    select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(
                regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g'),
-               '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) as name,
+               '&#39;', chr(39)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) as name,
            regexp_extract(html, '<a [^>]*href="([^"]+)"', 1) as site_href from pages"""
 
 # Result-list cards of the customers' jobs; two neighbouring orders share one address.
