@@ -56,7 +56,9 @@ def put_results(
     one as a whole; a search without leads writes nothing.
     """
     counted = leads.groupBy("search_id").agg(F.count(F.lit(1)).cast("int").alias("count"))
-    iso = F.date_format(F.timestamp_micros((F.col("cached_at") * 1_000_000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    moment = F.timestamp_micros((F.col("cached_at") * 1_000_000).cast("bigint"))
+    # The text is in UTC whatever the time zone of the session.
+    iso = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     written = with_search_hash(searches.join(counted, "search_id", "inner")).withColumns(
         {"cached_iso": iso, "ttl_s": F.lit(ttl_s)}
     )

@@ -35,6 +35,16 @@ def test_last_write_of_a_search_replaces_the_whole(spark):
     assert kept.count() == 1 and removed.first().removed == 1
 
 
+def test_cached_iso_is_utc_in_every_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        meta, _ = stored(spark, [("1", "Bar", "X", "", "BR", 20, 10.25)], [("1", 1, "a")])
+        assert meta.first().cached_iso == "1970-01-01T00:00:10.250000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_result_cache_files(spark, tmp_path):
     meta, entries = stored(spark, [("1", "Bar", "X", "", "BR", 20, 10.0)], [("1", 1, "a"), ("1", 2, "b")])
     sinks.write_result_cache(meta, entries, str(tmp_path), part_chars=1)
