@@ -38,14 +38,18 @@ _fallback_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where that setting is absent (local runs, tests) a temporary folder is used.
+    Only a local master, where driver and executors are one process, may leave both unset; a
+    temporary folder is used then. Elsewhere executors would write to disks of their own.
     """
     global _fallback_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="leadlake-")
     return _fallback_dir
