@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +20,29 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings the operators are planned for."""
+    """Apply the run-time SQL settings the operators are planned for, and ship the package to the executors."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed. Done once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    staging = tempfile.mkdtemp(prefix="leadlake-package-")
+    source = shutil.copytree(package, os.path.join(staging, "source", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(staging, package.name), "zip", os.path.dirname(source)))
+    _shipped.add(context.applicationId)
+
+
 def build_session(app: str = "leadlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session for local use and tests; a cluster passes its own."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
@@ -31,7 +50,7 @@ def build_session(app: str = "leadlake", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 _fallback_dir: str | None = None
