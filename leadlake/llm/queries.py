@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import table
+from leadlake.llm.common import id_bucket, table
+from leadlake.llm.embeddings import near_vectors
 from leadlake.llm.mixing import mix_sources
+from leadlake.llm.packing import pack_documents
+from leadlake.llm.pii import digest, find_personal_data
 from leadlake.llm.quality import clean_lines
 from leadlake.llm.sharding import kd_shards
+from leadlake.llm.toxicity import score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op7_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_toxic_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_bucket("doc_id", 4) == 2
+    learned = table(spark, sf_dir, "labels").where(~held_out)
+    return score_toxicity(table(spark, sf_dir, "documents"), learned).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -24,5 +47,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "leaf_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op9_quality_lines, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pca_tiles, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
 ORACLES: dict[str, str] = {}
