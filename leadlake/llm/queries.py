@@ -10,6 +10,7 @@ from leadlake.llm.common import id_bucket, table
 from leadlake.llm.embeddings import near_vectors
 from leadlake.llm.lm import score_texts
 from leadlake.llm.mixing import mix_sources
+from leadlake.llm.near_dedup import near_duplicates
 from leadlake.llm.packing import pack_documents
 from leadlake.llm.pii import digest, find_personal_data
 from leadlake.llm.quality import clean_lines
@@ -25,6 +26,10 @@ def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "class_size")
+
+
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = id_bucket("doc_id", 5)
     return score_texts(table(spark, sf_dir, "documents"), fold != 1, fold == 0)
@@ -53,5 +58,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "leaf_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pca_tiles, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pca_tiles, op4_order_minhash, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
 ORACLES: dict[str, str] = {}
