@@ -14,6 +14,7 @@ from leadlake.llm.near_dedup import near_duplicates
 from leadlake.llm.packing import pack_documents
 from leadlake.llm.pii import digest, find_personal_data
 from leadlake.llm.quality import clean_lines
+from leadlake.llm.repeats import remove_repeats
 from leadlake.llm.sharding import kd_shards
 from leadlake.llm.toxicity import score_toxicity
 
@@ -22,6 +23,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -58,5 +63,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "leaf_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_pca_tiles, op4_order_minhash, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_repeats, op3_pca_tiles, op4_order_minhash, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
 ORACLES: dict[str, str] = {}
