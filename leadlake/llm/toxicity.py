@@ -147,8 +147,11 @@ def measured(docs: DataFrame, lexicon: dict[str, float], *kept: str) -> DataFram
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS, threshold: float = 0.3,
 ) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``; ``labels`` (doc_id, toxic) are all used for learning."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, score, predicted, document) for every row of ``docs``; ``labels`` (doc_id, toxic) are all used for learning.
+
+    ``document`` is the row itself as a struct.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("document"))
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
     draw = F.pmod(F.xxhash64(F.lit(29), "label_id"), F.lit(1 << 20))
     available = known.count()
@@ -162,7 +165,7 @@ def score_toxicity(
     ).first()
     if not seen.n or not 0 < seen.bad < seen.n:
         constant = F.lit(float(seen.bad or 0) / max(1, seen.n))
-        return rows.select("doc_id", constant.alias("score"), (constant >= threshold).cast("int").alias("predicted"))
+        return rows.select("doc_id", constant.alias("score"), (constant >= threshold).cast("int").alias("predicted"), "document")
     lexicon = learn_lexicon(fit_rows)
     vectors = materialize(measured(fit_rows, lexicon, "toxic", "calibrates"), "toxic-features").select(
         F.col("toxic").cast("double").alias("toxic"), "calibrates", array_to_vector("x").alias("features")).coalesce(6)
@@ -172,7 +175,9 @@ def score_toxicity(
     chance = vector_to_array(F.col("probability"))[1]
     held = model.transform(vectors.where("calibrates") if apart else vectors).select("toxic", chance.alias("p"))
     steps = IsotonicRegression(featuresCol="p", labelCol="toxic", predictionCol="level").fit(held)
-    scored = model.transform(measured(rows, lexicon, "doc_id").select("doc_id", array_to_vector("x").alias("features"))).select("doc_id", chance.alias("p"))
+    vector = array_to_vector("x").alias("features")
+    scored = model.transform(measured(rows, lexicon, "doc_id", "document").select("doc_id", "document", vector)).select("doc_id", "document", chance.alias("p"))
     # A fiftieth of the trees' own probability keeps the order inside a calibrated step.
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * F.col("level") + 0.02 * F.col("p")))
-    return steps.transform(scored).select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rated = steps.transform(scored).select("doc_id", score.alias("score"), "document")
+    return rated.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "document")
