@@ -113,13 +113,17 @@ def texts_of(sizes, data: bytes) -> list[bytes]:
     return [whole[e - s : e] for s, e in zip(sizes, ends)]
 
 
+def distinct_texts(digests) -> list[int]:
+    """The first place of each different text of a block."""
+    return sorted({d: i for i, d in reversed(list(enumerate(digests)))}.values())
+
+
 def asker(bits: int, window: int):
     """Each block asks for its distinct keys, with the text that has the key, or a mark if the block has it twice."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                own = {d: i for i, d in reversed(list(enumerate(row.digests)))}
-                chosen = sorted(own.values())
+                chosen = distinct_texts(row.digests)
                 texts = texts_of(row.sizes, row.texts)
                 doc, _, _, key, moves = stretches([texts[i] for i in chosen], window)
                 keys, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -161,8 +165,9 @@ def stretcher(bits: int, window: int):
         answers = told[told["again"].notna()]
         for row in blocks.itertuples():
             texts = texts_of(row.sizes, row.texts)
-            ranks = dict(zip(firsts["place"].tolist(), firsts["rank"].tolist()))
-            chosen = sorted(ranks)
+            # The same texts as the block asked for; those whose first copy lies in another block are left to it.
+            ranks = {row.digests[place]: rank for place, rank in zip(firsts["place"].tolist(), firsts["rank"].tolist())}
+            chosen = distinct_texts(row.digests)
             doc, start, size, key, moves = stretches([texts[i] for i in chosen], window)
             keys, at = np.unique(key, return_inverse=True)
             place, _ = in_range(keys, bits)
@@ -172,12 +177,14 @@ def stretcher(bits: int, window: int):
                 again[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=n)[: b - a]
             for i in np.flatnonzero(again[at]) if len(keys) else ():
                 n = chosen[doc[i]]
+                if row.digests[n] not in ranks:
+                    continue
                 out["key"].append(key[i].astype(np.int64))
-                out["rank"].append(ranks[n])
+                out["rank"].append(ranks[row.digests[n]])
                 out["start"].append(start[i])
                 out["moves"].append(bool(moves[i]))
                 out["stretch"].append(texts[n][start[i] : start[i] + size[i] + window - 1])
-        return pd.DataFrame(out).astype({"key": "int64", "rank": "int64", "start": "int64", "moves": "bool"})
+        return pd.DataFrame(out).astype({"key": "int64", "rank": "int64", "start": "int64", "moves": "bool", "stretch": object})
 
     return run
 
@@ -306,7 +313,7 @@ def find_repeats(corpus: Corpus, window: int = MIN_BYTES, together: int = STRETC
     told = requests.groupBy("range").applyInPandas(answer, "block long, range int, n int, again binary")
     firsts = corpus.firsts.select("block", F.lit(0).alias("range"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("again"), "place", "rank")
     answers = told.select("*", F.lit(0).alias("place"), F.lit(0).cast("long").alias("rank")).unionByName(firsts)
-    found = blocks.select("block", "sizes", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    found = blocks.select("block", "sizes", "digests", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         stretcher(bits, window), "key long, rank long, start long, moves boolean, stretch binary")
     occurrences = materialize(found.withColumn("content", F.xxhash64("stretch", "key")), "repeat-stretches")
     distinct = materialize(occurrences.groupBy("key", "content", "stretch").agg(
@@ -346,7 +353,7 @@ def cutter(blocks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             left = b"".join(kept)
             for column, value in zip(out.values(), (row.block, span.place, removed, len(span.spans), hashlib.sha256(left).hexdigest(), left)):
                 column.append(value)
-    return pd.DataFrame(out).astype({"block": "int64", "place": "int32", "n_removed": "int64", "n_spans": "int64"})
+    return pd.DataFrame(out).astype({"block": "int64", "place": "int32", "n_removed": "int64", "n_spans": "int64", "kept_sha256": object, "kept_text": object})
 
 
 def remove_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text", together: int = STRETCHES_TOGETHER) -> DataFrame:

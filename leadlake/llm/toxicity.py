@@ -39,7 +39,7 @@ CALIBRATION_LABELS = 20
 SECOND_PERSON = (
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os"
 ).split()
-LEET = str.maketrans("013457@$!|", "oieastasil")
+LEET = str.maketrans("013457@$|", "oieastasl")
 # A letter, then digits or signs, then a letter: "id10t", "st*pid".
 HIDDEN = re.compile(r"[^\W\d_][0-9@$!*|.\-_]+(?=[^\W\d_])")
 SHOUTED = re.compile(r"\b[^\W\d_a-zß-ÿ]{3,}\b")
@@ -112,7 +112,8 @@ class Measurer:
         if digits or punctuation > low.count(".") + low.count(","):
             hidden = sum(1 for _ in HIDDEN.finditer(low))
             if hidden:
-                clear = re.sub(r"(?<=[^\W\d_])[*|.\-_]+(?=[^\W\d_])", "", low.translate(LEET))
+                clear = re.sub(r"!(?=[^\W\d_])", "i", low).translate(LEET)
+                clear = re.sub(r"(?<=[^\W\d_])[*|.\-_]+(?=[^\W\d_])", "", clear)
                 hidden_hits = max(0, len(self.found(clear)[0]) - len(hits))
         near, closest = 0, 1 << 20
         at = 0
