@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlake.operators.ordered import with_rank
+from leadlake.session import materialize
 
 # Leads per batch and seconds between batches.
 BATCH_SIZE = 50
@@ -38,9 +39,10 @@ def assign_flush_batches(
     parallel, the ways are chained (one row per block), then all blocks are numbered.
     """
     block_rows = max(block_rows, size)
-    ranked = with_rank(leads, ["job_id"], [order], "_rank").withColumn(
+    # Read several times below, so it is written once.
+    ranked = materialize(with_rank(leads, ["job_id"], [order], "_rank").withColumn(
         "_block", F.floor((F.col("_rank") - 1) / block_rows).cast("bigint")
-    )
+    ), "flush-ranks")
     steps = ranked.select("job_id", "_block", "_rank", F.col(arrival).cast("double").alias("_t"))
     long_jobs = steps.where(F.col("_rank") == block_rows + 1).select("job_id")
     entries = _block_entries(steps.join(long_jobs, "job_id", "left_semi"), size, timeout_s, block_rows)

@@ -47,30 +47,36 @@ def expire(table: DataFrame, now: float) -> DataFrame:
 
 
 def put_results(
-    meta: DataFrame, entries: DataFrame, searches: DataFrame, leads: DataFrame, ttl_s: int = CACHE_TTL_S
+    meta: DataFrame, entries: DataFrame, searches: DataFrame, leads: DataFrame, ttl_s: int = CACHE_TTL_S, by: str = "search_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Store the leads of finished searches; returns the new (meta, entries).
 
     ``searches`` has (search_id, keyword, city, state, country, max_results, cached_at);
-    ``leads`` has (search_id, n, lead). The last write of a hash replaces the earlier
-    one as a whole; a search without leads writes nothing.
+    ``leads`` has (search_id, n, lead); ``by`` names another column that links the two. The last
+    write of a hash replaces the earlier one as a whole, so writing the same search again changes
+    nothing; a search without leads writes nothing.
     """
-    counted = leads.groupBy("search_id").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    counted = leads.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("count"))
     moment = F.timestamp_micros((F.col("cached_at") * 1_000_000).cast("bigint"))
     # The text is in UTC whatever the time zone of the session.
     iso = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    written = with_search_hash(searches.join(counted, "search_id", "inner")).withColumns(
+    written = with_search_hash(searches.join(counted, by, "inner")).withColumns(
         {"cached_iso": iso, "ttl_s": F.lit(ttl_s)}
     )
     rows = meta.select(*META_COLUMNS).unionByName(written.select(*META_COLUMNS))
     value = F.struct(*META_COLUMNS[1:])
     latest = rows.groupBy("hash").agg(F.max_by(value, F.struct("cached_at", "search_id")).alias("_v")).select("hash", "_v.*")
 
-    version = ["hash", "search_id", "cached_at"]
-    added = leads.join(written.select(*version), "search_id", "inner")
-    columns = [*version, "n", "lead"]
-    everything = entries.select(*columns).unionByName(added.select(*columns))
-    return latest, everything.join(latest.select(*version), version, "left_semi").select(*columns)
+    # One write per hash: the one that is the latest now, if it is of this call.
+    versions = written.groupBy("hash").agg(F.max(F.struct("cached_at", F.col("search_id").alias("_id"), F.col(by).alias("_by"))).alias("_v")).select(
+        "hash", "_v._by", "_v._id", F.col("_v.cached_at").alias("_at"))
+    current = latest.select("hash", "search_id", "cached_at")
+    winners = current.join(versions, "hash").where((F.col("cached_at") == F.col("_at")) & F.col("search_id").eqNullSafe(F.col("_id")))
+    columns = ["hash", "search_id", "cached_at", "n", "lead"]
+    added = leads.select(F.col(by).alias("_by"), "n", "lead").join(winners.select("_by", "hash", "search_id", "cached_at"), "_by")
+    untouched = entries.select(*columns).join(winners.select("hash"), "hash", "left_anti").join(
+        current.select("hash", "cached_at"), ["hash", "cached_at"], "left_semi")
+    return latest, untouched.select(*columns).unionByName(added.select(*columns))
 
 
 def refresh_index(meta: DataFrame) -> DataFrame:

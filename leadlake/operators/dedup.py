@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.text import absent_as_null, norm_text, phone_key
+from leadlake.operators.ordered import with_rank
 from leadlake.session import materialize
 
 # Largest number of distinct candidates of one job that a single task decides.
@@ -63,35 +64,39 @@ def greedy_keep(
 
     Rows equal in all keys can only be represented by the earliest, so an aggregate
     shrinks the input first. Scopes with at most ``group_rows`` candidates are decided
-    in one sorted pass; larger ones in set-based rounds until they are small enough.
+    in one sorted pass. Larger ones lose the rows beaten by a row that is first under both keys, then
+    go block by block in order: rows that conflict with an earlier block's kept ones leave, the
+    rest of the block is decided in one pass. There are rows / ``group_rows`` blocks, whatever
+    the conflicts look like.
     """
     names = [scope, "_name", "_city"]
-    slim = keyed.groupBy(*names, "_phone").agg(F.min(order).alias(order))
-    if largest is None:
+    slim = materialize(keyed.groupBy(*names, "_phone").agg(F.min(order).alias(order)), "dedup-rows")
+    if largest is None or largest > group_rows:
         largest = slim.groupBy(scope).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
         return _decide_in_order(slim, scope, order)
 
-    open_rows = materialize(slim, "dedup-open")
-    decided = []
-    while True:
-        sizes = open_rows.groupBy(scope).count()
-        large = materialize(sizes.where(F.col("count") > group_rows).select(scope), "dedup-large")
-        decided.append(_decide_in_order(open_rows.join(large, scope, "left_anti"), scope, order))
-        if large.isEmpty():
-            break
-        # Only the large scopes go through another round.
-        big = open_rows.join(large, scope, "left_semi")
-        winners = materialize(_round_winners(big, scope, order), "dedup-kept")
-        decided.append(winners.select(scope, order))
-        remaining = big.join(winners, names, "left_anti").join(
-            winners.where(F.col("_phone").isNotNull()), [scope, "_phone"], "left_anti"
-        )
-        open_rows = materialize(remaining, "dedup-open")
-    result = decided[0]
-    for part in decided[1:]:
-        result = result.unionByName(part)
-    return result
+    sizes = slim.groupBy(scope).count()
+    large = materialize(sizes.where(F.col("count") > group_rows).select(scope), "dedup-large")
+    small = _decide_in_order(slim.join(large, scope, "left_anti"), scope, order)
+    big = slim.join(large, scope, "left_semi")
+    winners = materialize(_round_winners(big, scope, order), "dedup-kept")
+    remaining = _without(big, winners, scope, names)
+    block = F.floor((F.col("_rank") - 1) / F.lit(group_rows)).cast("bigint")
+    blocks = materialize(with_rank(remaining, [scope], [order], "_rank").withColumn("_block", block).drop("_rank"), "dedup-blocks")
+    last = blocks.agg(F.max("_block")).first()[0]
+    kept = winners.select(scope, order, "_name", "_city", "_phone")
+    for n in range(0 if last is None else last + 1):
+        rows = _without(blocks.where(F.col("_block") == n).drop("_block"), kept, scope, names)
+        chosen = _decide_in_order(rows, scope, order)
+        kept = kept.unionByName(materialize(blocks.join(chosen, [scope, order], "left_semi").select(*kept.columns), "dedup-kept"))
+    return small.unionByName(kept.select(scope, order))
+
+
+def _without(rows: DataFrame, kept: DataFrame, scope: str, names: Sequence[str]) -> DataFrame:
+    """Rows that share neither the name nor a phone with a kept one."""
+    phones = kept.where(F.col("_phone").isNotNull()).select(scope, "_phone")
+    return rows.join(kept.select(*names), list(names), "left_anti").join(phones, [scope, "_phone"], "left_anti")
 
 
 def _round_winners(rows: DataFrame, scope: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlake.operators.ordered import ROW_SPAN, with_rank
+from leadlake.operators.ordered import with_rank
 
 STALE_BATCH = 50
 # Largest k for which Catalyst cuts each map task to k rows per group before the shuffle.
@@ -21,17 +21,17 @@ def cap_per_job(
     by: Sequence[str] = ("job_id",),
     order: Sequence[str] = ("n",),
     largest: int | None = None,
-    span: int = ROW_SPAN,
 ) -> DataFrame:
     """First ``limit`` rows of each job in ``order``; the limit may differ per row's job.
 
     ``largest`` is the highest limit in the data (looked up when not given, which reads
-    ``df`` once more). Where limits live in a jobs table, :func:`cap_by_jobs` is cheaper.
+    ``df`` once more). Where limits live in a jobs table, :func:`cap_by_jobs` is cheaper. Null keys
+    are a job of their own; a null order comes first.
     """
     allowed = F.col(limit) if isinstance(limit, str) else limit
     if largest is None:
         largest = df.agg(F.max(allowed)).first()[0] or 0
-    return _first_rows(df, by, order, largest, span).where(F.col("_rank") <= allowed).drop("_rank")
+    return _first_rows(df, by, order, largest).where(F.col("_rank") <= allowed).drop("_rank")
 
 
 def cap_by_jobs(
@@ -41,7 +41,6 @@ def cap_by_jobs(
     by: Sequence[str] = ("job_id",),
     order: Sequence[str] = ("n",),
     largest: int | None = None,
-    span: int = ROW_SPAN,
 ) -> DataFrame:
     """Join ``jobs`` and keep the first ``limit`` rows of each job.
 
@@ -51,18 +50,18 @@ def cap_by_jobs(
     allowed = F.col(limit) if isinstance(limit, str) else limit
     if largest is None:
         largest = jobs.agg(F.max(allowed)).first()[0] or 0
-    first = _first_rows(df, by, order, largest, span)
+    first = _first_rows(df, by, order, largest)
     return first.join(jobs, list(by), "inner").where(F.col("_rank") <= allowed).drop("_rank")
 
 
-def _first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], largest: int, span: int) -> DataFrame:
+def _first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], largest: int) -> DataFrame:
     """The first ``largest`` rows of each group, with their ``_rank``.
 
     Up to ``GROUP_LIMIT`` every map task keeps at most that many rows per group before the
-    shuffle, so a huge group never reaches one task. Higher limits use slot-wise ranks.
+    shuffle, so a huge group never reaches one task. Higher limits use ranks over range partitions.
     """
     if largest > GROUP_LIMIT:
-        return with_rank(df, by, order, "_rank", span).where(F.col("_rank") <= F.lit(int(largest)))
+        return with_rank(df, by, order, "_rank").where(F.col("_rank") <= F.lit(int(largest)))
     position = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("_rank", position).where(F.col("_rank") <= F.lit(int(largest)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leadlake.functions.search import place_key, search_hash
 from leadlake.functions.text import absent_as_null, present, title_case
 from leadlake.operators.filters import keep_city_matches
-from leadlake.operators.ordered import TIME_SPAN_US, with_carried
+from leadlake.operators.ordered import Carried, with_ordered
 
 
 def alive(cached_at: Column, ttl_s: Column, now: float) -> Column:
@@ -84,7 +84,9 @@ def lookup_result_cache(searches: DataFrame, meta: DataFrame, entries: DataFrame
 
 def flag_new_leads(batch: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add ``is_new``: no known lead has the same key. Copies in ``known`` do not multiply rows."""
-    seen = known.select(*on).distinct().withColumn("_seen", F.lit(True))
+    asked = batch.select(*on).distinct()
+    # Only the known leads the batch asks for are made distinct.
+    seen = known.select(*on).join(asked, list(on), "left_semi").distinct().withColumn("_seen", F.lit(True))
     return batch.join(seen, list(on), "left").withColumn("is_new", F.col("_seen").isNull()).drop("_seen")
 
 
@@ -95,21 +97,22 @@ def reported_status(http_status: Column, body: Column) -> Column:
 
 
 def effective_status(jobs: DataFrame, status: DataFrame) -> DataFrame:
-    """Latest status of each job; a job without one is running."""
-    latest = status.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"))
+    """Latest status of each job; a job without one is running. Of statuses at one time the last by name counts."""
+    latest = status.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
     joined = jobs.select("job_id").join(latest, "job_id", "left")
     return joined.withColumn("status", F.coalesce("status", F.lit("running")))
 
 
 def apply_job_control(
-    leads: DataFrame, status: DataFrame, order: str = "n", ts: str = "ts", span: int = TIME_SPAN_US
+    leads: DataFrame, status: DataFrame, order: str = "n", ts: str = "ts"
 ) -> DataFrame:
     """Add ``disposition`` and ``release_ts`` to each lead of a job under control.
 
     A lead counts before a status of the same time. After a job's first cancellation
     leads are ``dropped``. While paused they wait: until the next status that is not a
     pause (``delivered`` then; ``dropped`` if that one cancels), or ``held`` without one.
-    Otherwise they are ``delivered`` at their own time. ``ts`` is whole microseconds.
+    Otherwise they are ``delivered`` at their own time. ``ts`` is whole microseconds. Statuses at
+    one time follow each other by name.
     """
     events = leads.select("job_id", ts, F.lit(0).alias("_kind"), order, F.lit(None).cast("string").alias("_status"))
     control = status.select(
@@ -117,10 +120,10 @@ def apply_job_control(
         F.col("status").alias("_status"),
     )
     timeline = events.unionByName(control)
-    sequence = [ts, "_kind", order]
-    timeline = with_carried(timeline, ["job_id"], sequence, F.col("_status"), "_before", span)
     resumed = F.when(F.col("_status") != "paused", F.struct(ts, "_status"))
-    timeline = with_carried(timeline, ["job_id"], sequence, resumed, "_after", span, backwards=True)
+    timeline = with_ordered(timeline, ["job_id"], [ts, "_kind", order, "_status"], {
+        "_before": Carried(F.col("_status")), "_after": Carried(resumed, backwards=True),
+    })
     cancels = status.where(F.col("status") == "cancelled").groupBy("job_id").agg(F.min("ts").alias("_cancel_ts"))
 
     cancelled = F.coalesce(F.col(ts) > F.col("_cancel_ts"), F.lit(False))

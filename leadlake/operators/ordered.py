@@ -98,76 +98,21 @@ def with_ordered(
     joined = rows.withColumns(local).join(carried, functools.reduce(Column.__and__, same))
     return joined.withColumns(final).select(*[c for c in df.columns if c not in final], *final)
 
-# Rows per slot for orders that count rows; microseconds per slot for time orders.
-ROW_SPAN = 1 << 18
-TIME_SPAN_US = 3_600_000_000
 
-
-def slot_of(order: str, span: int) -> Column:
-    return F.floor(F.col(order) / F.lit(span)).cast("bigint")
-
-
-def _join_slots(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of rows to per-slot summaries; both sides are hashed by (group, slot)."""
-    return df.join(summary, list(keys), "left")
-
-
-def with_rank(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank", span: int = ROW_SPAN
-) -> DataFrame:
-    """Exact row number inside each ``by`` group, in ``order`` (first column numeric)."""
-    keys = [*by, "_slot"]
-    cut = df.withColumn("_slot", slot_of(order[0], span))
-    per_slot = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    base = per_slot.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
-    local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    ranked = _join_slots(local, base, keys)
-    return ranked.withColumn(out, F.col("_base") + F.col("_local")).drop("_slot", "_base", "_local")
+def with_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank", parts: int | None = None) -> DataFrame:
+    """Exact row number inside each ``by`` group, in ``order``."""
+    return with_ordered(df, by, order, {out: Rank()}, parts)
 
 
 def with_running_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, span: int = ROW_SPAN
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, parts: int | None = None
 ) -> DataFrame:
     """Sum of ``value`` over the rows strictly before the current one."""
-    keys = [*by, "_slot"]
-    cut = df.withColumn("_slot", slot_of(order[0], span)).withColumn("_value", value)
-    per_slot = cut.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    earlier = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    base = per_slot.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    summed = _join_slots(local, base, keys)
-    return summed.withColumn(out, F.col("_base") + F.col("_local")).drop("_slot", "_value", "_base", "_local")
+    return with_ordered(df, by, order, {out: Total(value)}, parts)
 
 
 def with_carried(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    out: str,
-    span: int = TIME_SPAN_US,
-    backwards: bool = False,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, parts: int | None = None, backwards: bool = False
 ) -> DataFrame:
-    """The last non-null ``value`` on a row strictly before the current one.
-
-    With ``backwards`` it is the first non-null ``value`` strictly after the current row.
-    """
-    keys = [*by, "_slot"]
-    cut = df.withColumn("_slot", slot_of(order[0], span)).withColumn("_value", value)
-    rank = F.struct(*order)
-    pick = F.min_by if backwards else F.max_by
-    per_slot = cut.where(F.col("_value").isNotNull()).groupBy(*keys).agg(pick("_value", rank).alias("_edge"))
-    # Every slot that has rows needs an answer, also one without values of its own.
-    slots = cut.groupBy(*keys).agg(F.lit(1).alias("_any")).join(per_slot, keys, "left")
-
-    # Looking forward is looking back in descending order: growing frames stay linear.
-    def earlier(window_keys: Sequence[str], columns: Sequence[str]):
-        ordering = [F.col(c).desc() if backwards else F.col(c).asc() for c in columns]
-        return W.partitionBy(*window_keys).orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
-
-    carried = slots.select(*keys, F.last("_edge", ignorenulls=True).over(earlier(by, ["_slot"])).alias("_carried"))
-    local = cut.withColumn("_local", F.last("_value", ignorenulls=True).over(earlier(keys, order)))
-    joined = _join_slots(local, carried, keys)
-    return joined.withColumn(out, F.coalesce("_local", "_carried")).drop("_slot", "_value", "_local", "_carried")
+    """The last non-null ``value`` strictly before the current row; with ``backwards`` the first one strictly after it."""
+    return with_ordered(df, by, order, {out: Carried(value, backwards)}, parts)

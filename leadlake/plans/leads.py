@@ -86,9 +86,17 @@ def feed_links(cards: DataFrame, jobs: DataFrame, largest: int) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Raw place texts of the wanted addresses, each page parsed once whatever the number of jobs."""
-    needed = drop_captcha_pages(pages.select("url", "html")).join(wanted.select("url").distinct(), "url", "left_semi")
-    return place_raw(extract_place_fields(needed))
+    """Raw place texts of the wanted addresses, each page parsed once whatever the number of jobs.
+
+    Of several captures of an address the latest one that is not blocked counts.
+    """
+    moment = F.col("captured_at") if "captured_at" in pages.columns else F.lit(None).cast("timestamp")
+    needed = drop_captcha_pages(pages.select("url", "html", moment.alias("_captured"))).join(wanted.select("url").distinct(), "url", "left_semi")
+    mark = F.struct(F.col("_captured"), F.xxhash64("html").alias("content"))
+    marked = needed.withColumn("_mark", mark).drop("_captured")
+    latest = marked.groupBy("url").agg(F.max("_mark").alias("_latest"))
+    chosen = marked.join(latest, "url").where(F.col("_mark") == F.col("_latest")).select("url", "html").dropDuplicates(["url"])
+    return place_raw(extract_place_fields(chosen))
 
 
 def leads_from_pages(

@@ -15,9 +15,9 @@ from leadlake.sources.jobs import search_jobs
 
 
 def refresh_requests(meta: DataFrame, now: float, age_s: int, limit: int = STALE_BATCH) -> DataFrame:
-    """Search jobs for the stale entries, under their old search id."""
+    """Search jobs for the stale entries; the search hash is the job id, as an entry need not have a search id."""
     stale = valid_refresh_request(stale_entries(refresh_index(meta), meta, now, age_s, limit))
-    return search_jobs(stale.withColumn("job_id", F.col("search_id")))
+    return search_jobs(stale.withColumn("job_id", F.col("hash")))
 
 
 def refresh_cycle(
@@ -32,12 +32,12 @@ def refresh_cycle(
 ) -> tuple[DataFrame, DataFrame]:
     """Recompute the stale searches and store them; returns the new (meta, entries).
 
-    Refreshed leads skip the lead dedup. Entries that yield no leads stay as they are.
+    The job of a card is the hash of its search. Refreshed leads skip the lead dedup. Entries that yield no leads stay as they are.
     """
     # At most ``limit`` searches; written so that the stale list is chosen once.
     jobs = materialize(refresh_requests(meta, now, age_s, limit), "refresh-requests")
     leads = found_leads(jobs, cards, pages, None, now, largest_request(jobs)).select(
-        F.col("job_id").alias("search_id"), "n", F.struct(*LEAD_COLUMNS).alias("lead")
+        "job_id", "n", F.struct(*LEAD_COLUMNS).alias("lead")
     )
     searches = jobs.withColumn("cached_at", F.lit(now))
-    return put_results(meta, entries, searches, leads, ttl_s)
+    return put_results(meta, entries, searches, leads, ttl_s, by="job_id")

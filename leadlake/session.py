@@ -90,11 +90,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a scan that yields fewer partitions than there are.
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a small table to all cores ahead of heavy per-row work.
 
-    Meant for small files ahead of heavy per-row work; a scan with enough partitions is
-    returned unchanged, so large inputs are never shuffled for this.
+    Costs a shuffle; a large table has enough partitions of its own.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)

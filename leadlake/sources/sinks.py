@@ -45,7 +45,9 @@ def read_before(spark: SparkSession, path: str, schema: StructType, epoch: int)
     """What earlier deliveries wrote; an empty table before the first one."""
     try:
         table = spark.read.option("basePath", path).schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     return table.where(F.col("epoch") < epoch)
 

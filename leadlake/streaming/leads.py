@@ -19,7 +19,7 @@ from leadlake.operators.dedup import greedy_keep
 from leadlake.operators.limits import cap_by_jobs
 from leadlake.operators.lookup import apply_job_control
 from leadlake.plans.leads import accepted_leads, build_leads, job_context, largest_request
-from leadlake.session import materialize, spread
+from leadlake.session import materialize
 from leadlake.sources.sinks import append_leads, read_before
 
 log = logging.getLogger(__name__)
@@ -103,7 +103,7 @@ def stream_leads(
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         places = admit_links(batch, context, out, epoch, largest)
-        found = materialize(accepted_leads(build_leads(spread(places))), "epoch-found")
+        found = materialize(accepted_leads(build_leads(places)), "epoch-found")
         leads = keep_first(found, out, epoch, largest)
         append_leads(leads, f"{out}/leads", epoch)
         notify(on_leads, leads, epoch)

@@ -101,3 +101,33 @@ def test_upsert_quarantine_outcomes(spark):
     found = {r.job_id: tuple(r)[1:] for r in sinks.job_outcomes(jobs, sent, endings).collect()}
     assert found["j"] == ("complete", 3, 1, True, 5, None) and found["k"] == ("cancelled", 0, 0, None, None, None)
     assert found["m"] == ("error", None, None, None, None, "e" * 400) and found["o"] == ("complete", 2, 2, None, None, None)
+
+
+def test_writing_a_search_twice_changes_nothing(spark):
+    search, leads = [("1", "Bar", "X", "", "BR", 20, 10.0)], [("1", 1, "a"), ("1", 2, "b")]
+    first = stored(spark, search, leads)
+    for searches in (search, search * 2):
+        meta, entries = stored(spark, searches, leads, first)
+        assert [r["count"] for r in meta.collect()] == [2]
+        assert sorted(r.lead.name for r in entries.collect()) == ["a", "b"]
+    older = stored(spark, [("0", "Bar", "X", "", "BR", 20, 5.0)], [("0", 1, "old")], first)
+    assert sorted(r.lead.name for r in older[1].collect()) == ["a", "b"]
+
+
+def test_entries_without_a_search_id_are_refreshed(spark):
+    from leadlake.plans.refresh import refresh_requests
+
+    meta, _ = stored(spark, [(None, "Bar", "X", "", "BR", 20, 10.0)], [])
+    row = ("h1", None, "bar", "X", "", "BR", 20, 1, 10.0, "", 100)
+    jobs = refresh_requests(spark.createDataFrame([row], RESULT_META), 1000.0, 10).collect()
+    assert meta.isEmpty() and [(j.job_id, j.search_id, j.keyword) for j in jobs] == [("h1", None, "bar")]
+
+
+def test_a_missing_path_means_no_state(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("job_id string, epoch int")
+    assert sinks.read_before(spark, str(tmp_path / "nowhere"), schema, 3).isEmpty()
+    spark.createDataFrame([("a",)], "job_id string").write.parquet(str(tmp_path / "state" / "epoch=1"))
+    assert sinks.read_before(spark, str(tmp_path / "state"), schema, 3).count() == 1
+    assert sinks.read_before(spark, str(tmp_path / "state"), schema, 1).isEmpty()

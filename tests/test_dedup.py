@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadlake.operators.dedup import dedup_leads, dedup_urls, unique_lead_count
 
@@ -66,3 +67,20 @@ def test_chain_of_conflicts(spark):
 def test_dedup_urls(spark):
     cards = spark.createDataFrame([("j", 2, "u", "b"), ("j", 1, "u", "a"), ("j", 3, "v", "c"), ("k", 1, "u", "d")], "job_id string, position int, url string, name string")
     assert sorted(tuple(r) for r in dedup_urls(cards).collect()) == [("j", 1, "u", "a"), ("j", 3, "v", "c"), ("k", 1, "u", "d")]
+
+
+def test_long_chain_takes_one_step_per_block(spark, monkeypatch):
+    from leadlake.operators import dedup
+
+    count, steps = 20_000, []
+    decide = dedup._decide_in_order
+    monkeypatch.setattr(dedup, "_decide_in_order", lambda *a: steps.append(1) or decide(*a))
+    chain = spark.range(count).select(
+        F.lit("j").alias("job_id"), F.col("id").alias("n"), F.concat(F.lit("n"), F.floor(F.col("id") / 2)).alias("name"), F.lit("x").alias("city"),
+        F.concat(F.lit("9"), F.lpad(F.floor((F.col("id") + 1) / 2).cast("string"), 8, "0")).alias("phone"))
+    kept = {r.n for r in dedup_leads(chain, group_rows=5_000).select("n").collect()}
+    names, phones, expected = set(), set(), set()
+    for n in range(count):
+        if n // 2 not in names and (n + 1) // 2 not in phones:
+            names.add(n // 2), phones.add((n + 1) // 2), expected.add(n)
+    assert kept == expected and len(steps) <= 1 + count // 5_000

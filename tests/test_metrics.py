@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from leadlake.operators import metrics
 from leadlake.operators.saturation import feed_saturation
 from leadlake.schemas import JOB_EVENT
@@ -55,3 +57,13 @@ def test_saturation_and_exhaustion(spark):
 def test_liveness(spark):
     beats = spark.createDataFrame([("a", 100_000_000, 1.0), ("a", 50_000_000, 2.0), ("b", 60_000_000, 3.0), ("c", 0, 4.0)], "worker_id string, ts_us bigint, cpu_usage double")
     assert {(r.worker_id, r.cpu_usage, r.state) for r in metrics.worker_liveness(beats, 110_000_000).collect()} == {("a", 1.0, "online"), ("b", 3.0, "late"), ("c", 4.0, "offline")}
+
+
+def test_report_rounds_the_hit_rate_once(spark):
+    from leadlake.operators import metrics
+
+    counters = spark.createDataFrame([("j", 0, "lead", 1, 0, 0, 0, 0, False)], "job_id string, ts_us bigint, kind string, count bigint, elapsed_ms bigint, emails int, socials int, technologies int, cache_hit boolean")
+    row = counters.groupBy("job_id").agg(*metrics.job_counters(), *metrics.enrichment_counters())
+    full = metrics.job_rates(row.withColumns({"cache_hits": F.lit(1346).cast("bigint"), "leads_scraped": F.lit(8654).cast("bigint")}))
+    line = metrics.metrics_report(full.withColumn("instant_lpm", F.lit(0.0)), final=True).first().report
+    assert "cache_hit_rate=13%" in line

@@ -21,14 +21,14 @@ def grouped(rows):
     return groups
 
 
-@pytest.mark.parametrize("span", [1, 7, 100_000])
-def test_slot_wise_results_equal_plain_ones(spark, span):
-    rows = random_rows(span)
+@pytest.mark.parametrize("parts", [1, 7, 16])
+def test_pieces_give_the_plain_results(spark, parts):
+    rows = random_rows(parts)
     df = spark.createDataFrame(rows, "job string, o bigint, v string, x int")
-    ranked = with_rank(df, ["job"], ["o"], "r", span)
-    summed = with_running_total(ranked, ["job"], ["o"], F.col("x"), "s", span)
-    back = with_carried(summed, ["job"], ["o"], F.col("v"), "before", span)
-    both = with_carried(back, ["job"], ["o"], F.col("v"), "after", span, backwards=True)
+    ranked = with_rank(df, ["job"], ["o"], "r", parts)
+    summed = with_running_total(ranked, ["job"], ["o"], F.col("x"), "s", parts)
+    back = with_carried(summed, ["job"], ["o"], F.col("v"), "before", parts)
+    both = with_carried(back, ["job"], ["o"], F.col("v"), "after", parts, backwards=True)
     found = {(r.job, r.o): (r.r, r.s, r.before, r.after) for r in both.collect()}
     assert len(found) == len(rows)
     for group in grouped(rows).values():
@@ -43,9 +43,9 @@ def test_cap_per_job(spark, largest):
     rows = [(job, o, len(job)) for job, o, _, _ in random_rows(3)]
     df = spark.createDataFrame(rows, "job_id string, n bigint, max_results int")
     expected = sorted((r[0], r[1]) for g in grouped(rows).values() for r in g[: g[0][2]])
-    assert sorted((r.job_id, r.n) for r in cap_per_job(df, largest=largest, span=13).collect()) == expected
+    assert sorted((r.job_id, r.n) for r in cap_per_job(df, largest=largest).collect()) == expected
     jobs = df.select("job_id", "max_results").distinct()
-    capped = cap_by_jobs(df.drop("max_results"), jobs, largest=largest, span=13)
+    capped = cap_by_jobs(df.drop("max_results"), jobs, largest=largest)
     assert sorted((r.job_id, r.n) for r in capped.collect()) == expected
 
 
@@ -87,3 +87,23 @@ def test_flush_equals_fold(spark, size, block_rows):
     df = spark.createDataFrame(rows, "job_id string, n bigint, arrival_s double")
     found = assign_flush_batches(df, size=size, block_rows=block_rows)
     assert {(r.job_id, r.n): r.batch_no for r in found.collect()} == expected
+
+
+def test_nulls_are_groups_on_both_sides_of_the_limit(spark):
+    rows = [(None, 1, 2), (None, None, 2), (None, 3, 2), ("a", None, 1), ("a", 5, 1)]
+    df = spark.createDataFrame(rows, "job_id string, n bigint, max_results int")
+    wanted = [(None, None), (None, 1), ("a", None)]
+    for largest in (5, GROUP_LIMIT + 1):
+        found = [(r.job_id, r.n) for r in cap_per_job(df, largest=largest).collect()]
+        assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_sparse_order_has_one_summary_per_piece(spark, monkeypatch):
+    from leadlake.operators import ordered
+
+    written = []
+    keep = ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, label: written.append(keep(df, label)) or written[-1])
+    df = spark.range(20_000).select(F.lit("hot").alias("job"), (F.col("id") * 1_000_003).alias("o"))
+    assert with_rank(df, ["job"], ["o"], "r", 8).agg(F.count_distinct("r"), F.max("r")).first() == (20_000, 20_000)
+    assert written[0].select("_piece", "job").distinct().count() <= 8

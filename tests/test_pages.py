@@ -88,3 +88,17 @@ def test_cap_comes_before_dedup_and_cache_hits_skip_the_address_check(spark):
     assert sorted((r.job_id, r.name) for r in again.collect()) == [("j", "A"), ("j", "B"), ("k", "A"), ("k", "B"), ("k", "Cached")]
     expired = leads_from_pages(jobs, cards, pages, cache, now=50.0)
     assert "Cached" not in {r.name for r in expired.collect()}
+
+
+def test_the_latest_capture_of_an_address_counts(spark):
+    from datetime import datetime
+
+    from leadlake.plans.leads import extract_pages
+
+    page = lambda name: f'<html><body><div role="main"><h1 class="DUwDvf">{name}</h1></div></body></html>'
+    rows = [("u", page("Old"), datetime(2024, 1, 1)), ("u", page("New"), datetime(2024, 1, 2)), ("u", page("New"), datetime(2024, 1, 2)), ("v", page("Other"), None)]
+    pages = spark.createDataFrame(rows, "url string, html string, captured_at timestamp")
+    wanted = spark.createDataFrame([("u",), ("v",)], "url string")
+    for table in (pages, pages.drop("captured_at")):
+        assert sorted(r.url for r in extract_pages(table, wanted).collect()) == ["u", "v"]
+    assert {r.url: r.name for r in extract_pages(pages, wanted).collect()}["u"] == "New"

@@ -40,7 +40,7 @@ ORACLES["f2_dedup_leads"] = oracle(
     "select l.* from @leads l join walk using (job_id, n) where kept", *greedy("@leads"), recursive=True
 )
 # The same rule by set-based rounds, the way taken for a job too large for one task.
-QUERIES["f2_dedup_leads_rounds"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads", heavy=True), group_rows=10)
+QUERIES["f2_dedup_leads_rounds"] = lambda spark, sf: dedup.dedup_leads(derived(spark, sf, "leads", heavy=True), group_rows=100)
 ORACLES["f2_dedup_leads_rounds"] = ORACLES["f2_dedup_leads"]
 QUERIES["f3_unique_lead_count"] = lambda spark, sf: dedup.unique_lead_count(dedup.dedup_leads(derived(spark, sf, "leads", heavy=True)))
 ORACLES["f3_unique_lead_count"] = oracle(
@@ -120,7 +120,7 @@ ORACLES["f8_metrics_report"] = oracle(
     """select job_id, printf('metrics [FINAL] job=%s scraped=%d sent=%d new=%d deduped=%d cache_hits=%d cache_hit_rate=%.0f%% '
         || 'errors=%d retries=%d batches=%d avg_batch_ms=%.0f phase1_ms=%d phase2_ms=%d avg_nav_ms=%.0f navs=%d enriched=%d emails=%d '
         || 'socials=%d technologies=%d enrich_cache_hits=%d enrich_cache_misses=%d elapsed=%.1fs leads_per_min=%.1f instant_lpm=%.1f',
-        job_id, leads_scraped, leads_sent, leads_new, leads_deduped, cache_hits, cache_hit_rate, errors, retries, batches_sent, avg_batch_ms,
+        job_id, leads_scraped, leads_sent, leads_new, leads_deduped, cache_hits, case when cache_hits + leads_scraped > 0 then 100.0::double * cache_hits / (cache_hits + leads_scraped) else 0 end, errors, retries, batches_sent, avg_batch_ms,
         phase1_ms, phase2_ms, avg_nav_ms, navs, leads_enriched, emails_found, socials_found, technologies_found, enrich_cache_hits,
         enrich_cache_misses, elapsed_s, leads_per_min, coalesce(instant_lpm, 0)) as report
        from rates left join (select job_id, arg_max(instant_lpm, ts_us) as instant_lpm from instant group by 1) i using (job_id)""",

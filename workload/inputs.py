@@ -7,6 +7,7 @@ start from the same rows. ``@name`` refers to a driver table or another derived
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -191,16 +192,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A derived (or driver) table as a DataFrame; ``heavy`` prepares small files for costly expressions."""
+def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False, read: Callable[..., DataFrame] = table) -> DataFrame:
+    """A derived (or driver) table as a DataFrame; ``heavy`` prepares small files for costly expressions, ``read`` opens driver tables."""
     if name in BASE:
-        return spread(table(spark, sf_dir, name)) if heavy else table(spark, sf_dir, name)
+        return spread(read(spark, sf_dir, name)) if heavy else read(spark, sf_dir, name)
     text = DERIVED[name].replace("LIST(", "array(").replace(
         "EPOCH_US(ts)", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
     )
     text = re.sub(r"[{}]", lambda m: m.group() * 2, text)
     used = sorted(set(_NAME.findall(text)))
-    return spark.sql(_NAME.sub(r"{\1}", text), **{n: derived(spark, sf_dir, n, heavy) for n in used})
+    return spark.sql(_NAME.sub(r"{\1}", text), **{n: derived(spark, sf_dir, n, heavy, read) for n in used})
 
 
 def _needed(text: str, seen: list[str]) -> list[str]:

@@ -25,7 +25,6 @@ from workload.inputs import DERIVED, NOW, NOW_SQL, derived, oracle, table
 
 c = F.col
 QUERIES, ORACLES = {}, {}
-STREAM_LIMIT_S = 600
 
 # --- I1: delivery batches --------------------------------------------------------------------
 
@@ -57,30 +56,19 @@ ORACLES["i1_assign_flush_batches_blocks"] = ORACLES["i1_assign_flush_batches"]
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table's path itself, a file or a folder of parts (a file stream reads a folder, so a file is named by a glob)."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
 
 
 def derived_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived table of one driver table, as a stream."""
     base = re.search(r"@(\w+)", DERIVED[name]).group(1)
-    return derived_from(spark, sf, name, {base: stream_table(spark, sf, base)})
-
-
-def derived_from(spark, sf, name, replaced):
-    from workload import inputs
-
-    original = inputs.table
-    inputs.table = lambda s, d, n: replaced.get(n) if n in replaced else original(s, d, n)
-    try:
-        return derived(spark, sf, name)
-    finally:
-        inputs.table = original
+    return derived(spark, sf, name, read=lambda s, d, n: stream_table(s, d, n) if n == base else table(s, d, n))
 
 
 def finish(query) -> None:
-    if not query.awaitTermination(STREAM_LIMIT_S):
-        query.stop()
-        raise TimeoutError("the stream did not finish in time")
+    """Wait for all available data, however long that takes."""
+    query.awaitTermination()
 
 
 def _streamed_leads(spark, sf):
@@ -281,8 +269,9 @@ def _refreshed(spark, sf):
         "name", *[F.lit(None).cast(RESULT_ENTRY["lead"].dataType[x].dataType).alias(x) for x in LEAD_COLUMNS[1:]]).alias("lead"))
     meta, entries = put_results(
         spark.createDataFrame([], RESULT_META), spark.createDataFrame([], RESULT_ENTRY), derived(spark, sf, "cached_searches"), old)
-    new_meta, new_entries = refresh_cycle(
-        meta, entries, derived(spark, sf, "place_cards"), pages_of(spark, sf), NOW, 2 * lk.DAY)
+    # The job of a refresh is the search's hash.
+    cards = derived(spark, sf, "place_cards").join(meta.select("hash", c("search_id").alias("job_id")), "job_id").drop("job_id").withColumnRenamed("hash", "job_id")
+    new_meta, new_entries = refresh_cycle(meta, entries, cards, pages_of(spark, sf), NOW, 2 * lk.DAY)
     return new_entries.join(new_meta.select("hash", "search_id", "count"), ["hash", "search_id"]).select(
         "hash", "search_id", "n", "lead.name", "count", F.round("cached_at", 3).alias("cached_at"))
 
