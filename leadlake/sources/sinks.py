@@ -23,8 +23,12 @@ def upsert_leads(
     """(leads with ``is_new``, ``sent`` and ``new_count`` per job and batch).
 
     A key that occurs several times in the batch is new once, at its first row.
-    ``batch`` has (job_id, batch_id) besides the key columns.
+    ``batch`` has (job_id, batch_id) besides the key columns. Where ``known`` has them too, rows of the
+    batches written now do not count as known, so a replayed batch gives what it gave before.
     """
+    own = ["job_id", "batch_id"]
+    if set(own) <= set(known.columns):
+        known = known.join(batch.select(*own).distinct(), own, "left_anti")
     first = batch.groupBy(*on).agg(F.min(F.struct("job_id", order)).alias("_first"))
     flagged = flag_new_leads(first, known, on).where("is_new").select(
         F.col("_first.job_id").alias("job_id"), F.col(f"_first.{order}").alias(order), "is_new"
@@ -36,6 +40,11 @@ def upsert_leads(
     return rows, totals
 
 
+def store_leads(batch: DataFrame, path: str) -> None:
+    """Write leads keyed by (job_id, batch_id): a replayed batch replaces itself, other batches stay."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id", "batch_id").parquet(path)
+
+
 def append_leads(batch: DataFrame, path: str, epoch: int) -> None:
     """Write one delivery; a repeated delivery of the same epoch replaces itself."""
     batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

@@ -90,18 +90,19 @@ def keep_first(found: DataFrame, out: str, epoch: int, largest: int) -> DataFram
 
 def stream_leads(
     places: DataFrame,
-    jobs: DataFrame,
+    jobs: DataFrame | Callable[[], DataFrame],
     out: str,
     on_leads: OnLeads | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Place texts in, delivered leads out (``out``/leads), each as soon as it is found.
 
-    ``places`` is a stream with (job_id, n, url) and the raw place columns.
+    ``places`` is a stream with (job_id, n, url) and the raw place columns. ``jobs`` may be a function that
+    reads the jobs anew: it is called per micro-batch, so jobs and limits that come later count.
     """
-    context, largest = job_context(jobs), largest_request(jobs)
-
     def deliver(batch: DataFrame, epoch: int) -> None:
+        current = jobs() if callable(jobs) else jobs
+        context, largest = job_context(current), largest_request(current)
         places = admit_links(batch, context, out, epoch, largest)
         found = materialize(accepted_leads(build_leads(places)), "epoch-found")
         leads = keep_first(found, out, epoch, largest)
@@ -117,7 +118,7 @@ def standing_status(status: DataFrame) -> DataFrame:
     Per job: the latest that is no pause, the first pause after it, and the first cancellation.
     """
     active = F.col("status") != "paused"
-    latest = status.where(active).groupBy("job_id").agg(F.max_by(F.struct("status", "ts"), "ts").alias("_l")).select("job_id", "_l.*")
+    latest = status.where(active).groupBy("job_id").agg(F.max(F.struct("ts", "status")).alias("_l")).select("job_id", "_l.status", "_l.ts")
     cancel = status.where(F.col("status") == "cancelled").groupBy("job_id").agg(F.min("ts").alias("ts")).select(
         "job_id", F.lit("cancelled").alias("status"), "ts"
     )
