@@ -8,9 +8,11 @@ aligned shingles. All shingles of a text differ, so the alignment is a longest i
 subsequence of the matches within the band that the threshold leaves.
 
 Texts with the same words in the same order are one node. In each bucket every member is aligned
-with the one that has most company; what that leaves in different components meets once more
-inside its bucket, and pairs that share two sketches are aligned. Buckets too large for that are
-parted by a further sketch (two similar texts share about half of them), and by tiles at last.
+with its leader, the one that has most company. What that leaves in different components meets once
+more, among all that share a leader: in a task, products of sparse incidence matrices count the shingles
+each two members share, and pairs that share enough are aligned until their components have merged.
+Only the links of a spanning forest leave the task. Large meetings are parted by bucket, then by
+further sketches (two similar texts share about half of them); what is large still is cut into tiles that meet in pairs.
 
 With 20 sketches of 3 shingles, a pair at the threshold is missed with a probability under 1e-5.
 
@@ -24,6 +26,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,10 +39,12 @@ from leadlake.session import materialize
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 SKETCHES, PICKED = 20, 3
-# Members of a bucket that meet in one row; larger buckets are parted first.
-BUCKET_ROWS = 256
-# How often a large bucket is parted by a further sketch before it is cut into tiles.
+# Members of one tile; a task holds two. Meetings of more tiles than that are parted first.
+TILE_ROWS, TILES_TOGETHER = 512, 32
+# How often a large meeting is parted, first by bucket, then by further sketches, before it is only tiled.
 PARTINGS = 3
+# Columns of the incidence matrix at once.
+SHINGLES_AT_ONCE = 1 << 12
 
 
 def order_sketches(shingles: np.ndarray, sketches: int, picked: int) -> np.ndarray:
@@ -122,65 +127,108 @@ def aligner(threshold: float):
     return run
 
 
-def aligned_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar. ``nodes`` has (node, doc_id, whole) of each node's first document."""
-    pairs = materialize(pairs, "near-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "whole", F.col("doc_id").alias("first_id"))
-    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "whole", "text")
-    sequences = materialize(texts.mapInArrow(sequencer(k), "node long, shingles binary").dropDuplicates(["node"]), "near-sequences")
+def node_sequences(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, n, shingles) of the wanted nodes, from the text of each node's first document; ``nodes`` has (node, doc_id, whole)."""
+    first = wanted.select("node").distinct().join(nodes, "node").select("node", "whole", F.col("doc_id").alias("first_id"))
+    texts = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "whole", "text")
+    return materialize(texts.mapInArrow(sequencer(k), "node long, shingles binary").dropDuplicates(["node"]), "near-sequences")
+
+
+def aligned_pairs(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar."""
     left = pairs.join(sequences.select(F.col("node").alias("a"), F.col("shingles").alias("left_shingles")), "a")
     both = left.join(sequences.select(F.col("node").alias("b"), F.col("shingles").alias("right_shingles")), "b")
     return materialize(both.select("a", "b", "left_shingles", "right_shingles").mapInArrow(aligner(threshold), "a long, b long"), "near-links")
 
 
-def closer_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket that lie in different components, are of like length and share two sketches at least."""
-    for batch in batches:
-        out: list[np.ndarray] = []
-        for members, tiles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            node, comp, n = (np.array([m[c] for m in members]) for c in ("node", "component", "n"))
-            sketch = np.array([m["sketches"] for m in members])
-            tile = np.array([m["tile"] for m in members])
-            for i in range(len(members) - 1):
-                rest = slice(i + 1, None)
-                fit = (comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) >= THRESHOLD * np.maximum(n[rest], n[i])) & ((tile[rest] != tile[i]) | (not tiles))
-                if fit.any():
-                    j = np.flatnonzero(fit) + i + 1
-                    j = j[(sketch[j] == sketch[i]).sum(axis=1) >= 2]
-                    out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
-
-
-def remaining_pairs(members: DataFrame, sketched: DataFrame, bucket_rows: int, partings: int) -> DataFrame:
-    """Pairs worth aligning among (bucket, slot, node, component), in buckets that hold several components."""
-    found, level = None, 0
-    while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed_buckets = sizes.where("low <> high").select("bucket", "size")
-        rows = materialize(members.join(mixed_buckets, "bucket"), "near-buckets")
-        tiles = F.when(F.lit(level < partings), 1).otherwise(F.ceil(F.col("size") / F.lit(bucket_rows))).cast("int")
-        fits = rows if level >= partings else rows.where(F.col("size") <= bucket_rows)
-        payload = fits.withColumn("tiles", tiles).join(sketched.select("node", "n", "sketches"), "node").withColumn(
+def shared_counts(sequences: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sequences share. Shingles that only one of them has are left out of the matrix."""
+    flat = np.concatenate(sequences)
+    owner = np.repeat(np.arange(len(sequences)), [len(x) for x in sequences])
+    distinct, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    useful = n[at] > 1
+    owner, column = owner[useful], column[at[useful]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sequences),) * 2, dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SHINGLES_AT_ONCE):
+        a, b = np.searchsorted(column, [low, low + SHINGLES_AT_ONCE])
+        part = np.zeros((len(sequences), min(SHINGLES_AT_ONCE, int(column[b - 1]) - low + 1)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def joiner(threshold: float):
+    """Links of a spanning forest among the members of a meeting of two tiles, given their components so far."""
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        members = members.drop_duplicates("node")
+        node, comp, tile = (members[c].to_numpy() for c in ("node", "component", "tile"))
+        low, high = members["low"].iloc[0], members["high"].iloc[0]
+        sequences = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+        size = np.array([len(x) for x in sequences], dtype=np.float64)
+        common = shared_counts(sequences)
+        enough = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+        enough &= comp[:, None] != comp[None, :]
+        if low != high:
+            enough &= tile[:, None] != tile[None, :]
+        i, j = np.nonzero(np.triu(enough, 1))
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        links = []
+        for x in np.argsort(-common[i, j], kind="stable"):
+            p, q = int(i[x]), int(j[x])
+            a, b = find(int(comp[p])), find(int(comp[q]))
+            if a != b and similarity(sequences[p], sequences[q], threshold) >= threshold:
+                root[max(a, b)] = min(a, b)
+                links.append((node[p], node[q]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def remaining_links(
+    members: DataFrame, sketched: DataFrame, sequences: DataFrame, threshold: float, tile_rows: int, tiles_together: int, partings: int,
+) -> DataFrame:
+    """Links among (leader, bucket, slot, node, component) that share a leader and lie in different components."""
+    found = None
+    rows = members.select(F.col("leader").alias("meeting"), "bucket", "slot", "node", "component")
+    for level in range(partings + 1):
+        sizes = rows.groupBy("meeting").agg(
+            F.approx_count_distinct("node", 0.02).alias("size"), F.min("component").alias("first"), F.max("component").alias("last"))
+        rows = materialize(rows.join(sizes.where("first <> last").select("meeting", "size"), "meeting"), "near-meetings")
+        large = F.col("size") > tile_rows * tiles_together
+        here = rows if level == partings else rows.where(~large)
+        tiles = F.ceil(F.col("size") / F.lit(tile_rows)).cast("int")
+        seated = here.select("meeting", "node", "component", tiles.alias("tiles")).distinct().withColumn(
             "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        # Each tile meets every other one, and itself, in a bucket of their own.
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        meeting = payload.withColumn("other", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-        cells = meeting.groupBy("bucket", "low", "high").agg(
-            F.collect_list(F.struct("node", "component", "n", "sketches", "tile")).alias("members"))
-        pairs = cells.select("members", (F.col("low") != F.col("high")).alias("tiles")).mapInArrow(closer_pairs, "a long, b long").distinct()
-        found = pairs if found is None else found.union(pairs)
-        large = rows.where(F.col("size") > bucket_rows)
-        if level >= partings or large.isEmpty():
-            return found.distinct()
-        further = large.join(sketched.select("node", F.posexplode("sketches").alias("next", "value")), "node").where("next > slot")
-        members = further.select(F.xxhash64("bucket", "next", "value").alias("bucket"), F.col("next").alias("slot"), "node", "component")
-        level += 1
+        # Each tile meets every other one; alone it meets itself.
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+        cells = seated.select("meeting", "node", "component", "tile", other).select(
+            "meeting", "node", "component", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        links = cells.join(sequences, "node").groupBy("meeting", "low", "high").applyInPandas(joiner(threshold), "a long, b long")
+        found = links if found is None else found.union(links)
+        rest = rows.where(large)
+        if level == partings or rest.isEmpty():
+            break
+        if level == 0:
+            rows = rest.select(F.xxhash64("meeting", "bucket").alias("meeting"), "bucket", "slot", "node", "component")
+        else:
+            further = rest.join(sketched.select("node", F.posexplode("sketches").alias("next", "value")), "node").where("next > slot")
+            rows = further.select(F.xxhash64("meeting", "next", "value").alias("meeting"), "bucket", F.col("next").alias("slot"), "node", "component")
+    return found
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: float = THRESHOLD, sketches: int = SKETCHES,
-    picked: int = PICKED, bucket_rows: int = BUCKET_ROWS, partings: int = PARTINGS,
+    picked: int = PICKED, tile_rows: int = TILE_ROWS, tiles_together: int = TILES_TOGETHER, partings: int = PARTINGS,
 ) -> DataFrame:
     """(doc_id, class_id, kept, class_size) for every row; ``kept`` marks the first row of each class."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -198,11 +246,13 @@ def near_duplicates(
     met = members.join(company, "node")
     leaders = met.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("leader"))
     stars = members.join(leaders, "bucket").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = aligned_pairs(stars, narrow, nodes, k, threshold)
+    stars = materialize(stars, "near-stars")
+    sequences = node_sequences(stars.select(F.col("a").alias("node")).union(stars.select("b")), narrow, nodes, k)
+    links = aligned_pairs(stars, sequences, threshold)
     first = components(links, "near-components")
-    label = members.select("bucket", "slot", "node").join(first, "node", "left").select("bucket", "slot", "node", F.coalesce("component", "node").alias("component"))
-    again = remaining_pairs(label, nodes, bucket_rows, partings).join(stars, ["a", "b"], "left_anti")
-    more = aligned_pairs(again, narrow, nodes, k, threshold)
+    label = members.select("bucket", "slot", "node").join(leaders, "bucket").join(first, "node", "left").select(
+        "leader", "bucket", "slot", "node", F.coalesce("component", "node").alias("component"))
+    more = materialize(remaining_links(label, nodes, sequences, threshold, tile_rows, tiles_together, partings), "near-more-links")
     final = components(links.union(more), "near-components")
     classes = nodes.join(final, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     placed = rows.drop("sketches").join(classes, same)

@@ -76,8 +76,8 @@ def edited(rng, base, edits):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows,partings", [(256, 3), (4, 1), (4, 0)])
-def test_classes_equal_brute_force(spark, bucket_rows, partings):
+@pytest.mark.parametrize("limits", [{}, {"tile_rows": 2, "tiles_together": 2}, {"tile_rows": 2, "tiles_together": 1, "partings": 1}])
+def test_classes_equal_brute_force(spark, limits):
     rng = random.Random(11)
     texts, passage = [], words(rng, 60)
     for _ in range(12):
@@ -85,7 +85,7 @@ def test_classes_equal_brute_force(spark, bucket_rows, partings):
         texts += [" ".join(edited(rng, base, e)) for e in (0, 0, 1, 2, 5, 9)]
     texts += [" ".join(words(rng, 40) + passage + words(rng, 40)) for _ in range(30)]
     texts += [None, "", "  ", "two words", "Two   words", "other pair", " ".join(["same"] * 500)]
-    found = {r.doc_id: r for r in near_duplicates(table(spark, texts), bucket_rows=bucket_rows, partings=partings).collect()}
+    found = {r.doc_id: r for r in near_duplicates(table(spark, texts), **limits).collect()}
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = roots(range(len(texts)), links)
