@@ -2,12 +2,14 @@
 
 All windows of ``MIN_BYTES`` bytes have a minimizer, the smallest hash of the 32-byte strings in them. Stretches of
 windows with one minimizer are routed by it, so equal windows always meet; stretches whose
-minimizer occurs once are dropped before any text moves. Equal stretches collapse to one with a count. In each
+minimizer occurs once are dropped before any text moves. Equal stretches collapse to one with a count, by hashes alone;
+only where one minimizer has different stretches, or lies in several places of one, do bytes travel. In each
 task the suffixes of the stretches are sorted, a stack scan over the common-prefix lengths finds the
 intervals of the prefix tree, and an interval is a repeat if its members differ in the byte to
 the left (or begin the stretch). A repeat longer than a stretch comes as pieces that overlap.
 
-Texts are UTF-8 bytes. The same text many times is one text with its smallest id; its other copies are removed whole.
+Texts lie compressed in a table bucketed by block, so that the passes over them are joined to keys and spans
+without shuffling text again. Texts are UTF-8 bytes. The same text many times is one text with its smallest id; its other copies are removed whole.
 
 Defined cases: a null text is empty. Matches never cross documents. Texts shorter than a window repeat nothing.
 "Earlier" means a smaller id, null ids last, or an earlier start in the same document; of repeated rows one is the first.
@@ -17,15 +19,18 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadlake.llm.common import parts_of
 from leadlake.llm.lm import in_range, mixed, narrow, wide
 from leadlake.llm.words import batches_of
 from leadlake.operators.ordered import Rank, with_ordered
@@ -158,9 +163,9 @@ def answer(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def stretcher(bits: int, window: int):
-    """Stretches of a block's first copies whose key occurs again: (key, rank, start, bytes)."""
+    """Stretches of a block's first copies whose key occurs again, without their bytes."""
     def run(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"key": [], "rank": [], "start": [], "moves": [], "stretch": []}
+        out: list[tuple] = []
         firsts = told[told["again"].isna()]
         answers = told[told["again"].notna()]
         for row in blocks.itertuples():
@@ -175,20 +180,29 @@ def stretcher(bits: int, window: int):
             for r, n, flags in zip(answers["range"], answers["n"], answers["again"]):
                 a, b = np.searchsorted(place, [r, r + 1])
                 again[a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=n)[: b - a]
+            signed, length = key.astype(np.int64), size + window - 1
             for i in np.flatnonzero(again[at]) if len(keys) else ():
                 n = chosen[doc[i]]
-                if row.digests[n] not in ranks:
-                    continue
-                out["key"].append(key[i].astype(np.int64))
-                out["rank"].append(ranks[row.digests[n]])
-                out["start"].append(start[i])
-                out["moves"].append(bool(moves[i]))
-                out["stretch"].append(texts[n][start[i] : start[i] + size[i] + window - 1])
-        return pd.DataFrame(out).astype({"key": "int64", "rank": "int64", "start": "int64", "moves": "bool", "stretch": object})
+                rank = ranks.get(row.digests[n])
+                if rank is not None:
+                    part = texts[n][start[i] : start[i] + length[i]]
+                    out.append((signed[i], xxhash.xxh3_64_intdigest(part) - (1 << 63), rank, start[i], length[i], moves[i], row.block, n))
+        columns = {"key": "int64", "content": "int64", "rank": "int64", "start": "int64", "length": "int64", "moves": "bool", "block": "int64", "place": "int32"}
+        return pd.DataFrame(out, columns=list(columns)).astype(columns)
 
     return run
 
 
+def fetcher(blocks: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """Adds their bytes to the stretches of a block."""
+    parts: list[bytes] = []
+    for row in blocks.itertuples():
+        texts = texts_of(row.sizes, row.texts)
+        parts = [texts[p][a : a + n] for p, a, n in zip(wanted["place"], wanted["start"], wanted["length"])]
+    found = wanted[["key", "content", "moves", "crowded", "rank", "start"]].iloc[: len(parts)]
+    return found.assign(stretch=pd.Series(parts, index=found.index, dtype=object))
+
+
 def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(first, last, depth) of the prefix-tree intervals with depth >= ``least``: a stack scan over common-prefix lengths.
 
@@ -212,13 +226,16 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             yield left, last, d
 
 
-def repeats_among(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Maximal repeats among different stretches: one row per repeat and stretch that has it, with the repeat's first occurrence."""
+def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame:
+    """Maximal repeats among different stretches: one row per repeat and stretch that has it, with the repeat's first occurrence.
+
+    With ``spans``, only what each stretch repeats from earlier on, as (rank, a, b).
+    """
     texts = group["stretch"].tolist()
     length = np.array([len(t) for t in texts])
-    rank, start, copies = (group[c].to_numpy() for c in ("rank", "start", "copies"))
+    rank, start = group["rank"].to_numpy(), group["start"].to_numpy()
     moves = group["moves"].to_numpy()
-    out: list[tuple] = [(i, 0, n, r, s) for i, (n, r, s, c) in enumerate(zip(length, rank, start, copies)) if c > 1]
+    out: list[np.ndarray] = []
     shared = group.duplicated("key", keep=False).to_numpy() | moves
     some = np.flatnonzero(shared)
     if len(some):
@@ -237,20 +254,37 @@ def repeats_among(group: pd.DataFrame, window: int) -> pd.DataFrame:
         remain = length[some][of] - at
         lcp = np.minimum(lcp, np.minimum(remain[1:], remain[:-1]))
         before = np.where(at > 0, padded[of, at - 1].astype(np.int64), -1)
+        # Where all suffixes of a run have one byte to the left, none of its intervals is a repeat of its own.
+        runs = np.flatnonzero(np.append(True, lcp < window))
+        least, most = np.minimum.reduceat(before, runs), np.maximum.reduceat(before, runs)
+        alike = np.repeat((least == most) & (least >= 0), np.diff(np.append(runs, len(before))))
+        lcp[alike[:-1] & alike[1:] & (lcp >= window)] = 0
         member = some[of]
         for left, right, depth in intervals(lcp, window):
             part = slice(left, right + 1)
             if before[part].min() != before[part].max() or before[left] < 0:
                 m, o = member[part], at[part]
                 f = np.lexsort((start[m] + o, rank[m]))[0]
-                out.extend(zip(m.tolist(), o.tolist(), [depth] * len(m), [int(rank[m[f]])] * len(m), [int(start[m[f]] + o[f])] * len(m)))
-    if not out:
-        return pd.DataFrame(columns=["key", "content", "at", "length", "first_rank", "first_start"])
-    i, o, n, r, s = (np.array(x) for x in zip(*out))
+                first_rank, first_start = rank[m[f]], start[m[f]] + o[f]
+                if spans:
+                    later = (rank[m] != first_rank) | (start[m] + o != first_start)
+                    m, o = m[later], o[later]
+                out.append(np.stack([m, o, *(np.full(len(m), x) for x in (depth, first_rank, first_start))]))
+    i, o, n, r, s = np.concatenate(out, axis=1) if out else np.empty((5, 0), np.int64)
+    if spans:
+        merged: list[tuple] = []
+        for k in np.lexsort((o, i)):
+            a = int(start[i[k]] + o[k])
+            if merged and merged[-1][0] == i[k] and a <= merged[-1][2]:
+                merged[-1] = (i[k], merged[-1][1], max(merged[-1][2], a + int(n[k])))
+            else:
+                merged.append((i[k], a, a + int(n[k])))
+        which = np.array([x[0] for x in merged], dtype=np.int64)
+        return pd.DataFrame({"rank": rank[which], "a": [x[1] for x in merged], "b": [x[2] for x in merged]}).astype("int64")
     return pd.DataFrame({"key": group["key"].to_numpy()[i], "content": group["content"].to_numpy()[i], "at": o, "length": n, "first_rank": r, "first_start": s})
 
 
-def scanner(window: int):
+def scanner(window: int, spans: bool):
     """Rows sorted by key to repeats; whole keys are gathered until their suffixes fill a matrix."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -267,11 +301,11 @@ def scanner(window: int):
                 if not len(full):
                     break
                 b = int(full[0])
-                yield repeats_among(frame.iloc[a:b], window)
+                yield repeats_among(frame.iloc[a:b], window, spans)
                 a = b
             rest = frame.iloc[a:]
         if rest is not None and len(rest):
-            yield repeats_among(rest, window)
+            yield repeats_among(rest, window, spans)
 
     return run
 
@@ -279,62 +313,81 @@ def scanner(window: int):
 REPEATS = "key long, content long, at long, length long, first_rank long, first_start long"
 
 
-def window_repeats(stretch_rows: DataFrame, window: int) -> DataFrame:
+def window_repeats(crowded: DataFrame, window: int) -> DataFrame:
     """The repeats of window length among the stretches of crowded keys, by a plain aggregate over their windows."""
-    at = F.explode(F.sequence(F.lit(0), F.length("stretch") - window))
-    windows = stretch_rows.withColumn("at", at).select(
-        "key", "content", F.col("at").cast("long").alias("at"), "copies", "rank", (F.col("start") + F.col("at")).alias("start"),
+    windows = crowded.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("stretch") - window))).select(
+        "key", "content", F.col("at").cast("long").alias("at"), "rank", (F.col("start") + F.col("at")).alias("start"),
         F.sha2(F.expr(f"substring(stretch, at + 1, {window})"), 256).alias("same"))
-    groups = windows.groupBy("same").agg(F.sum("copies").alias("found"), F.min(F.struct("rank", "start")).alias("first")).where("found > 1")
+    groups = windows.groupBy("same").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("rank", "start")).alias("first")).where("found > 1")
     return windows.join(groups, "same").select(
-        "key", "content", "at", F.lit(window).cast("long").alias("length"), F.col("first.rank").alias("first_rank"), F.col("first.start").alias("first_start"))
+        "key", "content", "at", F.lit(window).cast("long").alias("length"), F.col("first.rank").alias("first_rank"), F.col("first.start").alias("first_start"),
+        "rank", "start")
 
 
 class Corpus:
     """Blocks of the texts, the first copy of each text with its rank by id, and every row's place."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
+        self.spark = docs.sparkSession
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        self.kind = rows.schema["doc_id"].dataType.simpleString()
-        self.blocks = materialize(rows.mapInArrow(
-            blocks_of, f"block long, ids array<{self.kind}>, sizes array<long>, digests array<binary>, texts binary"), "repeat-blocks")
-        parts = self.blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("place", "d"))
-        self.rows = materialize(parts.select("block", "place", F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_bytes"), F.col("d.digests").alias("digest")), "repeat-rows")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        blocks = rows.mapInArrow(blocks_of, f"block long, ids array<{kind}>, sizes array<long>, digests array<binary>, texts binary")
+        self.table, parts = f"repeat_blocks_{uuid.uuid4().hex}", parts_of(self.spark)
+        blocks.repartition(parts, "block").write.bucketBy(parts, "block").sortBy("block").saveAsTable(self.table, format="parquet")
+        self.blocks = self.spark.table(self.table)
+        each = self.blocks.select("block", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("place", "d"))
+        self.rows = materialize(each.select("block", "place", F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_bytes"), F.col("d.digests").alias("digest")), "repeat-rows")
         first = self.rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "block", "place")).alias("f"))
         self.firsts = materialize(with_ordered(first.select("digest", "f.*"), [], ["unnamed", "doc_id", "block", "place"], {"rank": Rank()}), "repeat-firsts")
 
-
-def find_repeats(corpus: Corpus, window: int = MIN_BYTES, together: int = STRETCHES_TOGETHER) -> DataFrame:
-    """One row per repeat and occurrence: (first_rank, first_start, length, rank, start); ranks number the texts by id."""
-    blocks = corpus.blocks
-    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
-    bits = max(3, (size // RANGE_BYTES).bit_length())
-    requests = blocks.select("block", "sizes", "digests", "texts").mapInPandas(asker(bits, window), "range int, block long, keys binary, owners binary, twice binary")
-    told = requests.groupBy("range").applyInPandas(answer, "block long, range int, n int, again binary")
-    firsts = corpus.firsts.select("block", F.lit(0).alias("range"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("again"), "place", "rank")
-    answers = told.select("*", F.lit(0).alias("place"), F.lit(0).cast("long").alias("rank")).unionByName(firsts)
-    found = blocks.select("block", "sizes", "digests", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        stretcher(bits, window), "key long, rank long, start long, moves boolean, stretch binary")
-    occurrences = materialize(found.withColumn("content", F.xxhash64("stretch", "key")), "repeat-stretches")
-    distinct = materialize(occurrences.groupBy("key", "content", "stretch").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("rank", "start")).alias("f"), F.max("moves").alias("moves")).select(
-        "key", "content", "stretch", "copies", "moves", "f.rank", "f.start"), "repeat-contents")
-    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together)
-    few = distinct.join(crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    scanned = few.mapInPandas(scanner(window), REPEATS)
-    many = window_repeats(distinct.join(crowded.select("key"), "key", "left_semi"), window)
-    repeats = materialize(scanned.union(many), "repeats")
-    return repeats.join(occurrences.select("key", "content", "rank", "start"), ["key", "content"]).select(
-        "first_rank", "first_start", "length", "rank", (F.col("start") + F.col("at")).alias("start"))
-
-
-def maximal_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def close(self) -> None:
+        """Drop the blocks, once nothing lazy reads them any more."""
+        self.spark.sql(f"drop table if exists {self.table}")
+
+
+class Stretches:
+    """``all`` stretches with a key that occurs again; different ``contents``; ``bytes`` of those that need a suffix array."""
+
+    def __init__(self, corpus: Corpus, window: int, together: int):
+        blocks = corpus.blocks
+        size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
+        bits = max(3, (size // RANGE_BYTES).bit_length())
+        requests = blocks.select("block", "sizes", "digests", "texts").mapInPandas(
+            asker(bits, window), "range int, block long, keys binary, owners binary, twice binary")
+        told = requests.groupBy("range").applyInPandas(answer, "block long, range int, n int, again binary")
+        firsts = corpus.firsts.select("block", F.lit(0).alias("range"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("again"), "place", "rank")
+        answers = told.select("*", F.lit(0).alias("place"), F.lit(0).cast("long").alias("rank")).unionByName(firsts)
+        found = blocks.select("block", "sizes", "digests", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+            stretcher(bits, window), "key long, content long, rank long, start long, length long, moves boolean, block long, place int")
+        self.all = materialize(found, "repeat-stretches")
+        first = F.min(F.struct("rank", "start", "length", "block", "place")).alias("f")
+        self.contents = materialize(self.all.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), first, F.max("moves").alias("moves")).select(
+            "key", "content", "copies", "moves", "f.*"), "repeat-contents")
+        keys = self.contents.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("moves").alias("any")).where("n > 1 or any")
+        wanted = self.contents.join(keys, "key").select(
+            "key", "content", "moves", (F.col("n") > together).alias("crowded"), "rank", "start", "length", "block", "place")
+        self.bytes = materialize(blocks.select("block", "sizes", "texts").groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(
+            fetcher, "key long, content long, moves boolean, crowded boolean, rank long, start long, stretch binary"), "repeat-bytes")
+
+    def scanned(self, window: int, spans: bool) -> DataFrame:
+        grouped = self.bytes.where("not crowded").repartition("key").sortWithinPartitions("key")
+        return grouped.mapInPandas(scanner(window, spans), "rank long, a long, b long" if spans else REPEATS)
+
+
+def maximal_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text", together: int = STRETCHES_TOGETHER) -> DataFrame:
     """Repeat groups with all occurrences: (first_doc, first_start, length, doc_id, start), in bytes, among different texts."""
     corpus = Corpus(docs, doc_id, text)
+    parts = Stretches(corpus, window, together)
+    corpus.close()
+    whole = parts.contents.where("copies > 1").select(
+        "key", "content", F.lit(0).cast("long").alias("at"), "length", F.col("rank").alias("first_rank"), F.col("start").alias("first_start"))
+    many = window_repeats(parts.bytes.where("crowded"), window).drop("rank", "start")
+    repeats = parts.scanned(window, False).unionByName(many).unionByName(whole)
+    occurrences = repeats.join(parts.all.select("key", "content", "rank", "start"), ["key", "content"])
     names = corpus.firsts.select("rank", "doc_id")
-    return find_repeats(corpus, window).join(names, "rank").join(
-        names.select(F.col("rank").alias("first_rank"), F.col("doc_id").alias("first_doc")), "first_rank"
-    ).select("first_doc", "first_start", "length", "doc_id", "start")
+    firsts = names.select(F.col("rank").alias("first_rank"), F.col("doc_id").alias("first_doc"))
+    return occurrences.join(names, "rank").join(firsts, "first_rank").select(
+        "first_doc", "first_start", "length", "doc_id", (F.col("start") + F.col("at")).alias("start"))
 
 
 def cutter(blocks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
@@ -363,8 +416,13 @@ def remove_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_
     nothing goes or all does.
     """
     corpus = Corpus(docs, doc_id, text)
-    later = find_repeats(corpus, window, together).where((F.col("rank") != F.col("first_rank")) | (F.col("start") != F.col("first_start")))
-    reach = later.groupBy("rank", F.col("start").alias("a")).agg(F.max(F.col("start") + F.col("length")).alias("b"))
+    parts = Stretches(corpus, window, together)
+    # Every copy of a stretch but the first goes; of the first, what repeats earlier text.
+    several = parts.contents.where("copies > 1").select("key", "content", F.col("rank").alias("first_rank"), F.col("start").alias("first_start"))
+    again = (F.col("rank") != F.col("first_rank")) | (F.col("start") != F.col("first_start"))
+    copies = parts.all.join(several, ["key", "content"]).where(again).select("rank", F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
+    many = window_repeats(parts.bytes.where("crowded"), window).where(again).select("rank", F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
+    reach = parts.scanned(window, True).union(many).union(copies).groupBy("rank", "a").agg(F.max("b").alias("b"))
     listed = reach.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cover"))
     empty = F.array().cast("array<struct<a: bigint, b: bigint>>")
 
@@ -374,10 +432,11 @@ def remove_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_
         return F.when((F.size(state) > 0) & (F.get(state, F.size(state) - 1)["b"] >= s["a"]), grown).otherwise(F.concat(state, F.array(s)))
 
     spans = listed.select("rank", F.aggregate("cover", empty, join_span).alias("spans"))
-    placed = spans.join(corpus.firsts.select("rank", "block", "place", "digest"), "rank").select("block", "place", "spans")
+    placed = spans.join(corpus.firsts.select("rank", "block", "place"), "rank").select("block", "place", "spans")
     cut = corpus.blocks.select("block", "sizes", "texts").groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(
         cutter, "block long, place int, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
     cut = materialize(cut, "repeat-cut")
+    corpus.close()
     marks = corpus.firsts.select("block", "place", F.lit(True).alias("is_first"))
     known = corpus.rows.join(marks, ["block", "place"], "left").join(cut, ["block", "place"], "left")
     copy = F.col("is_first").isNull() & (F.col("n_bytes") >= window)
