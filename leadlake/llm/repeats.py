@@ -246,7 +246,7 @@ def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame
         count = length[some] - window + 1
         of = np.repeat(np.arange(len(some)), count)
         at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        suffix = padded[of[:, None], at[:, None] + np.arange(width)]
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[of, at])
         order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
         suffix, of, at = suffix[order], of[order], at[order]
         differ = suffix[1:] != suffix[:-1]
