@@ -2,8 +2,8 @@
 mix sources to their weights, pack into sequences.
 
 Every stage takes (spark, docs, folder of the tables) and works on all rows its predecessor kept. All but the last
-return the columns of the documents. Ids are meant to be unique: of rows with one id and one class, one stays. A mixed
-document is there as often as the mix takes it.
+return the columns of the documents. Rows are told apart by their own numbers, so ids may be null or repeated: of the
+rows of one class, one stays. A mixed document is there as often as the mix takes it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.llm.common import table
+from leadlake.llm.common import numbered, table
 from leadlake.llm.mixing import mix_sources, repeated
 from leadlake.llm.near_dedup import near_duplicates
 from leadlake.llm.packing import pack_documents
@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    rows = numbered(docs, "near-rows")
+    kept = near_duplicates(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return repeated(docs, mix_sources(docs))
+    rows = numbered(docs, "mix-rows")
+    return repeated(rows, mix_sources(rows, row="_row"), "_row").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.session import materialize
+
 # Words are runs of anything but ASCII white space.
 SPACE_CHAR = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs``, written with a number ``_row`` that tells its rows apart whatever their ids are."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

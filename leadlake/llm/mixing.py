@@ -100,16 +100,17 @@ def fit_source(group: pd.DataFrame) -> pd.DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text",
-    source: str = "source",
+    source: str = "source", row: str | None = None,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) for every row of ``docs``.
+    """(doc_id, source, size, source_size, target, times, taken) for every row of ``docs``, and its number ``row`` if that is given.
 
     Sources in code point order, null last, take ``weights`` in turn and share as many words as
     the corpus has. A target never exceeds ``cap`` times its source. ``times`` says how often the
     document is taken, ``taken`` how many words that makes.
     """
+    number = [row] if row else []
     rows = materialize(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
+        *number, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
     ), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("unnamed", F.col("source").isNull())
     numbered = with_ordered(sums, [], ["unnamed", "source"], {"source_no": Rank()})
@@ -126,14 +127,14 @@ def mix_sources(
     lengths = known.groupBy("source_no", "size", "budget").agg(F.count(F.lit(1)).alias("n"))
     chosen = lengths.groupBy("source_no").applyInPandas(fit_source, "source_no long, size long, chosen long")
     seeded = known.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    ranked = with_ordered(seeded, ["source_no", "size"], ["draw", "doc_id"], {"place": Rank()})
+    ranked = with_ordered(seeded, ["source_no", "size"], ["draw", "doc_id", *number], {"place": Rank()})
     times = F.col("passes") + F.when(F.col("place") <= F.coalesce("chosen", F.lit(0)), 1).otherwise(0)
     return ranked.join(chosen, ["source_no", "size"], "left").withColumn("times", times).select(
-        "doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), *number)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them. Ids must be unique in ``docs``."""
-    picks = mixed.where("times > 0").select(F.col("doc_id").alias("_mix_id"), F.col("times").alias("_mix_times"))
-    again = docs.join(picks, F.col(doc_id).eqNullSafe(F.col("_mix_id"))).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+def repeated(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them. ``key`` tells the rows apart: ids if they are unique, else a row number."""
+    picks = mixed.where("times > 0").select(F.col(key).alias("_mix_key"), F.col("times").alias("_mix_times"))
+    again = docs.join(picks, F.col(key).eqNullSafe(F.col("_mix_key"))).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return again.select(*docs.columns)

@@ -69,7 +69,7 @@ def sketcher(k: int, sketches: int, picked: int):
                 found = [order_sketches(labelled[e - s : e], sketches, picked).astype(np.int64) if s else np.empty(0, np.int64) for s, e in zip(size, ends)]
                 check = [int(np.bitwise_xor.reduce(labelled[e - s : e])) if s else 0 for s, e in zip(size, ends)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(part + n + np.arange(b - a), pa.int64()), pa.array(whole.astype(np.int64)),
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a) if batch.num_columns > 2 else pa.array(part + n + np.arange(b - a), pa.int64()), pa.array(whole.astype(np.int64)),
                     pa.array(np.array(check, dtype=np.uint64).astype(np.int64)), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64())),
                 ], names=["doc_id", "row", "whole", "check", "n", "sketches"])
                 n += b - a
@@ -128,9 +128,10 @@ def aligner(threshold: float):
 
 
 def node_sequences(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, shingles) of the wanted nodes, from the text of each node's first document; ``nodes`` has (node, doc_id, whole)."""
-    first = wanted.select("node").distinct().join(nodes, "node").select("node", "whole", F.col("doc_id").alias("first_id"))
-    texts = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "whole", "text")
+    """(node, n, shingles) of the wanted nodes, from the text of each node's first document; ``nodes`` has (node, doc_id, row, whole)."""
+    key = "row" if "row" in docs.columns else "doc_id"
+    first = wanted.select("node").distinct().join(nodes, "node").select("node", "whole", F.col(key).alias("first_key"))
+    texts = docs.join(first, F.col(key).eqNullSafe(F.col("first_key"))).select("node", "whole", "text")
     return materialize(texts.mapInArrow(sequencer(k), "node long, shingles binary").dropDuplicates(["node"]), "near-sequences")
 
 
@@ -229,15 +230,19 @@ def remaining_links(
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, threshold: float = THRESHOLD, sketches: int = SKETCHES,
     picked: int = PICKED, tile_rows: int = TILE_ROWS, tiles_together: int = TILES_TOGETHER, partings: int = PARTINGS,
+    row: str | None = None,
 ) -> DataFrame:
-    """(doc_id, class_id, kept, class_size) for every row; ``kept`` marks the first row of each class."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, class_id, kept, class_size, row) for every row; ``kept`` marks the first row of each class.
+
+    ``row`` names a long column that numbers the rows of ``docs``; without it they are numbered as they are read.
+    """
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(row).alias("row")] * bool(row))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rows = materialize(narrow.mapInArrow(
         sketcher(k, sketches, picked), f"doc_id {kind}, row long, whole long, check long, n long, sketches array<long>"), "near-sketches")
     same = ["whole", "check", "n"]
-    nodes = materialize(rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "sketches"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(
-        F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.sketches"), "near-nodes")
+    nodes = materialize(rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "row", "sketches"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(
+        F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.row", "first.sketches"), "near-nodes")
     # Buckets of one node say nothing; the others lose their largest part here.
     slots = nodes.select("node", F.posexplode("sketches").alias("slot", "value")).select("node", "slot", F.xxhash64("slot", "value").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

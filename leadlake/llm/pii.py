@@ -185,9 +185,14 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "doc_id", "base", F.coalesce("added", nothing).alias("added"), F.array_sort(F.concat("base", F.coalesce("added", nothing))).alias("spans"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one. Ids must be unique."""
-    spans = find_personal_data(docs, doc_id, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("spans").alias("_pii_spans"))
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one.
+
+    Spans depend on the text alone, so they are found again by its digest, whatever the ids are.
+    """
+    key = F.sha2(F.col(text), 256).alias("_pii_key")
+    found = find_personal_data(docs.select(key, text), "_pii_key", text).where(F.size("spans") > 0)
+    spans = materialize(found.groupBy(F.col("doc_id").alias("_pii_key")).agg(F.first("spans").alias("_pii_spans")), "pii-spans")
     body, names = F.col(text), F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
     def step(state: Column, span: Column) -> Column:
@@ -201,7 +206,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     by_start = F.transform(F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s)
     clean = F.aggregate(by_start, F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")), step,
                         lambda s: F.concat(s["done"], F.substring(body, s["at"].cast("int") + 1, 1 << 30)))
-    marked = docs.join(spans, F.col(doc_id).eqNullSafe(F.col("_pii_id")), "left")
+    marked = docs.withColumn("_pii_key", key).join(spans, "_pii_key", "left")
     replaced = F.when(F.col("_pii_spans").isNull(), body).otherwise(clean)
     return marked.select(*[replaced.alias(c) if c == text else F.col(c) for c in docs.columns])
 
