@@ -149,18 +149,21 @@ def score_graph(tokens: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, s
     left, pair = F.col("left1"), F.concat_ws(" ", "left2", "left1")
     patterns = F.array(F.concat(F.lit("l "), left), F.concat(F.lit("ll "), pair), F.concat(F.lit("lr "), left, F.lit(" _ "), F.col("right1")))
     named = tokens.where("left1 <> ''").withColumn("pattern", F.explode(patterns))
-    # A pattern without seeds never scores, so only patterns with enough known values stay.
-    useful = named.where("kind is not null").select("pattern", "kind", "value").distinct().groupBy("pattern").count().where(F.col("count") >= seeds)
-    edges = materialize(named.select("pattern", "value", "kind").distinct().join(useful.select("pattern"), "pattern", "left_semi"), "pii-edges")
-    known = edges.where("kind is not null").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("confidence")).distinct()
-    sizes = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
+    # A pattern with fewer different values than it needs known ones can never be trusted; all others stay, as later rounds may reach them.
+    sizes = named.groupBy("pattern").agg(F.count_distinct("value").alias("size")).where(F.col("size") >= seeds)
+    edges = materialize(named.select("pattern", "value", "kind").distinct().join(sizes, "pattern"), "pii-edges")
+    pairs = edges.select("pattern", "value", "size").distinct()
+    known = tokens.where("kind is not null").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("confidence")).distinct()
     belief, scores = known, None
     for _ in range(rounds):
-        support = edges.select("pattern", "value").distinct().join(belief, "value").groupBy("pattern", "of").agg(F.sum("confidence").alias("support"))
-        scores = support.join(sizes, "pattern").select("pattern", "of", (F.col("support") / (F.col("size") + DOUBT)).alias("score")).where(F.col("score") >= trust)
+        # Patterns need enough values among the seeds and all that was discovered so far.
+        met = pairs.join(belief, "value")
+        enough = met.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= seeds).select("pattern")
+        support = met.groupBy("pattern", "of").agg(F.sum("confidence").alias("support"), F.first("size").alias("size")).join(enough, "pattern")
+        scores = support.select("pattern", "of", (F.col("support") / (F.col("size") + DOUBT)).alias("score")).where(F.col("score") >= trust)
         scores = materialize(scores, "pii-patterns")
         reached = edges.where("kind is null").join(scores, "pattern").where(looks_like(F.col("of"), F.col("value")))
-        belief = known.union(reached.groupBy("value", "of").agg(F.max("score").alias("confidence")))
+        belief = known.union(reached.select("value", "of", F.col("score").alias("confidence"))).groupBy("value", "of").agg(F.max("confidence").alias("confidence"))
     open_tokens = named.where("kind is null").join(scores, "pattern").where(looks_like(F.col("of"), F.col("value")))
     best = open_tokens.groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("of")).alias("kind"))).alias("best"))
     return best.select("row", (-F.col("best.kind")).alias("kind"), "start", "end", F.col("best.score").alias("confidence"))

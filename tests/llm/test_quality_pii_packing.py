@@ -155,3 +155,15 @@ def test_packing_round_trip(spark):
         got = [x for r in sorted(by_doc[i], key=lambda r: r.start) for x in r.ids]
         assert got == want and all(r.doc_tokens == len(want) for r in by_doc[i])
     assert pack_documents(spark.createDataFrame([], SCHEMA), TOKENIZER).count() == 0
+
+
+def test_discovered_identifiers_make_patterns_of_their_own(spark):
+    """A known number marks 'my number is'; what that discovers marks 'desk line', where no known number ever stands."""
+    texts = [f"hello my number is +49 30 {1000000 + 7 * i} thanks" for i in range(200)]
+    found = [f"030-55{10000 + 13 * i}" for i in range(20)]
+    texts += [f"well my number is {n} thanks" for n in found] + [f"ring the desk line {n} today" for n in found]
+    texts += ["ring the desk line 030-5599999 today", "the version named 030-5588888 today"]
+    rows = {r.doc_id: r.spans for r in digest(find_personal_data(table(spark, texts))).collect()}
+    assert [rows[i] for i in range(200, 220)] == ["phone:18:29"] * 20
+    assert [rows[i] for i in range(220, 241)] == ["phone:19:30"] * 21
+    assert rows[241] == ""
