@@ -38,6 +38,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 CONTEXT = 80
+# Signs that do not belong to a token they stand around.
+AROUND = ".,;:!?\"'()[]<>"
+# Groups of digits joined by a space, dot, hyphen or bracket, at most one of each kind in turn; and the digits such a number can have.
+GROUPS = re.compile(r"[+(]{0,2}[0-9]++(?:(?:[\x20.-]\(?|\)[\x20.-]?\(?|\()[0-9]++)*+")
+GROUPED_DIGITS = range(7, 20)
 
 
 def luhn(digits: str) -> bool:
@@ -86,14 +91,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def digit_groups(text: str) -> list[tuple[int, int]]:
+    """Maximal runs of digit groups that no single token covers. Groups glued to other characters stay with their token."""
+    runs = []
+    for m in GROUPS.finditer(text):
+        start, end = m.span()
+        left, right = start, end
+        while left and text[left - 1] in AROUND:
+            left -= 1
+        while right < len(text) and text[right] in AROUND:
+            right += 1
+        if left and not text[left - 1].isspace():
+            start = text.find(" ", start, end) + 1 or end
+        if right < len(text) and not text[right].isspace():
+            end = max(start, text.rfind(" ", start, end))
+        if text.startswith("(", start) and text.find(")", start, end) < 0:
+            start += 1
+        run = text[start:end]
+        if text.startswith(")", end) and run.count("(") > run.count(")"):
+            end += 1
+        if (" " in run or "(" in run) and len(ascii_digits(run)) in GROUPED_DIGITS:
+            runs.append((start, end))
+    return runs
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """(value, left2, left1, right1, kind or None, start, end) of the seeds and of other tokens with digits or @."""
+    """(value, left2, left1, right1, kind or None, start, end, late) of the seeds, of other tokens with digits or @, and of runs of digit groups.
+
+    A run that goes on from such a token is late: patterns mark it, but it does not count in them beside its token.
+    """
     taken = sorted((a, b) for _, a, b in spans)
-    found = [(text[a:b].lower(), *around(text, a, b), kind, a, b) for kind, a, b in spans]
-    i = 0
+    found = [(text[a:b].lower(), *around(text, a, b), kind, a, b, False) for kind, a, b in spans]
+    i, tokens = 0, {}
     for m in re.finditer(r"\S+", text):
         raw = m.group()
-        token = raw.strip(".,;:!?\"'()[]<>")
+        token = raw.strip(AROUND)
         if len(token) < 5 or not ("@" in token or sum(c.isdigit() for c in token) >= 3):
             continue
         start = m.start() + raw.index(token)
@@ -102,7 +134,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             i += 1
         if i < len(taken) and taken[i][0] < m.end():
             continue
-        found.append((token.lower(), *around(text, start, end), None, start, end))
+        tokens[start] = end
+        found.append((token.lower(), *around(text, start, end), None, start, end, False))
+    i = 0
+    for start, end in digit_groups(text):
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        if (i == len(taken) or taken[i][0] >= end) and tokens.get(start) != end:
+            found.append((text[start:end].lower(), *around(text, start, end), None, start, end, start in tokens))
     return found
 
 
@@ -119,7 +158,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = re.compile("[0-9@]").search
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     candidate = pa.struct([
-        ("value", pa.string()), ("left2", pa.string()), ("left1", pa.string()), ("right1", pa.string()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
+        ("value", pa.string()), ("left2", pa.string()), ("left1", pa.string()), ("right1", pa.string()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("late", pa.bool_()),
     ])
     for batch in batches:
         rows, spans, tokens = [], [], []
@@ -128,7 +167,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
             base = base_spans(text) if text and some(text) else []
             spans.append([dict(zip(("kind", "start", "end"), s)) for s in base])
-            tokens.append([dict(zip(("value", "left2", "left1", "right1", "kind", "start", "end"), c)) for c in candidates(text, base)] if text and some(text) else [])
+            tokens.append([dict(zip(("value", "left2", "left1", "right1", "kind", "start", "end", "late"), c)) for c in candidates(text, base)] if text and some(text) else [])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(rows, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(tokens, pa.list_(candidate))],
             names=["doc_id", "row", "base", "tokens"])
@@ -148,7 +187,8 @@ def score_graph(tokens: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, s
     """(row, kind, start, end, confidence) of tokens that trusted patterns give a kind; ``tokens`` has one row per candidate."""
     left, pair = F.col("left1"), F.concat_ws(" ", "left2", "left1")
     patterns = F.array(F.concat(F.lit("l "), left), F.concat(F.lit("ll "), pair), F.concat(F.lit("lr "), left, F.lit(" _ "), F.col("right1")))
-    named = tokens.where("left1 <> ''").withColumn("pattern", F.explode(patterns))
+    marked = tokens.where("left1 <> ''").withColumn("pattern", F.explode(patterns))
+    named = marked.where("not late")
     # A pattern with fewer different values than it needs known ones can never be trusted; all others stay, as later rounds may reach them.
     sizes = named.groupBy("pattern").agg(F.count_distinct("value").alias("size")).where(F.col("size") >= seeds)
     edges = materialize(named.select("pattern", "value", "kind").distinct().join(sizes, "pattern"), "pii-edges")
@@ -164,7 +204,7 @@ def score_graph(tokens: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, s
         scores = materialize(scores, "pii-patterns")
         reached = edges.where("kind is null").join(scores, "pattern").where(looks_like(F.col("of"), F.col("value")))
         belief = known.union(reached.select("value", "of", F.col("score").alias("confidence"))).groupBy("value", "of").agg(F.max("confidence").alias("confidence"))
-    open_tokens = named.where("kind is null").join(scores, "pattern").where(looks_like(F.col("of"), F.col("value")))
+    open_tokens = marked.where("kind is null").join(scores, "pattern").where(looks_like(F.col("of"), F.col("value")))
     best = open_tokens.groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("of")).alias("kind"))).alias("best"))
     return best.select("row", (-F.col("best.kind")).alias("kind"), "start", "end", F.col("best.score").alias("confidence"))
 
@@ -180,9 +220,12 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     span = "array<struct<kind: int, start: bigint, end: bigint>>"
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    tokens = "array<struct<value: string, left2: string, left1: string, right1: string, kind: int, start: bigint, end: bigint>>"
+    tokens = "array<struct<value: string, left2: string, left1: string, right1: string, kind: int, start: bigint, end: bigint, late: boolean>>"
     rows = materialize(narrow.mapInArrow(search, f"doc_id {kind}, row long, base {span}, tokens {tokens}"), "pii-rows")
     added = score_graph(rows.select("row", F.inline("tokens"))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    # Of a run and a token in it the run stays.
+    wider = F.filter("added", lambda s: ~F.exists("added", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    added = added.select("row", wider.alias("added"))
     nothing = F.array().cast(span)
     return rows.select("doc_id", "row", "base").join(added, "row", "left").select(
         "doc_id", "base", F.coalesce("added", nothing).alias("added"), F.array_sort(F.concat("base", F.coalesce("added", nothing))).alias("spans"))

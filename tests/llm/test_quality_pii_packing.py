@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from leadlake.llm.packing import WordIds, pack_documents, pieces
-from leadlake.llm.pii import base_spans, digest, find_personal_data, redact
+from leadlake.llm.pii import base_spans, candidates, digest, find_personal_data, redact
 from leadlake.llm.quality import clean_lines
 
 SCHEMA = "doc_id bigint, text string, lang string, words string, spans int, body string, base int, tokens string"
@@ -167,3 +167,29 @@ def test_discovered_identifiers_make_patterns_of_their_own(spark):
     assert [rows[i] for i in range(200, 220)] == ["phone:18:29"] * 20
     assert [rows[i] for i in range(220, 241)] == ["phone:19:30"] * 21
     assert rows[241] == ""
+
+
+def test_grouped_numbers_are_candidates(spark):
+    texts = [f"hello my number is +49 30 {1000000 + 7 * i} thanks" for i in range(40)] + [f"pay with card 41111111111{i:04}{d} now" for i in range(40) for d in range(10)]
+    numbers = ["0170 555 12 34", "(030) 555-1234", "(030)555-1234", "030-5551234 12"]
+    texts += [f"hello my number is {n} thanks" for n in numbers] + [f"hello my number is {n}, thanks" for n in numbers]
+    cards = [(i, d) for i in range(40) for d in range(10) if luhn(f"41111111111{i:04}{d}")]
+    texts = texts[:40] + [f"pay with card 41111111111{i:04}{d} now" for i, d in cards] + texts[440:] + ["pay with card 4111 1111 1111 1112 now", "the build 0170 555 12 34 today"]
+    clean = {r.doc_id: r.text for r in redact(table(spark, texts)).collect()}
+    n = 40 + len(cards)
+    assert [clean[i] for i in range(n, n + 4)] == ["hello my number is [phone] thanks"] * 4
+    assert [clean[i] for i in range(n + 4, n + 8)] == ["hello my number is [phone], thanks"] * 4
+    assert clean[n + 8] == "pay with card [card] now" and clean[n + 9] == texts[n + 9]
+
+
+def test_readings_inside_a_group_stay():
+    """A token that could be found alone is a candidate still, beside the run it is part of; such a run is late."""
+    def read(text):
+        return {(c[0], c[7]) for c in candidates(text, base_spans(text))}
+
+    assert read("host 10.1.2.300 8080 up") == {("10.1.2.300", False), ("10.1.2.300 8080", True)}
+    assert read("call 030-5551234 5559999 now") == {("030-5551234", False), ("5559999", False), ("030-5551234 5559999", True)}
+    assert read("in 1999. 2000 people of abc123 456 7890") == {("abc123", False), ("456 7890", False)}
+    assert read("see 0170 5551 (12), yes") == {("0170 5551 (12)", False)}
+    for text in ("1 " * 150_000, "1 1x " * 60_000, "((((1" * 60_000, "1(1)" * 80_000):
+        candidates(text, [])
