@@ -42,6 +42,8 @@ SECOND_PERSON = (
 LEET = str.maketrans("013457@$|", "oieastasl")
 # A letter, then digits or signs, then a letter: "id10t", "st*pid".
 HIDDEN = re.compile(r"[^\W\d_][0-9@$!*|.\-_]+(?=[^\W\d_])")
+# The same where dots are the only signs; its search skips to the dots.
+DOTTED = re.compile(r"(?<=[^\W\d_])\.+(?=[^\W\d_])")
 SHOUTED = re.compile(r"\b[^\W\d_a-zß-ÿ]{3,}\b")
 NEAR = 40
 FEATURES = (
@@ -109,7 +111,7 @@ class Measurer:
         hits, persons, kinds = self.found(low)
         capitals, punctuation, digits = (len(plain) - len(plain.translate(None, chars)) for chars in (UPPER, PUNCTUATION, DIGITS))
         hidden = hidden_hits = 0
-        if digits or punctuation > low.count(".") + low.count(","):
+        if digits or punctuation > low.count(".") + low.count(",") or DOTTED.search(low):
             hidden = sum(1 for _ in HIDDEN.finditer(low))
             if hidden:
                 clear = re.sub(r"!(?=[^\W\d_])", "i", low).translate(LEET)
