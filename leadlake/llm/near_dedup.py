@@ -11,8 +11,8 @@ Texts with the same words in the same order are one node. In each bucket every m
 with its leader, the one that has most company. What that leaves in different components meets once
 more, among all that share a leader: in a task, products of sparse incidence matrices count the shingles
 each two members share, and pairs that share enough are aligned until their components have merged.
-Only the links of a spanning forest leave the task. Large meetings are parted by bucket, then by
-further sketches (two similar texts share about half of them); what is large still is cut into tiles that meet in pairs.
+Only the links of a spanning forest leave the task. Large meetings are parted by bucket; what is large still is cut into
+tiles that meet in pairs, so every pair that shares a bucket is compared, at the square of what a bucket leaves apart.
 
 With 20 sketches of 3 shingles, a pair at the threshold is missed with a probability under 1e-5.
 
@@ -41,8 +41,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 SKETCHES, PICKED = 20, 3
 # Members of one tile; a task holds two. Meetings of more tiles than that are parted first.
 TILE_ROWS, TILES_TOGETHER = 512, 32
-# How often a large meeting is parted, first by bucket, then by further sketches, before it is only tiled.
-PARTINGS = 3
+# Whether a large meeting is parted by bucket before it is tiled.
+PARTINGS = 1
 # Columns of the incidence matrix at once.
 SHINGLES_AT_ONCE = 1 << 12
 
@@ -195,18 +195,18 @@ def joiner(threshold: float):
     return run
 
 
-def remaining_links(
-    members: DataFrame, sketched: DataFrame, sequences: DataFrame, threshold: float, tile_rows: int, tiles_together: int, partings: int,
-) -> DataFrame:
-    """Links among (leader, bucket, slot, node, component) that share a leader and lie in different components."""
+def remaining_links(members: DataFrame, sequences: DataFrame, threshold: float, tile_rows: int, tiles_together: int, partings: int) -> DataFrame:
+    """Links among (leader, bucket, node, component) that share a leader, in large meetings a bucket, and lie in different components."""
     found = None
-    rows = members.select(F.col("leader").alias("meeting"), "bucket", "slot", "node", "component")
-    for level in range(partings + 1):
+    rows = members.select(F.col("leader").alias("meeting"), "bucket", "node", "component")
+    for level in range(2):
         sizes = rows.groupBy("meeting").agg(
             F.approx_count_distinct("node", 0.02).alias("size"), F.min("component").alias("first"), F.max("component").alias("last"))
         rows = materialize(rows.join(sizes.where("first <> last").select("meeting", "size"), "meeting"), "near-meetings")
+        # Once parted by bucket a meeting is tiled whole, however large: any further parting would lose pairs that share this bucket alone.
+        last = level == 1 or not partings
         large = F.col("size") > tile_rows * tiles_together
-        here = rows if level == partings else rows.where(~large)
+        here = rows if last else rows.where(~large)
         tiles = F.ceil(F.col("size") / F.lit(tile_rows)).cast("int")
         seated = here.select("meeting", "node", "component", tiles.alias("tiles")).distinct().withColumn(
             "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -217,13 +217,9 @@ def remaining_links(
         links = cells.join(sequences, "node").groupBy("meeting", "low", "high").applyInPandas(joiner(threshold), "a long, b long")
         found = links if found is None else found.union(links)
         rest = rows.where(large)
-        if level == partings or rest.isEmpty():
+        if last or rest.isEmpty():
             break
-        if level == 0:
-            rows = rest.select(F.xxhash64("meeting", "bucket").alias("meeting"), "bucket", "slot", "node", "component")
-        else:
-            further = rest.join(sketched.select("node", F.posexplode("sketches").alias("next", "value")), "node").where("next > slot")
-            rows = further.select(F.xxhash64("meeting", "next", "value").alias("meeting"), "bucket", F.col("next").alias("slot"), "node", "component")
+        rows = rest.select(F.xxhash64("meeting", "bucket").alias("meeting"), "bucket", "node", "component")
     return found
 
 
@@ -236,7 +232,7 @@ def near_duplicates(
 
     ``row`` names a long column that numbers the rows of ``docs``; without it they are numbered as they are read.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(row).alias("row")] * bool(row))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rows = materialize(narrow.mapInArrow(
         sketcher(k, sketches, picked), f"doc_id {kind}, row long, whole long, check long, n long, sketches array<long>"), "near-sketches")
@@ -255,9 +251,9 @@ def near_duplicates(
     sequences = node_sequences(stars.select(F.col("a").alias("node")).union(stars.select("b")), narrow, nodes, k)
     links = aligned_pairs(stars, sequences, threshold)
     first = components(links, "near-components")
-    label = members.select("bucket", "slot", "node").join(leaders, "bucket").join(first, "node", "left").select(
-        "leader", "bucket", "slot", "node", F.coalesce("component", "node").alias("component"))
-    more = materialize(remaining_links(label, nodes, sequences, threshold, tile_rows, tiles_together, partings), "near-more-links")
+    label = members.select("bucket", "node").join(leaders, "bucket").join(first, "node", "left").select(
+        "leader", "bucket", "node", F.coalesce("component", "node").alias("component"))
+    more = materialize(remaining_links(label, sequences, threshold, tile_rows, tiles_together, partings), "near-more-links")
     final = components(links.union(more), "near-components")
     classes = nodes.join(final, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     placed = rows.drop("sketches").join(classes, same)
