@@ -375,7 +375,10 @@ class Stretches:
 
 
 def maximal_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_id", text: str = "text", together: int = STRETCHES_TOGETHER) -> DataFrame:
-    """Repeat groups with all occurrences: (first_doc, first_start, length, doc_id, start), in bytes, among different texts."""
+    """Repeat groups with all occurrences: (first_doc, first_start, length, doc_id, start), in bytes.
+
+    Repeats are sought among different texts and found in every copy of these; a text with copies is a repeat as a whole.
+    """
     corpus = Corpus(docs, doc_id, text)
     parts = Stretches(corpus, window, together)
     corpus.close()
@@ -384,8 +387,15 @@ def maximal_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc
     many = window_repeats(parts.bytes.where("crowded"), window).drop("rank", "start")
     repeats = parts.scanned(window, False).unionByName(many).unionByName(whole)
     occurrences = repeats.join(parts.all.select("key", "content", "rank", "start"), ["key", "content"])
-    names = corpus.firsts.select("rank", "doc_id")
-    firsts = names.select(F.col("rank").alias("first_rank"), F.col("doc_id").alias("first_doc"))
+    names = corpus.rows.join(corpus.firsts.select("digest", "rank"), "digest").select("rank", "doc_id", "n_bytes")
+    copied = names.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("n_bytes").alias("length")).where((F.col("n") > 1) & (F.col("length") >= window))
+    none = F.lit(0).cast("long")
+    alone = copied.select("rank", none.alias("at"), "length", F.col("rank").alias("first_rank"), none.alias("first_start"), none.alias("start"))
+    # A whole text that is a repeat of others already has its group.
+    known = occurrences.select("rank", "at", "length", "first_rank", "first_start", "start")
+    same = known.where(F.col("start") + F.col("at") == 0).select("rank", "length")
+    occurrences = known.unionByName(alone.join(same, ["rank", "length"], "left_anti"))
+    firsts = corpus.firsts.select("rank", "doc_id").select(F.col("rank").alias("first_rank"), F.col("doc_id").alias("first_doc"))
     return occurrences.join(names, "rank").join(firsts, "first_rank").select(
         "first_doc", "first_start", "length", "doc_id", (F.col("start") + F.col("at")).alias("start"))
 
