@@ -57,7 +57,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Trees, sketches and the tokenizer have no SQL form; tests/llm compares the stages with plain versions.
+# Trees, sketches and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares stages and run with plain Python (not fitted trees).
 ORACLE_SQL = None
 
 

@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as pipeline
 
 SCHEMA = "doc_id bigint, text string, source string, lang string"
@@ -46,3 +49,31 @@ def test_mix_repeats_rows_not_ids(spark):
     for source, target in (("s", total - t), ("t", t)):
         got = sum(n * len(r[1].split()) for r, n in found.items() if r[2] == source)
         assert abs(got - target) <= 8
+
+
+def labels(spark, tmp_path, toxic):
+    spark.createDataFrame([(1, toxic), (7, toxic)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_run_equals_plain_python(spark, tmp_path):
+    """One kind of label rejects nothing, and one source is taken once, so what stays is known row by row."""
+    rng = random.Random(3)
+    own = [words(rng, 40) for _ in range(4)]
+    rows = [(1, own[0], "s", "a"), (7, own[1], "s", "b"), (7, own[2] + " a@b.org", "s", "c"), (None, own[3], "s", "d"), (None, own[0], "s", "e"), (None, "at 10.1.2.3", "s", "f")]
+    folder = labels(spark, tmp_path, 0)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for doc_id, text in ((1, own[0]), (7, own[1]), (7, own[2] + " [email]"), (None, own[3]), (None, "at [ip]")):
+        want[doc_id, len(plain.encode(text, add_special_tokens=False).ids) + 1] += 1
+    pieces = pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == want
+    assert sorted(r.sequence_id for r in pieces) == list(range(len(pieces)))
+
+
+def test_toxic_rows_go_whatever_their_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "s", "a"), (None, "b", "s", "b"), (None, "b", "s", "c"), (7, None, "s", "d"), (7, "e", "s", "e")], SCHEMA)
+    kept = pipeline.drop_toxic(spark, docs, labels(spark, tmp_path / "good", 0))
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=repr) == sorted(docs.collect(), key=repr)
+    assert pipeline.drop_toxic(spark, docs, labels(spark, tmp_path / "bad", 1)).count() == 0
