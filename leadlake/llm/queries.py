@@ -6,14 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlake.llm.alignment import align_tokenizers
 from leadlake.llm.common import id_bucket, table
 from leadlake.llm.embeddings import near_vectors
 from leadlake.llm.lm import score_texts
 from leadlake.llm.mixing import mix_sources
 from leadlake.llm.near_dedup import near_duplicates
 from leadlake.llm.packing import pack_documents
+from leadlake.llm.periodic import find_runs, run_digests, with_periodic_tail
 from leadlake.llm.pii import digest, find_personal_data
 from leadlake.llm.quality import BOILERPLATE, MENU, TERMINAL, clean_lines
+from leadlake.llm.quality_vectors import score_quality
 from leadlake.llm.repeats import remove_repeats
 from leadlake.llm.sharding import kd_shards
 from leadlake.llm.toxicity import score_toxicity
@@ -63,7 +66,24 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "leaf_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_repeats, op3_pca_tiles, op4_order_minhash, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards)}
+def op11_hash_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", with_periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    return run_digests(find_runs(documents, min_length=12, keep=["doc_id"]))
+
+
+def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_bucket("doc_id", 3) == 1
+    learned = table(spark, sf_dir, "labels").where(~held_out)
+    scored = score_quality(table(spark, sf_dir, "documents"), learned, keep=["doc_id"]).select("document.doc_id", "score", "predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_repeats, op3_pca_tiles, op4_order_minhash, op5_deleted_interpolation, op6_context_pii, op7_pack_powers, op8_toxic_trees, op9_quality_lines, op10_kd_shards, op11_hash_alignment,
+                                   op12_lyndon_runs, op13_subword_quality)}
 
 
 TERMINAL_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TERMINAL) + "]"

@@ -11,11 +11,11 @@ from leadlake.llm.lm import mixed, word_hashes
 BATCH_BYTES = 1 << 21
 
 
-def batches_of(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
-    """Index ranges of about ``BATCH_BYTES`` of text; a longer text is alone."""
+def batches_of(texts: Sequence[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Index ranges of about ``most`` bytes of text; a longer text is alone."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > BATCH_BYTES:
+        if size and size + len(text) > most:
             yield start, i
             start, size = i, 0
         size += len(text) + 1
