@@ -9,6 +9,11 @@ rank of that bit is the pair's slot. Count vectors are dense arrays over the slo
 summed in a tree; each slot holds its key, so a foreign key is noticed. A second pass aligns the documents again and looks
 the counts up.
 
+Both tokenizers cut where a space follows anything but white space: no byte-level piece starts before such a space and ends
+after it, and no sentencepiece piece has a space behind another letter, which is checked. So a worker aligns a stretch
+between such borders once, remembers it and puts texts together from stretches. Texts with a stretch that is too long or is
+not given back are aligned in one piece.
+
 The table of pairs is bounded by the two vocabularies, not by the corpus. Up to ``broadcast_pairs`` entries it is sent to
 the workers; a larger one is joined with the documents' links, with the same result.
 
@@ -21,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -42,12 +49,18 @@ BROADCAST_PAIRS = 4_000_000
 # Pairs that a task of the first pass holds before it hands them on.
 HELD_PAIRS = 3_000_000
 BATCH_BYTES = 1 << 21
+# Stretches and pairs a worker remembers before it starts afresh, letters of a stretch, stretches tokenized as one text.
+REMEMBERED, STRETCH_CHARS, TOGETHER = 500_000, 256, 4_096
+# A place between two stretches: a space after anything but white space.
+BORDER = re.compile(r"(?<=\S)(?= )")
 # Bits of a level for each pair that is still without a slot.
 BITS_PER_PAIR = 1.7
 # Dense vectors that meet in one step of the tree.
 FAN = 16
 # Texts of letters below this are split alike by both readers of the byte-level vocabulary.
 PLAIN_BELOW = "԰"
+# Stands for a count that must not be used.
+MISSING = -(1 << 50)
 TOTALS = ("n_a", "n_b", "n_groups", "n_links")
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 
@@ -68,6 +81,7 @@ class ByteLevel:
         with open(path, encoding="utf-8") as file:
             merges = json.load(file)["model"]["merges"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
+        self.parts = True
         self.ranked = None
         # Ids in the order of the merges are ranks, which a faster reader of the same vocabulary takes.
         if all(vocabulary["".join(pair)] == 256 + i for i, pair in enumerate(pairs)):
@@ -95,8 +109,10 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = []
+        self.parts = True
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
+            self.parts = self.parts and re.search("[^▁]▁", piece) is None
             self.bytes.append(bytes([int(piece[1:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
 
     def encode(self, texts: Sequence[str]) -> list[Sequence[int]]:
@@ -107,7 +123,7 @@ class Spelled:
     """Ids of one tokenizer with the bytes they stand for."""
 
     def __init__(self, reader: ByteLevel | Pieces):
-        self.encode = reader.encode
+        self.encode, self.parts = reader.encode, reader.parts
         self.sizes = np.array([len(b) for b in reader.bytes], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(reader.bytes), np.uint8)
@@ -118,23 +134,32 @@ class Spelled:
         return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
 
-_readers: dict[tuple[str, str], tuple[Spelled, Spelled]] = {}
-
-
-def readers(path_a: str, path_b: str) -> tuple[Spelled, Spelled]:
-    """One pair of tokenizers per worker process, kept between tasks."""
-    if (path_a, path_b) not in _readers:
-        _readers[path_a, path_b] = Spelled(ByteLevel(path_a)), Spelled(Pieces(path_b))
-    return _readers[path_a, path_b]
+def flattened(rows: Sequence[Sequence[int]]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(np.asarray(row, dtype=np.int64) for row in rows)])
 
 
 class Aligned:
     """The tokens, cuts and links of a batch of texts; ``texts`` holds those that have any."""
 
-    def __init__(self, texts: Sequence[str], a: Spelled, b: Spelled):
+    def __init__(self, texts: np.ndarray, ids: Sequence[np.ndarray], counts: Sequence[np.ndarray], a: Spelled, b: Spelled):
+        self.texts = texts
+        (self.ids_a, self.ids_b), (self.n_a, self.n_b) = ids, counts
+        ends_a, ends_b = np.cumsum(a.sizes[self.ids_a]), np.cumsum(b.sizes[self.ids_b])
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        cuts = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
+        self.of_a, self.of_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        self.closes = (ends_a[self.of_a] == cuts) & (ends_b[self.of_b] == cuts)
+        self.doc = np.searchsorted(np.cumsum(self.n_a), self.of_a, "right")
+        self.keys = self.ids_a[self.of_a] << 32 | self.ids_b[self.of_b]
+        self.n_links = np.bincount(self.doc, minlength=len(texts))
+        self.n_groups = np.bincount(self.doc[self.closes], minlength=len(texts))
+
+    @classmethod
+    def singly(cls, texts: Sequence[str], a: Spelled, b: Spelled) -> Aligned:
+        """Texts tokenized one by one."""
         ids = [a.encode(texts), b.encode(texts)]
         whole = []
-        spelled = [s.spell(np.array([i for row in rows for i in row], dtype=np.int64)) for s, rows in zip((a, b), ids)]
+        spelled = [reader.spell(flattened(rows)) for reader, rows in zip((a, b), ids)]
         at = [0, 0]
         for n, text in enumerate(texts):
             source, same = b" " + text.encode(), True
@@ -144,19 +169,22 @@ class Aligned:
                 at[side] += size
             if same:
                 whole.append(n)
-        self.texts = np.array(whole, dtype=np.int64)
-        self.ids_a, self.ids_b = (np.array([i for n in whole for i in rows[n]], dtype=np.int64) for rows in ids)
-        self.n_a, self.n_b = (np.array([len(rows[n]) for n in whole], dtype=np.int64) for rows in ids)
-        ends_a, ends_b = np.cumsum(a.sizes[self.ids_a]), np.cumsum(b.sizes[self.ids_b])
-        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
-        cuts = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
-        self.of_a, self.of_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        self.closes = (ends_a[self.of_a] == cuts) & (ends_b[self.of_b] == cuts)
-        last_a = np.cumsum(self.n_a)
-        self.doc = np.searchsorted(last_a, self.of_a, "right")
-        self.keys = self.ids_a[self.of_a] << 32 | self.ids_b[self.of_b]
-        self.n_links = np.bincount(self.doc, minlength=len(whole))
-        self.n_groups = np.bincount(self.doc[self.closes], minlength=len(whole))
+        counts = [np.array([len(rows[n]) for n in whole], dtype=np.int64) for rows in ids]
+        return cls(np.array(whole, dtype=np.int64), [flattened([rows[n] for n in whole]) for rows in ids], counts, a, b)
+
+    @classmethod
+    def together(cls, texts: Sequence[str], a: Spelled, b: Spelled) -> Aligned:
+        """Stretches tokenized as one text; singly where this text is not given back."""
+        source = " ".join(texts)
+        borders = np.cumsum(np.array([len(text.encode()) for text in texts]) + 1)
+        ids, counts = [], []
+        for reader in (a, b):
+            found = np.array(reader.encode([source])[0], dtype=np.int64)
+            if reader.spell(found).tobytes() != b" " + source.encode():
+                return cls.singly(texts, a, b)
+            ids.append(found)
+            counts.append(np.diff(np.searchsorted(np.cumsum(reader.sizes[found]), borders) + 1, prepend=0))
+        return cls(np.arange(len(texts)), ids, counts, a, b)
 
     def document_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys, number of texts that hold each)."""
@@ -173,12 +201,125 @@ class Aligned:
         parts = []
         for ids, groups, close in ((self.ids_a, group_a, "|"), (self.ids_b, group_b, ";")):
             last = np.concatenate([groups[1:] != groups[:-1], [True]]) if len(ids) else np.empty(0, bool)
-            kinds = [np.array([f"{i}{mark}" for i in range(int(ids.max(initial=-1)) + 1)], dtype=object) for mark in (",", close)]
-            parts.append(np.where(last, kinds[1][ids], kinds[0][ids]) if len(ids) else np.empty(0, object))
+            inner, closing = (id_texts(mark, int(ids.max(initial=0)) + 1) for mark in (",", close))
+            parts.append(np.where(last, closing[ids], inner[ids]))
         order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
-        words = np.concatenate(parts)[order]
-        bounds = np.cumsum(self.n_a + self.n_b)
-        return ["".join(words[end - n : end])[:-1] for end, n in zip(bounds, self.n_a + self.n_b)]
+        words = np.concatenate(parts)[order].tolist()
+        ends = np.cumsum(self.n_a + self.n_b)
+        return ["".join(words[start:end])[:-1] for start, end in zip((ends - self.n_a - self.n_b).tolist(), ends.tolist())]
+
+
+_id_texts: dict[str, np.ndarray] = {}
+
+
+def id_texts(mark: str, n: int) -> np.ndarray:
+    """The ids from 0 to at least ``n`` - 1 as texts with a mark behind; as many as the vocabulary has in the end."""
+    if len(_id_texts.get(mark, ())) < n:
+        _id_texts[mark] = np.array([f"{i}{mark}" for i in range(2 * n)], dtype=object)
+    return _id_texts[mark]
+
+
+class Stretches:
+    """What a worker remembers of stretches between borders: sums, group texts and links, as places in a list of pairs."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = Spelled(ByteLevel(path_a)), Spelled(Pieces(path_b))
+        self.parts = self.a.parts and self.b.parts
+        self.reset()
+
+    def reset(self) -> None:
+        self.places: dict[str, int] = {}
+        self.pairs: dict[int, int] = {}
+        self.groups: list[bytes] = []
+        # Kinds: 0 whole, 1 whole but no border behind it, 2 to be aligned with its text.
+        self.kinds, self.links, self.link_ends = array("b"), array("q"), array("q")
+        self.sums = {name: array("q") for name in TOTALS}
+
+    def full(self) -> bool:
+        return len(self.places) > REMEMBERED or len(self.pairs) > REMEMBERED
+
+    def pair_places(self, keys: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(keys, return_inverse=True)
+        return np.array([self.pairs.setdefault(k, len(self.pairs)) for k in distinct.tolist()], dtype=np.int64)[where]
+
+    def keep(self, names: Sequence[str], kinds: np.ndarray, found: Aligned | None) -> None:
+        """Remember stretches that ``found`` aligns, or that are to be aligned with their texts."""
+        first, n = len(self.kinds), len(names)
+        self.places.update(zip(names, range(first, first + n)))
+        self.kinds.frombytes(kinds.astype(np.int8).tobytes())
+        for name, values in self.sums.items():
+            values.frombytes((getattr(found, name) if found else np.zeros(n)).astype(np.int64).tobytes())
+        self.groups += [text.encode() for text in found.group_texts()] if found else [b""] * n
+        ends = len(self.links) + (np.cumsum(found.n_links) if found else np.zeros(n))
+        if found:
+            self.links.frombytes(self.pair_places(found.keys).tobytes())
+        self.link_ends.frombytes(ends.astype(np.int64).tobytes())
+
+    def learn(self, names: list[str]) -> None:
+        """Align new stretches; one that is long or not given back is left to its texts."""
+        apart = [name for name in names if not name or len(name) > STRETCH_CHARS]
+        short = [name for name in names if name and len(name) <= STRETCH_CHARS]
+        opened = np.array([name[-1].isspace() for name in short], dtype=bool)
+        for kind, way in ((0, Aligned.together), (1, Aligned.singly)):
+            chosen = [short[i] for i in np.flatnonzero(opened == kind)]
+            for at in range(0, len(chosen), TOGETHER):
+                part = chosen[at : at + TOGETHER]
+                found = way(part, self.a, self.b)
+                apart += [part[i] for i in np.setdiff1d(np.arange(len(part)), found.texts)]
+                part = [part[i] for i in found.texts]
+                self.keep(part, np.full(len(part), kind), found)
+        self.keep(apart, np.full(len(apart), 2), None)
+
+    def of(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(places, how many of them each text has, texts to be aligned in one piece); these have none."""
+        if not self.parts:
+            return np.empty(0, np.int64), np.zeros(len(texts), dtype=np.int64), list(range(len(texts)))
+        names = [text.split(" ") for text in texts]
+        for at_spaces in (True, False):
+            flat = [name for parts in names for name in parts]
+            fresh = set(flat).difference(self.places)
+            if fresh:
+                self.learn(sorted(fresh))
+            places = np.fromiter(map(self.places.__getitem__, flat), dtype=np.int64, count=len(flat))
+            sizes = np.array([len(parts) for parts in names], dtype=np.int64)
+            kinds = np.frombuffer(self.kinds, np.int8)[places]
+            of = np.repeat(np.arange(len(texts)), sizes)
+            if at_spaces:
+                # A split at a space that is no border is made anew at borders only.
+                inner = (kinds > 0) & (np.arange(len(places)) != np.cumsum(sizes)[of] - 1)
+                again = np.unique(of[inner]).tolist()
+                if not again:
+                    break
+                for n in again:
+                    names[n] = [part[1:] for part in BORDER.split(" " + texts[n])]
+        apart = np.unique(of[kinds == 2])
+        keep = ~np.isin(of, apart)
+        return places[keep], np.where(np.isin(np.arange(len(texts)), apart), 0, sizes), apart.tolist()
+
+    def links_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair of every link, number of links of every place)."""
+        ends = np.frombuffer(self.link_ends, np.int64)
+        starts = ends[places - 1] * (places > 0)
+        sizes = ends[places] - starts
+        shift = starts - (np.cumsum(sizes) - sizes)
+        return np.frombuffer(self.links, np.int64)[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+_stretches: dict[tuple[str, str], Stretches] = {}
+
+
+def stretches(path_a: str, path_b: str) -> Stretches:
+    """One store per worker process and pair of tokenizers, kept between tasks."""
+    if (path_a, path_b) not in _stretches:
+        _stretches[path_a, path_b] = Stretches(path_a, path_b)
+    return _stretches[path_a, path_b]
+
+
+def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``sizes`` values."""
+    running = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(sizes)
+    return running[ends] - running[ends - sizes]
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], np.ndarray]]:
@@ -280,19 +421,36 @@ def first_pass(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]],
             [pa.array(np.full(len(first), part), pa.int64()), pa.array(bins[first], pa.int32()), lists(keys), lists(counts)], names=["part", "bin", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = readers(path_a, path_b)
-        part, held, n = TaskContext.get().partitionId(), [], 0
+        known = stretches(path_a, path_b)
+        part, held = TaskContext.get().partitionId(), []
+        counts = np.zeros(0, dtype=np.int64)
+
+        def take() -> list[tuple[np.ndarray, np.ndarray]]:
+            """What ``held`` and the counts come to; the counts start anew."""
+            nonlocal counts
+            keys = np.fromiter(known.pairs, dtype=np.int64, count=len(known.pairs))[: len(counts)]
+            some = [*held, (keys[counts > 0], counts[counts > 0])]
+            counts = np.zeros(0, dtype=np.int64)
+            return [merged(some)]
+
         for _, texts, _ in text_batches(batches):
-            held.append(Aligned(texts, a, b).document_pairs())
-            n += len(held[-1][0])
-            if n > HELD_PAIRS:
-                held = [merged(held)]
-                n = len(held[0][0])
-                if n > HELD_PAIRS // 2:
+            if known.full():
+                held = take()
+                known.reset()
+                if len(held[0][0]) > HELD_PAIRS:
                     yield hand_on(part, held)
-                    held, n = [], 0
-        if held:
-            yield hand_on(part, held)
+                    held = []
+            places, sizes, apart = known.of(texts)
+            links, per_place = known.links_of(places)
+            pairs = len(known.pairs)
+            doc = np.repeat(np.repeat(np.arange(len(texts)), sizes), per_place)
+            counts = np.concatenate([counts, np.zeros(pairs - len(counts), dtype=np.int64)])
+            counts += np.bincount(np.unique(doc * pairs + links) % max(1, pairs), minlength=pairs)
+            if apart:
+                held.append(Aligned.singly([texts[n] for n in apart], known.a, known.b).document_pairs())
+                if sum(len(k) for k, _ in held) > HELD_PAIRS:
+                    held = [merged(held)]
+        yield hand_on(part, take())
 
     return run
 
@@ -371,31 +529,44 @@ def best_counts(table: DataFrame) -> DataFrame:
     return pair_rows(table).groupBy("a").agg(F.max("n").alias("best"))
 
 
-def second_pass(path_a: str, path_b: str, look_up: Callable[[Aligned, np.ndarray, int], dict[str, pa.Array]], with_groups: bool):
+def second_pass(path_a: str, path_b: str, look_up: Callable[[Stretches], Links], with_groups: bool):
     """Rows of (doc_id, totals, digest of the groups, what ``look_up`` makes of the links)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = readers(path_a, path_b)
+        known = stretches(path_a, path_b)
+        rate = look_up(known)
         for ids, texts, rows in text_batches(batches):
-            aligned = Aligned(texts, a, b)
-            rows = rows[aligned.texts]
+            if known.full():
+                known.reset()
+                rate = look_up(known)
+            places, sizes, apart = known.of(texts)
             columns: dict[str, pa.Array] = {"doc_id": ids}
+            whole = Aligned.singly([texts[n] for n in apart], known.a, known.b) if apart else None
+            of_whole = np.array(apart, dtype=np.int64)[whole.texts] if apart else None
             for name in TOTALS:
                 values = np.zeros(len(ids), dtype=np.int64)
-                values[rows] = getattr(aligned, name)
+                values[rows] = summed(np.frombuffer(known.sums[name], np.int64)[places], sizes)
+                if apart:
+                    values[rows[of_whole]] = getattr(whole, name)
                 columns[name] = pa.array(values)
-            digests, groups = [""] * len(ids), [""] * len(ids)
-            for row, text in zip(rows, aligned.group_texts()):
-                digests[row] = hashlib.sha256(text.encode()).hexdigest()
-                groups[row] = text
-            columns["groups_sha256"] = pa.array(digests, pa.string())
+            ends, groups = np.cumsum(sizes), [b""] * len(ids)
+            for row, end, size in zip(rows.tolist(), ends.tolist(), sizes.tolist()):
+                groups[row] = b";".join([known.groups[p] for p in places[end - size : end].tolist()])
+            if apart:
+                for row, text in zip(rows[of_whole].tolist(), whole.group_texts()):
+                    groups[row] = text.encode()
+            columns["groups_sha256"] = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string())
             if with_groups:
-                columns["groups"] = pa.array(groups, pa.string())
-            columns |= look_up(aligned, rows, len(ids))
+                columns["groups"] = pa.array([g.decode() for g in groups], pa.string())
+            columns |= rate(places, sizes, whole, rows, rows[of_whole] if apart else None, len(ids))
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+# (places, places of each text, texts aligned in one piece, rows of the texts, rows of those, number of rows) to columns.
+Links = Callable[[np.ndarray, np.ndarray, "Aligned | None", np.ndarray, "np.ndarray | None", int], dict[str, pa.Array]]
+
+
 def align_tokenizers(
     docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", with_groups: bool = False, broadcast_pairs: int = BROADCAST_PAIRS,
 ) -> DataFrame:
@@ -427,7 +598,7 @@ def align_tokenizers(
 _tables: dict[str, tuple[PairTable, np.ndarray]] = {}
 
 
-def sent_counts(sent: Broadcast, name: str) -> Callable[[Aligned, np.ndarray, int], dict[str, pa.Array]]:
+def sent_counts(sent: Broadcast, name: str) -> Callable[[Stretches], Links]:
     """Counts looked up in the table that was sent; a worker unpacks one table at a time, known by ``name``."""
     def unpacked() -> tuple[PairTable, np.ndarray]:
         if name not in _tables:
@@ -441,27 +612,57 @@ def sent_counts(sent: Broadcast, name: str) -> Callable[[Aligned, np.ndarray, in
             _tables[name] = PairTable(bins, lambda k: place[bin_of(k)]), highest
         return _tables[name]
 
-    def look_up(aligned: Aligned, rows: np.ndarray, n: int) -> dict[str, pa.Array]:
+    def rated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table, highest = unpacked()
-        counts = table.counts[table.slots(aligned.keys)]
-        top = counts == highest[aligned.keys >> 32]
-        sums = {"n_best": top.astype(np.int64), "count_sum": counts}
-        found = {}
-        for name, values in sums.items():
-            total = np.zeros(n, dtype=np.int64)
-            running = np.concatenate([[0], np.cumsum(values)])
-            ends = np.cumsum(aligned.n_links)
-            total[rows] = running[ends] - running[ends - aligned.n_links]
-            found[name] = pa.array(total)
-        return found
+        counts = table.counts[table.slots(keys)]
+        return (counts == highest[keys >> 32]).astype(np.int64), counts
+
+    def look_up(known: Stretches) -> Links:
+        # Sums over the links of every stretch, worked out when it first occurs.
+        of_pairs = of_places = [np.empty(0, np.int64)] * 2
+
+        def rate(places: np.ndarray, sizes: np.ndarray, whole: Aligned | None, rows: np.ndarray, whole_rows: np.ndarray | None, n: int) -> dict[str, pa.Array]:
+            nonlocal of_pairs, of_places
+            fresh = np.fromiter(known.pairs, dtype=np.int64, count=len(known.pairs))[len(of_pairs[0]) :]
+            # A stretch of another job's texts may have pairs that this table lacks; it is not asked for here.
+            of_pairs = [np.concatenate([old, new]) for old, new in zip(of_pairs, present(fresh))]
+            links, per_place = known.links_of(np.arange(len(of_places[0]), len(known.kinds)))
+            of_places = [np.concatenate([old, summed(values[links], per_place)]) for old, values in zip(of_places, of_pairs)]
+            found = {}
+            for column, (name, of_place) in enumerate(zip(("n_best", "count_sum"), of_places)):
+                values = np.zeros(n, dtype=np.int64)
+                values[rows] = summed(of_place[places], sizes)
+                if whole is not None:
+                    values[whole_rows] = summed(rated(whole.keys)[column], whole.n_links)
+                found[name] = pa.array(values)
+            return found
+
+        def present(keys: np.ndarray) -> list[np.ndarray]:
+            table, _ = unpacked()
+            slot = table.ranks(keys)
+            there = (slot >= 0) & (table.keys[slot] == keys) if len(table.keys) else np.zeros(len(keys), dtype=bool)
+            values = [np.full(len(keys), MISSING, dtype=np.int64) for _ in range(2)]
+            for all_values, some in zip(values, rated(keys[there])):
+                all_values[there] = some
+            return values
+
+        return rate
 
     return look_up
 
 
-def own_links(aligned: Aligned, rows: np.ndarray, n: int) -> dict[str, pa.Array]:
+def own_links(known: Stretches) -> Links:
     """The distinct links of every text, each with the number of times it occurs."""
-    keys, times = [[]] * n, [[]] * n
-    ends = np.cumsum(aligned.n_links)
-    for row, end, size in zip(rows, ends, aligned.n_links):
-        keys[row], times[row] = np.unique(aligned.keys[end - size : end], return_counts=True)
-    return {"keys": pa.array(keys, pa.list_(pa.int64())), "times": pa.array(times, pa.list_(pa.int64()))}
+    def rate(places: np.ndarray, sizes: np.ndarray, whole: Aligned | None, rows: np.ndarray, whole_rows: np.ndarray | None, n: int) -> dict[str, pa.Array]:
+        keys, times = [[]] * n, [[]] * n
+        of_pair = np.fromiter(known.pairs, dtype=np.int64, count=len(known.pairs))
+        links, per_place = known.links_of(places)
+        per_text = summed(per_place, sizes)
+        parts = [(rows, of_pair[links], per_text)] + ([(whole_rows, whole.keys, whole.n_links)] if whole is not None else [])
+        for some, all_keys, counts in parts:
+            for row, end, size in zip(some.tolist(), np.cumsum(counts).tolist(), counts.tolist()):
+                if size:
+                    keys[row], times[row] = np.unique(all_keys[end - size : end], return_counts=True)
+        return {"keys": pa.array(keys, pa.list_(pa.int64())), "times": pa.array(times, pa.list_(pa.int64()))}
+
+    return rate
