@@ -20,6 +20,7 @@ struct ``document``, so they may have any name. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from leadlake.llm.common import text_or_empty
 from leadlake.llm.lm import mixed
 from leadlake.llm.words import batches_of
-from leadlake.session import materialize
+from leadlake.session import materialize, scratch_path
 
 # Labelled rows that the weights are learned from at most.
 MAX_FIT_ROWS = 12_000
@@ -117,7 +118,7 @@ def descend(weights: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: np.ndar
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to learn from: distinct buckets of each text with their shares of its features."""
+    """Rows to learn from: gaps between the distinct buckets of each text, and how often it has each."""
     for batch in batches:
         texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
         for first, end in batches_of(texts, SLICE_BYTES):
@@ -125,52 +126,60 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = (np.concatenate([b[s:e][t[s:e]] for b, t, bounds in groups for s, e in [bounds[n : n + 2]]]) for n in range(end - first))
             distinct = [np.unique(buckets, return_counts=True) for buckets in of]
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(c).slice(first, end - first) for c in ("shard", "row", "label")),
-                pa.array([b for b, _ in distinct], pa.list_(pa.int32())),
-                pa.array([(n / max(1, n.sum())).astype(np.float32) for _, n in distinct], pa.list_(pa.float32())),
-            ], names=["shard", "row", "label", "buckets", "shares"])
+                *(batch.column(c).slice(first, end - first) for c in ("shard", "label")),
+                pa.array([np.diff(b, prepend=0) for b, _ in distinct], pa.list_(pa.int32())), pa.array([n for _, n in distinct], pa.list_(pa.int32())),
+            ], names=["shard", "label", "gaps", "counts"])
 
 
-def round_steps(sent: Broadcast, rate: float, decay: float, rows: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One round of the shards of a partition, whose rows come shard by shard; ``rows`` has the number of each, and the step falls by ``decay``."""
+def round_steps(sent: Broadcast, rate: float, decay: float, sizes: dict[int, int], passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One round of a shard, ``passes`` times over its rows; the step falls by ``decay``. ``sizes`` has the rows of each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, weights, done = None, None, 0
+        weights, done, seen, kept = tuple(w.copy() for w in sent.value), 0, 0, []
 
-        def learned() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()) for w in weights], names=["vectors", "layer", "bias"])
+        def step(row: tuple[np.ndarray, np.ndarray, int], total: int) -> None:
+            nonlocal done
+            descend(weights, *row, rate - decay * done / total)
+            done += 1
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("shard", "label"))
-            for at, label, buckets, shares in zip(*columns, batch.column("buckets"), batch.column("shares")):
-                if at != shard:
-                    if shard is not None:
-                        yield learned()
-                    shard, weights, done = at, tuple(w.copy() for w in sent.value), 0
-                descend(weights, buckets.values.to_numpy(), shares.values.to_numpy(), label, rate - decay * done / rows[at])
-                done += 1
-        if shard is not None:
-            yield learned()
+            shards, labels = (batch.column(c).to_pylist() for c in ("shard", "label"))
+            for shard, label, gaps, counts in zip(shards, labels, batch.column("gaps"), batch.column("counts")):
+                n = counts.values.to_numpy().astype(np.float32)
+                row = np.cumsum(gaps.values.to_numpy(), dtype=np.int64), n / np.float32(max(1.0, n.sum())), label
+                seen = sizes[shard] * passes
+                step(row, seen)
+                if passes > 1:
+                    # Only a small sample is gone through again.
+                    kept.append(row)
+        for n in range(1, passes):
+            for place in np.random.default_rng(n).permutation(len(kept)):
+                step(kept[place], seen)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()) for w in weights], names=["vectors", "layer", "bias"])
 
     return run
 
 
 def learn(fit_rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights from rows of (shard, row, label, text)."""
-    seen = materialize(fit_rows.mapInArrow(measured, "shard int, row long, label int, buckets array<int>, shares array<float>"), "quality-features")
-    sizes = {r.shard: r["count"] for r in seen.groupBy("shard").count().collect()}
-    # Small samples are gone through several times in a round.
+    spark = fit_rows.sparkSession
+    path = scratch_path(spark, "quality-features")
+    # One file per shard in a random order, so that no round has to shuffle.
+    ordered = fit_rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(53), "row"), "row")
+    schema = "shard int, label int, gaps array<int>, counts array<int>"
+    ordered.mapInArrow(measured, schema).write.partitionBy("shard").parquet(path)
+    stored = spark.read.schema("label int, gaps array<int>, counts array<int>, shard int").parquet(path)
+    sizes = {r.shard: r["count"] for r in stored.groupBy("shard").count().collect()}
     passes = -(-LEAST_STEPS // (ROUNDS * sum(sizes.values())))
-    steps_of = {shard: n * passes for shard, n in sizes.items()}
+    shards = [stored.where(F.col("shard") == shard).coalesce(1) for shard in sorted(sizes)]
     weights = start_weights()
     for done in range(ROUNDS):
-        sent = seen.sparkSession.sparkContext.broadcast(weights)
-        repeated = seen.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-        ordered = repeated.repartition(SHARDS, "shard").sortWithinPartitions("shard", "pass", F.xxhash64(F.lit(done), "pass", "row"), "row").drop("pass")
-        steps = round_steps(sent, RATE * (1 - done / ROUNDS), RATE / ROUNDS, steps_of)
-        # At most one row per shard, of the size of the weights.
-        shards = ordered.mapInArrow(steps, "vectors binary, layer binary, bias binary").collect()
+        sent = spark.sparkContext.broadcast(weights)
+        steps = round_steps(sent, RATE * (1 - done / ROUNDS), RATE / ROUNDS, sizes, passes)
+        # One row per shard, of the size of the weights.
+        learned = reduce(DataFrame.unionAll, shards).mapInArrow(steps, "vectors binary, layer binary, bias binary").collect()
         weights = tuple(
-            np.mean(np.sort([np.frombuffer(r[n], np.float32) for r in shards], axis=0), axis=0, dtype=np.float64).astype(np.float32).reshape(w.shape)
+            np.mean(np.sort([np.frombuffer(r[n], np.float32) for r in learned], axis=0), axis=0, dtype=np.float64).astype(np.float32).reshape(w.shape)
             for n, w in enumerate(weights))
         sent.destroy()
     return weights
