@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ def job_context(jobs: DataFrame) -> DataFrame:
     )
 
 
-def build_leads(raw: DataFrame) -> DataFrame:
+def build_leads(raw: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Lead fields from place texts plus the job context; one projection, no Python.
 
-    ``raw`` has the raw place columns and (keyword, search_city, search_state, country).
+    ``raw`` has the raw place columns and (keyword, search_city, search_state, country); its columns ``carry`` come along.
     """
     c = F.col
     labelled = fx.parse_review_count(c("review_labels"))
@@ -71,7 +73,7 @@ def build_leads(raw: DataFrame) -> DataFrame:
     tagged = scored.withColumn("tags", dx.lead_tags(*presence, c("review_count"), c("score")))
     full = tagged.withColumn("digital_diagnosis", dx.digital_diagnosis(*measured, c("hours"), c("tags")))
     context = [name for name in CONTEXT if name in raw.columns]
-    return full.select(*context, *LEAD_COLUMNS, "_city_confirmed")
+    return full.select(*context, *carry, *LEAD_COLUMNS, "_city_confirmed")
 
 
 def accepted_leads(built: DataFrame) -> DataFrame:

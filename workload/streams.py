@@ -138,7 +138,15 @@ DERIVED["control_events"] = """
 
 def _controlled(spark, sf):
     out = scratch_path(spark, "stream-control")
-    finish(stream.stream_control(derived_stream(spark, sf, "control_events"), out, available_now=True))
+    events = derived_stream(spark, sf, "control_events")
+    clock = spark.createDataFrame([], events.schema)
+    clock.write.parquet(f"{out}/clock")
+    ticks = spark.readStream.schema(events.schema).parquet(f"{out}/clock")
+    finish(stream.stream_control(events.unionByName(ticks), out, available_now=True))
+    # The end of the log: an event of no job moves the watermark past the last events.
+    last = derived(spark, sf, "control_events").agg((F.max("ts") + 86_400_000_000).alias("ts"))
+    last.select(*[c(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode("append").parquet(f"{out}/clock")
+    finish(stream.stream_control(events.unionByName(ticks), out, available_now=True))
     return spark.read.parquet(f"{out}/delivered").select("job_id", "n", "ts", "release_ts")
 
 
@@ -250,6 +258,19 @@ ORACLES["j3_leads_from_pages"] = oracle(
     "select f.* from found f join walk using (job_id, n) where kept", *_page_ctes("@jobs"), *greedy("found"), recursive=True
 )
 
+
+
+def _streamed_pages(spark, sf):
+    """The same plan as a stream of captured pages, one per card."""
+    out = scratch_path(spark, "stream-pages")
+    cards = derived_stream(spark, sf, "place_cards").withColumnRenamed("position", "n")
+    finish(stream.stream_page_leads(cards.join(pages_of(spark, sf), "url", "left"), derived(spark, sf, "jobs"), out, available_now=True))
+    return dg.flat_lead(spark.read.parquet(f"{out}/leads"), "job_id", "n")
+
+
+QUERIES["i2_stream_page_leads"] = _streamed_pages
+ORACLES["i2_stream_page_leads"] = ORACLES["j3_leads_from_pages"]
+
 # --- H6: refresh of stale searches -------------------------------------------------------------
 
 # The cached state before the refresh: every customer's search with its old lead count.
