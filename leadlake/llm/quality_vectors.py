@@ -20,10 +20,11 @@ struct ``document``, so they may have any name. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,27 +162,34 @@ def round_steps(sent: Broadcast, rate: float, decay: float, sizes: dict[int, int
 
 
 def learn(fit_rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights from rows of (shard, row, label, text)."""
+    """Weights from rows of (shard, row, label, text). The shards' jobs run beside each other, each in one task."""
     spark = fit_rows.sparkSession
     path = scratch_path(spark, "quality-features")
-    # One file per shard in a random order, so that no round has to shuffle.
-    ordered = fit_rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(53), "row"), "row")
     schema = "shard int, label int, gaps array<int>, counts array<int>"
-    ordered.mapInArrow(measured, schema).write.partitionBy("shard").parquet(path)
-    stored = spark.read.schema("label int, gaps array<int>, counts array<int>, shard int").parquet(path)
-    sizes = {r.shard: r["count"] for r in stored.groupBy("shard").count().collect()}
+    sizes = {r.shard: r["count"] for r in fit_rows.groupBy("shard").count().collect()}
+
+    def store(shard: int) -> None:
+        """The features of a shard in a random order, so that no round has to shuffle."""
+        rows = fit_rows.where(F.col("shard") == shard).repartition(1).sortWithinPartitions(F.xxhash64(F.lit(53), "row"), "row")
+        rows.mapInArrow(measured, schema).write.parquet(f"{path}/{shard}")
+
     passes = -(-LEAST_STEPS // (ROUNDS * sum(sizes.values())))
-    shards = [stored.where(F.col("shard") == shard).coalesce(1) for shard in sorted(sizes)]
     weights = start_weights()
-    for done in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(weights)
-        steps = round_steps(sent, RATE * (1 - done / ROUNDS), RATE / ROUNDS, sizes, passes)
-        # One row per shard, of the size of the weights.
-        learned = reduce(DataFrame.unionAll, shards).mapInArrow(steps, "vectors binary, layer binary, bias binary").collect()
-        weights = tuple(
-            np.mean(np.sort([np.frombuffer(r[n], np.float32) for r in learned], axis=0), axis=0, dtype=np.float64).astype(np.float32).reshape(w.shape)
-            for n, w in enumerate(weights))
-        sent.destroy()
+    with ThreadPool(SHARDS) as pool:
+        pool.map(inheritable_thread_target(spark)(store), sorted(sizes))
+        for done in range(ROUNDS):
+            sent = spark.sparkContext.broadcast(weights)
+            steps = round_steps(sent, RATE * (1 - done / ROUNDS), RATE / ROUNDS, sizes, passes)
+
+            def one_round(shard: int) -> list:
+                """One row, of the size of the weights."""
+                return spark.read.schema(schema).parquet(f"{path}/{shard}").coalesce(1).mapInArrow(steps, "vectors binary, layer binary, bias binary").collect()
+
+            learned = [row for rows in pool.map(inheritable_thread_target(spark)(one_round), sorted(sizes)) for row in rows]
+            weights = tuple(
+                np.mean([np.frombuffer(r[n], np.float32) for r in learned], axis=0, dtype=np.float64).astype(np.float32).reshape(w.shape)
+                for n, w in enumerate(weights))
+            sent.destroy()
     return weights
 
 
