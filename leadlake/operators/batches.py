@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.operators.ordered import with_rank
+from leadlake.operators.ordered import null_safe_join, with_rank
 from leadlake.session import materialize
 
 # Leads per batch and seconds between batches.
@@ -36,7 +36,8 @@ def assign_flush_batches(
 
     The next delivery lies at most ``size`` leads ahead, so a long job is cut into
     blocks: for each of the ``size`` ways to enter a block its way out is worked out in
-    parallel, the ways are chained (one row per block), then all blocks are numbered.
+    parallel, the ways are chained (one row per block), then all blocks are numbered. Leads
+    without a job are a job of their own.
     """
     block_rows = max(block_rows, size)
     # Read several times below, so it is written once.
@@ -45,16 +46,16 @@ def assign_flush_batches(
     ), "flush-ranks")
     steps = ranked.select("job_id", "_block", "_rank", F.col(arrival).cast("double").alias("_t"))
     long_jobs = steps.where(F.col("_rank") == block_rows + 1).select("job_id")
-    entries = _block_entries(steps.join(long_jobs, "job_id", "left_semi"), size, timeout_s, block_rows)
+    entries = _block_entries(null_safe_join(steps, long_jobs, ["job_id"], "left_semi"), size, timeout_s, block_rows)
 
-    placed = steps.join(entries, ["job_id", "_block"], "left").select(
+    placed = null_safe_join(steps, entries, ["job_id", "_block"], "left").select(
         "job_id", "_block", "_rank", "_t",
         F.coalesce("_entry", F.lit(0).cast("bigint")).alias("_entry"), F.coalesce("_base", F.lit(0).cast("bigint")).alias("_base"),
     )
     in_order = placed.repartition("job_id", "_block").sortWithinPartitions("job_id", "_block", "_rank")
     schema = placed.select("job_id", "_rank", F.col("_base").alias("batch_no")).schema
     numbered = in_order.mapInPandas(_number_rows(size, timeout_s), schema)
-    return ranked.join(numbered, ["job_id", "_rank"]).drop("_rank", "_block")
+    return null_safe_join(ranked, numbered, ["job_id", "_rank"], "inner").drop("_rank", "_block")
 
 
 def _block_entries(steps: DataFrame, size: int, timeout_s: float, block_rows: int) -> DataFrame:

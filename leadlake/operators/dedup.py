@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions.text import absent_as_null, norm_text, phone_key
-from leadlake.operators.ordered import with_rank
+from leadlake.operators.ordered import null_safe_join, with_rank
 from leadlake.session import materialize
 
+# Part of the rows that a parallel round may leave undecided and still be followed by another one.
+ROUND_LEAVES = 0.75
 # Largest number of distinct candidates of one job that a single task decides.
 GROUP_ROWS = 200_000
 
@@ -54,7 +57,7 @@ def dedup_leads(
         absent_as_null(phone_key(F.col(phone))).alias("_phone"),
     )
     kept = greedy_keep(keyed, scope, order, group_rows, largest)
-    return leads.join(kept, [scope, order], "left_semi").select(*leads.columns)
+    return null_safe_join(leads, kept, [scope, order], "left_semi")
 
 
 def greedy_keep(
@@ -64,10 +67,12 @@ def greedy_keep(
 
     Rows equal in all keys can only be represented by the earliest, so an aggregate
     shrinks the input first. Scopes with at most ``group_rows`` candidates are decided
-    in one sorted pass. Larger ones lose the rows beaten by a row that is first under both keys, then
-    go block by block in order: rows that conflict with an earlier block's kept ones leave, the
+    in one sorted pass. Larger ones go in parallel rounds: rows that come first under both keys are kept, and the rows they beat leave.
+    No row is decided before all earlier rows it conflicts with, so this is the sequential rule. Rounds end when what is left of
+    every scope fits one pass, which decides it, or when a round decides too little, as in long chains of conflicts; then
+    blocks follow in order: rows that conflict with an earlier block's kept ones leave, the
     rest of the block is decided in one pass. There are rows / ``group_rows`` blocks, whatever
-    the conflicts look like.
+    the conflicts look like. A null scope is a scope of its own.
     """
     names = [scope, "_name", "_city"]
     slim = materialize(keyed.groupBy(*names, "_phone").agg(F.min(order).alias(order)), "dedup-rows")
@@ -78,25 +83,37 @@ def greedy_keep(
 
     sizes = slim.groupBy(scope).count()
     large = materialize(sizes.where(F.col("count") > group_rows).select(scope), "dedup-large")
-    small = _decide_in_order(slim.join(large, scope, "left_anti"), scope, order)
-    big = slim.join(large, scope, "left_semi")
-    winners = materialize(_round_winners(big, scope, order), "dedup-kept")
-    remaining = _without(big, winners, scope, names)
+    decided = [_decide_in_order(null_safe_join(slim, large, [scope], "left_anti"), scope, order)]
+    remaining = null_safe_join(slim, large, [scope], "left_semi")
+    left = sizes.where(F.col("count") > group_rows).agg(F.sum("count")).first()[0]
+    while True:
+        winners = materialize(_round_winners(remaining, scope, order), "dedup-kept")
+        decided.append(winners.select(scope, order))
+        remaining = materialize(_without(remaining, winners, scope, names), "dedup-left")
+        before, (left, largest) = left, remaining.groupBy(scope).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        if largest <= group_rows:
+            decided.append(_decide_in_order(remaining, scope, order))
+            return reduce(DataFrame.unionByName, decided)
+        if left > ROUND_LEAVES * before:
+            break
     block = F.floor((F.col("_rank") - 1) / F.lit(group_rows)).cast("bigint")
     blocks = materialize(with_rank(remaining, [scope], [order], "_rank").withColumn("_block", block).drop("_rank"), "dedup-blocks")
     last = blocks.agg(F.max("_block")).first()[0]
-    kept = winners.select(scope, order, "_name", "_city", "_phone")
+    # Nothing that is left conflicts with a row kept in the rounds.
+    kept = blocks.drop("_block").limit(0)
     for n in range(0 if last is None else last + 1):
         rows = _without(blocks.where(F.col("_block") == n).drop("_block"), kept, scope, names)
         chosen = _decide_in_order(rows, scope, order)
-        kept = kept.unionByName(materialize(blocks.join(chosen, [scope, order], "left_semi").select(*kept.columns), "dedup-kept"))
-    return small.unionByName(kept.select(scope, order))
+        kept = kept.unionByName(materialize(null_safe_join(blocks.drop("_block"), chosen, [scope, order], "left_semi"), "dedup-kept"))
+    return reduce(DataFrame.unionByName, [*decided, kept.select(scope, order)])
 
 
 def _without(rows: DataFrame, kept: DataFrame, scope: str, names: Sequence[str]) -> DataFrame:
     """Rows that share neither the name nor a phone with a kept one."""
-    phones = kept.where(F.col("_phone").isNotNull()).select(scope, "_phone")
-    return rows.join(kept.select(*names), list(names), "left_anti").join(phones, [scope, "_phone"], "left_anti")
+    phones = kept.where(F.col("_phone").isNotNull())
+    other_names = null_safe_join(rows, kept, names, "left_anti")
+    silent = other_names.where(F.col("_phone").isNull())
+    return silent.unionByName(null_safe_join(other_names.where(F.col("_phone").isNotNull()), phones, [scope, "_phone"], "left_anti"))
 
 
 def _round_winners(rows: DataFrame, scope: str, order: str) -> DataFrame:
@@ -112,9 +129,7 @@ def _round_winners(rows: DataFrame, scope: str, order: str) -> DataFrame:
         F.min(order).alias(order)
     ).select(scope, order)
     without_phone = first_of_name.where(F.col("_phone").isNull())
-    with_phone = first_of_name.where(F.col("_phone").isNotNull()).join(
-        first_of_phone, [scope, order], "left_semi"
-    )
+    with_phone = null_safe_join(first_of_name.where(F.col("_phone").isNotNull()), first_of_phone, [scope, order], "left_semi")
     return without_phone.unionByName(with_phone)
 
 
@@ -132,7 +147,8 @@ def _first_wins(scope: str, order: str) -> Callable[[Iterator[pd.DataFrame]], It
         for batch in batches:
             keep = []
             for key, name, city, phone in zip(batch[scope], batch["_name"], batch["_city"], batch["_phone"]):
-                if key != current:
+                # A null scope arrives as None, or as NaN where scopes are numbers.
+                if key != current and not (key != key and current != current):
                     current, taken_names, taken_phones = key, set(), set()
                 fresh = (name, city) not in taken_names and (phone is None or phone not in taken_phones)
                 if fresh:

@@ -116,3 +116,10 @@ def with_carried(
 ) -> DataFrame:
     """The last non-null ``value`` strictly before the current row; with ``backwards`` the first one strictly after it."""
     return with_ordered(df, by, order, {out: Carried(value, backwards)}, parts)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join where null keys equal each other, as they do in groups."""
+    names = {c: f"_same_{c}" for c in on}
+    equal = [F.col(c).eqNullSafe(F.col(same)) for c, same in names.items()]
+    return left.join(right.withColumnsRenamed(names), functools.reduce(lambda a, b: a & b, equal), how).drop(*names.values())

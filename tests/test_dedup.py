@@ -64,6 +64,35 @@ def test_chain_of_conflicts(spark):
     assert kept_rows(dedup_leads(df, group_rows=3)) == sequential(rows)
 
 
+@pytest.mark.parametrize("group_rows", [200_000, 7, 1])
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_rows_without_a_job_are_a_job_of_their_own(spark, group_rows, kind):
+    rows = random_rows(11, 200, hot=0.5)
+    ids = {job: n for n, job in enumerate(sorted({r[0] for r in rows} - {"hot"}))}
+    jobs = {r[0]: None if r[0] == "hot" else ids[r[0]] if kind == "bigint" else r[0] for r in rows}
+    df = spark.createDataFrame([(jobs[r[0]], *r[1:]) for r in rows], SCHEMA.replace("job_id string", f"job_id {kind}"))
+    found = {(r.job_id, r.n) for r in dedup_leads(df, group_rows=group_rows).select("job_id", "n").collect()}
+    assert found == {(jobs[job], n) for job, n in sequential(rows)}
+
+
+def test_stars_and_random_keys_take_few_rounds(spark, monkeypatch):
+    from leadlake.operators import dedup
+
+    rounds, blocks = [], []
+    winners, ranked = dedup._round_winners, dedup.with_rank
+    monkeypatch.setattr(dedup, "_round_winners", lambda *a: rounds.append(1) or winners(*a))
+    monkeypatch.setattr(dedup, "with_rank", lambda *a: blocks.append(1) or ranked(*a))
+    rng = random.Random(12)
+    # One phone under many names, one name under many phones, and pairs of them.
+    star = [("j", n, "hub" if n % 3 == 0 else f"n{n}", "x", "7" if n % 3 == 1 else str(1000 + n // 2)) for n in range(600)]
+    mixed = [("j", n, f"n{rng.randrange(150)}", "x", str(rng.randrange(150))) for n in range(2_000)]
+    for rows in (star, mixed):
+        del rounds[:], blocks[:]
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert kept_rows(dedup_leads(df, group_rows=10)) == sequential(rows)
+        assert len(rounds) <= 10 and not blocks
+
+
 def test_dedup_urls(spark):
     cards = spark.createDataFrame([("j", 2, "u", "b"), ("j", 1, "u", "a"), ("j", 3, "v", "c"), ("k", 1, "u", "d")], "job_id string, position int, url string, name string")
     assert sorted(tuple(r) for r in dedup_urls(cards).collect()) == [("j", 1, "u", "a"), ("j", 3, "v", "c"), ("k", 1, "u", "d")]

@@ -107,3 +107,13 @@ def test_sparse_order_has_one_summary_per_piece(spark, monkeypatch):
     df = spark.range(20_000).select(F.lit("hot").alias("job"), (F.col("id") * 1_000_003).alias("o"))
     assert with_rank(df, ["job"], ["o"], "r", 8).agg(F.count_distinct("r"), F.max("r")).first() == (20_000, 20_000)
     assert written[0].select("_piece", "job").distinct().count() <= 8
+
+
+def test_batches_of_leads_without_a_job(spark):
+    from leadlake.operators.batches import assign_flush_batches
+
+    rows = [(job, n, n * 0.7) for job in (None, "j") for n in range(230)]
+    df = spark.createDataFrame(rows, "job_id string, n bigint, arrival_s double")
+    for block_rows in (1_000, 60):
+        found = {(r.job_id, r.n): r.batch_no for r in assign_flush_batches(df, block_rows=block_rows).collect()}
+        assert len(found) == 460 and all(found[None, n] == found["j", n] for n in range(230))
