@@ -36,6 +36,13 @@ def _without_marks(text: str) -> str:
 
 _MARK_FOLDS = _single_char_folds(_without_marks)
 _ASCII_FOLDS = _single_char_folds(lambda text: text.encode("ascii", "ignore").decode())
+# Hangul syllables: 19 leading letters, 21 vowels, 28 trailing letters or none.
+_HANGUL, _SYLLABLES = 0xAC00, 19 * 21 * 28
+# The other characters that decompose into several letters, by rule.
+_SEVERAL = {
+    chr(cp): letters for cp in [*range(0x80, 0xAC00), *range(0xE000, 0x10000)]
+    if len(letters := _without_marks(unicodedata.normalize("NFD", chr(cp)))) > 1
+}
 _DIGITS = [chr(cp) for cp in range(0x80, 0x10000) if unicodedata.category(chr(cp)) == "Nd"]
 _DIGIT_FOLDS = ("".join(_DIGITS), "".join(str(unicodedata.digit(ch)) for ch in _DIGITS))
 
@@ -62,12 +69,29 @@ def trim_ws(col: Column) -> Column:
 def norm_text(col: Column) -> Column:
     """Lower case, strip, drop combining marks; null becomes ''.
 
-    Letters without a canonical decomposition (``ł``, ``ø``, ``ß``) stay. Characters that
-    decompose into several letters (Hangul) stay composed: equal texts still compare
-    equal. Use :func:`norm_text_exact` where the folded text itself must be identical.
+    Letters without a canonical decomposition (``ł``, ``ø``, ``ß``) stay. Those that decompose into
+    several letters (Hangul syllables and a few others) do so where a text has any.
     """
-    folded = _translate(trim_ws(F.lower(col)), _MARK_FOLDS)
-    return F.coalesce(F.regexp_replace(folded, r"\p{Mn}", ""), F.lit(""))
+    folded = F.regexp_replace(_translate(trim_ws(F.lower(col)), _MARK_FOLDS), r"\p{Mn}", "")
+    several = f"[{chr(_HANGUL)}-{chr(_HANGUL + _SYLLABLES - 1)}{''.join(_SEVERAL)}]"
+    return F.coalesce(F.when((F.octet_length(col) > F.length(col)) & col.rlike(several), _in_letters(folded)).otherwise(folded), F.lit(""))
+
+
+def _in_letters(col: Column) -> Column:
+    """Every letter that stands for several replaced by them; syllables by arithmetic on their code points."""
+    known = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+
+    def letter(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def parts(c: Column) -> Column:
+        place = F.ascii(c) - _HANGUL
+        trailing = F.when(place % 28 > 0, letter((0x11A7 + place % 28).cast("long"))).otherwise("")
+        lead, vowel = F.floor(place / 588), F.floor(place % 588 / 28)
+        syllable = F.concat(letter(lead + 0x1100), letter(vowel + 0x1161), trailing)
+        return F.when((place >= 0) & (place < _SYLLABLES), syllable).otherwise(F.coalesce(F.try_element_at(known, c), c))
+
+    return F.array_join(F.transform(F.split(col, ""), parts), "")
 
 
 @F.pandas_udf(StringType())

