@@ -44,22 +44,20 @@ def first_leads(found: DataFrame, forget_after_s: int | None = None) -> DataFram
         visits, limit = [], 0
         for part in parts:
             limit = max(limit, int(part["max_results"].fillna(0).max()))
-            rows = part.astype(object).where(part.notna(), None).itertuples(index=False)
+            rows = zip(*(part[c].tolist() for c in ("n", "url", "accepted", "name", "city", "phone", "lead")))
             # Only the first visits within the limit are held.
-            visits = heapq.nsmallest(max(0, limit - visited), [*visits, *rows], key=lambda row: row.n)
+            visits = heapq.nsmallest(max(0, limit - visited), [*visits, *rows], key=lambda row: row[0])
         visited += len(visits)
         seen, known, called = set(urls), {tuple(name) for name in names}, set(phones)
         kept = []
-        for row in visits:
-            again = row.url is not None and row.url in seen
-            seen.add(row.url)
-            name = (row.name, row.city)
-            if again or not row.accepted or name in known or row.phone in called:
+        for n, url, accepted, name, city, phone, lead in visits:
+            again = url is not None and url in seen
+            seen.add(url)
+            if again or not accepted or (name, city) in known or phone is not None and phone in called:
                 continue
-            known.add(name)
-            if row.phone is not None:
-                called.add(row.phone)
-            kept.append((key[0], row.n, row.lead))
+            known.add((name, city))
+            called.add(phone)
+            kept.append((key[0], n, lead))
         left = visited < limit
         state.update((json.dumps([visited, *([sorted(x for x in some if x is not None) for some in (seen, known, called)] if left else [[], [], []])]),))
         if forget_after_s is not None:
