@@ -15,6 +15,10 @@ from leadlake.functions.search import place_key, search_hash
 from leadlake.functions.text import absent_as_null, present, title_case
 from leadlake.operators.filters import keep_city_matches
 from leadlake.operators.ordered import Carried, with_ordered
+from leadlake.session import materialize
+
+# Leading characters of a search hash that name its part of a stored cache.
+PART_CHARS = 2
 
 
 def alive(cached_at: Column, ttl_s: Column, now: float) -> Column:
@@ -72,19 +76,33 @@ def with_search_hash(searches: DataFrame) -> DataFrame:
     )
 
 
-def lookup_result_cache(searches: DataFrame, meta: DataFrame, entries: DataFrame, now: float) -> DataFrame:
+def lookup_result_cache(
+    searches: DataFrame, meta: DataFrame, entries: DataFrame, now: float, part_chars: int = PART_CHARS
+) -> DataFrame:
     """Cached leads of equal searches, one row per (search, lead); a miss yields no row.
 
-    ``meta`` holds one row per search hash, ``entries`` one row per cached lead.
+    ``meta`` holds one row per search hash, ``entries`` one row per cached lead. Where they carry their ``part``, the first
+    ``part_chars`` characters of the hash, only the parts asked for are read: the searches are written first, so that their
+    size is known, and as long as they are few Spark broadcasts them and prunes both scans by them.
     """
-    live = meta.where(alive(F.col("cached_at"), F.col("ttl_s"), now)).select("hash", "cached_at")
-    wanted = with_search_hash(searches).join(live, "hash", "inner")
-    return entries.join(wanted, ["hash", "cached_at"], "inner")
+    if not ({"part"} <= set(meta.columns) & set(entries.columns)):
+        meta, entries = meta.drop("part"), entries.drop("part")
+        live = meta.where(alive(F.col("cached_at"), F.col("ttl_s"), now)).select("hash", "cached_at")
+        return entries.join(with_search_hash(searches).join(live, "hash", "inner"), ["hash", "cached_at"], "inner")
+    asked = materialize(with_search_hash(searches).withColumn("part", F.left("hash", F.lit(part_chars))), "asked-searches")
+    # The comparison holds for every hash; it tells the planner that pruning by this side pays.
+    asked = asked.where(F.length("part") == part_chars)
+    live = meta.where(alive(F.col("cached_at"), F.col("ttl_s"), now)).select("part", "hash", "cached_at")
+    wanted = materialize(live.join(asked, ["part", "hash"], "inner"), "wanted-searches").where(F.length("part") == part_chars)
+    return entries.join(wanted, ["part", "hash", "cached_at"], "inner").drop("part")
 
 
 def flag_new_leads(batch: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Add ``is_new``: no known lead has the same key. Copies in ``known`` do not multiply rows."""
-    asked = batch.select(*on).distinct()
+    """Add ``is_new``: no known lead has the same key. Copies in ``known`` do not multiply rows.
+
+    The keys asked for are written first: while they are few, ``known`` is scanned against them where it lies and not shuffled.
+    """
+    asked = materialize(batch.select(*on).distinct(), "asked-keys")
     # Only the known leads the batch asks for are made distinct.
     seen = known.select(*on).join(asked, list(on), "left_semi").distinct().withColumn("_seen", F.lit(True))
     return batch.join(seen, list(on), "left").withColumn("is_new", F.col("_seen").isNull()).drop("_seen")

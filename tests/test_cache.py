@@ -49,18 +49,19 @@ def test_result_cache_files(spark, tmp_path):
     meta, entries = stored(spark, [("1", "Bar", "X", "", "BR", 20, 10.0)], [("1", 1, "a"), ("1", 2, "b")])
     sinks.write_result_cache(meta, entries, str(tmp_path), part_chars=1)
     meta2, entries2 = sinks.read_result_cache(spark, str(tmp_path))
-    assert meta2.columns == RESULT_META.fieldNames()
-    assert meta2.collect() == meta.collect() and sorted(entries2.collect()) == sorted(entries.select(*RESULT_ENTRY.fieldNames()).collect())
+    assert meta2.columns == [*RESULT_META.fieldNames(), "part"]
+    assert meta2.drop("part").collect() == meta.collect() and sorted(entries2.drop("part").collect()) == sorted(entries.select(*RESULT_ENTRY.fieldNames()).collect())
 
 
 def test_refresh_rewrites_only_touched_parts(spark, tmp_path):
     searches = [(str(i), f"k{i}", "X", "", "BR", 20, 10.0) for i in range(12)]
     old = stored(spark, searches, [(s[0], 1, "a") for s in searches])
     sinks.write_result_cache(*old, str(tmp_path), part_chars=1)
-    before = {f: f.stat().st_mtime_ns for f in tmp_path.glob("entries/part=*/*.parquet")}
+    before = sinks._cache_snapshot(spark, str(tmp_path))["entries"]
     new = stored(spark, [("new", "k3", "X", "", "BR", 20, 99.0)], [("new", 1, "b"), ("new", 2, "c")], sinks.read_result_cache(spark, str(tmp_path)))
-    sinks.write_result_cache(*new, str(tmp_path), part_chars=1, changed_since=99.0)
-    assert len([f for f, t in before.items() if f.exists() and f.stat().st_mtime_ns == t]) == len({f.parent for f in before}) - 1
+    assert sinks.write_result_cache(*new, str(tmp_path), part_chars=1, changed_since=99.0) == 2
+    after = sinks._cache_snapshot(spark, str(tmp_path))["entries"]
+    assert before.keys() == after.keys() and sum(before[p] != after[p] for p in before) == 1
     meta, entries = sinks.read_result_cache(spark, str(tmp_path))
     assert meta.count() == 12 and sorted(r.lead.name for r in entries.where("search_id = 'new'").collect()) == ["b", "c"]
     assert entries.count() == 13

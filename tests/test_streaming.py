@@ -187,17 +187,17 @@ def test_live_metrics_and_progress_equal_batch(spark, tmp_path):
 
 
 def test_replayed_batches_change_nothing(spark, tmp_path):
-    from leadlake.sources.sinks import store_leads, upsert_leads
+    from leadlake.sources.sinks import read_leads, store_leads, upsert_leads
 
     schema = "job_id string, batch_id int, n bigint, name string"
     path, batches = str(tmp_path / "leads"), [[("j", 0, 1, "a"), ("j", 0, 2, "b")], [("j", 1, 3, "b"), ("j", 1, 4, "c"), ("k", 0, 1, "a")]]
     outcomes = []
-    for rows in [batches[0], batches[1], batches[1], batches[0]]:
-        batch = spark.createDataFrame(rows, schema)
-        known = spark.read.schema(schema).parquet(path) if outcomes else spark.createDataFrame([], schema)
+    for d in [0, 1, 1, 0]:
+        batch = spark.createDataFrame(batches[d], schema)
+        known = read_leads(spark, path, batch.schema)
         _, totals = upsert_leads(batch, known, ["name"])
         outcomes.append(sorted((r.job_id, r.batch_id, r.sent, r.new_count) for r in totals.collect()))
-        store_leads(batch, path)
+        store_leads(batch, path, d)
     assert outcomes[1] == outcomes[2] == [("j", 1, 2, 1), ("k", 0, 1, 0)]
-    stored = spark.read.schema(schema).parquet(path)
+    stored = read_leads(spark, path, batch.schema)
     assert sorted((r.job_id, r.batch_id, r.n) for r in stored.collect()) == [("j", 0, 1), ("j", 0, 2), ("j", 1, 3), ("j", 1, 4), ("k", 0, 1)]

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import search as sx
 from leadlake.operators import cache, dedup, limits, lookup
+from leadlake.schemas import RESULT_ENTRY
+from leadlake.session import scratch_path
 from leadlake.sources import sinks
 from workload import normalise as nz
 from workload.diagnose import sql_city_matches
@@ -95,15 +97,30 @@ _RESULT_CTES = [
         join (select search_id, count(*)::int as n_leads from @search_leads group by 1) l using (search_id)"""),
     ("meta", """select * from written qualify row_number() over (partition by hash order by cached_at desc, search_id desc) = 1"""),
 ]
-QUERIES["e3_lookup_result_cache"] = lambda spark, sf: lookup.lookup_result_cache(
-    derived(spark, sf, "searches").select(c("search_id").alias("asked_by"), F.upper("keyword").alias("keyword"), "city", "state", "country"),
-    *_result_cache(spark, sf), NOW,
-).select("asked_by", "n", c("lead.name").alias("lead_name"))
+def _cached_leads(spark, sf, stored=False):
+    asked = derived(spark, sf, "searches").select(c("search_id").alias("asked_by"), F.upper("keyword").alias("keyword"), "city", "state", "country")
+    tables = _result_cache(spark, sf)
+    if stored:
+        path = scratch_path(spark, "result-cache")
+        sinks.write_result_cache(tables[0], tables[1].select(*RESULT_ENTRY.fieldNames()[:-1], _full_lead()), path, part_chars=1)
+        tables = sinks.read_result_cache(spark, path)
+    return lookup.lookup_result_cache(asked, *tables, NOW, part_chars=1).select("asked_by", "n", c("lead.name").alias("lead_name"))
+
+
+def _full_lead():
+    kinds = RESULT_ENTRY["lead"].dataType
+    return F.struct(c("lead.name").alias("name"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields[1:]]).alias("lead")
+
+
+QUERIES["e3_lookup_result_cache"] = _cached_leads
+# The same lookups over the stored cache, parts pruned by the searches.
+QUERIES["e3_lookup_stored_cache"] = lambda spark, sf: _cached_leads(spark, sf, stored=True)
 ORACLES["e3_lookup_result_cache"] = oracle(
     f"""select a.search_id as asked_by, n, name as lead_name from (select search_id, {nz.SQL_HASH} as hash from @searches) a
         join meta m on a.hash = m.hash join @search_leads l on l.search_id = m.search_id where cached_at + 604800 > {NOW_SQL}""",
     *_RESULT_CTES,
 )
+ORACLES["e3_lookup_stored_cache"] = ORACLES["e3_lookup_result_cache"]
 
 QUERIES["e4_flag_new_leads"] = lambda spark, sf: lookup.flag_new_leads(
     derived(spark, sf, "leads", heavy=True), derived(spark, sf, "known_leads"), ["name", "city"]).select("job_id", "n", "is_new")
@@ -229,13 +246,11 @@ ORACLES["h5_cache_meta"] = oracle(
 
 
 def _stored(spark, sf):
-    """Both cache tables written, split by hash prefix, and read back."""
-    from leadlake.session import scratch_path
-
+    """Both cache tables committed as one version, split by hash prefix, and read back."""
     path = scratch_path(spark, "result-cache")
     meta, entries = _result_cache(spark, sf)
-    sinks.write_result_cache(meta, entries, path, part_chars=1)
-    back = spark.read.parquet(f"{path}/entries")
+    sinks.write_result_cache(meta, entries.select(*RESULT_ENTRY.fieldNames()[:-1], _full_lead()), path, part_chars=1)
+    back = sinks.read_result_cache(spark, path)[1]
     return back.groupBy("hash").agg(F.count(F.lit(1)).alias("leads"), F.min("n").alias("first_n"), F.max("lead.name").alias("last_name"))
 
 

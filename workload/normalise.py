@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadlake.functions import fields as fx
 from leadlake.functions import search as sx
 from leadlake.functions import text as tx
+from leadlake.session import scratch_path
 from leadlake.sources import jobs as job_source
 from leadlake.sources import pages as page_source
 from leadlake.sources import sinks
@@ -166,6 +167,20 @@ ORACLES["a5_upsert_leads"] = oracle(
         from @lead_batches b left join @known_leads k on b.name = k.name and b.city = k.city) f group by all"""
 )
 
+def _delivered(spark, sf, deliveries=4, fold=3):
+    """Leads committed in several deliveries, the second one twice, folded on the way and read back."""
+    path = scratch_path(spark, "lead-table")
+    batch = derived(spark, sf, "lead_batches")
+    for d in [0, 1, 1, *range(2, deliveries)]:
+        sinks.store_leads(batch.where(F.pmod("batch_id", F.lit(deliveries)) == d), path, d, ["name", "city"], fold)
+    return sinks.read_leads(spark, path, batch.schema).groupBy("job_id", "batch_id").agg(
+        F.count(F.lit(1)).alias("leads"), F.min("n").alias("first_n"), F.max("name").alias("last_name"))
+
+
+QUERIES["a5_store_leads"] = _delivered
+ORACLES["a5_store_leads"] = oracle(
+    "select job_id, batch_id, count(*) as leads, min(n) as first_n, max(name) as last_name from @lead_batches group by all")
+
 QUERIES["a6_quarantine_rejects"] = lambda spark, sf: sinks.quarantine_rejects(
     derived(spark, sf, "lead_batches"), F.length("phone") >= 16
 )[2]

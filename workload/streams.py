@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from leadlake.functions.text import present
 from leadlake.operators import batches, metrics
 from leadlake.plans.leads import leads_from_pages
-from leadlake.plans.refresh import refresh_cycle
+from leadlake.plans.refresh import refresh_cycle, refresh_stored
 from leadlake.schemas import LEAD_COLUMNS, PLACE_TEXTS, RESULT_ENTRY, RESULT_META
 from leadlake.session import scratch_path
 from leadlake.sources import pages as page_source
+from leadlake.sources import sinks
 from leadlake.sources.pages import step
 from leadlake.streaming import leads as stream
 from leadlake.streaming import progress
@@ -283,7 +284,7 @@ DERIVED["cached_leads"] = """
     from @orders where o_orderstatus = 'F'"""
 
 
-def _refreshed(spark, sf):
+def _refreshed(spark, sf, stored=False):
     from leadlake.operators.cache import put_results
 
     old = derived(spark, sf, "cached_leads").select("search_id", "n", F.struct(
@@ -292,7 +293,13 @@ def _refreshed(spark, sf):
         spark.createDataFrame([], RESULT_META), spark.createDataFrame([], RESULT_ENTRY), derived(spark, sf, "cached_searches"), old)
     # The job of a refresh is the search's hash.
     cards = derived(spark, sf, "place_cards").join(meta.select("hash", c("search_id").alias("job_id")), "job_id").drop("job_id").withColumnRenamed("hash", "job_id")
-    new_meta, new_entries = refresh_cycle(meta, entries, cards, pages_of(spark, sf), NOW, 2 * lk.DAY)
+    if stored:
+        path = scratch_path(spark, "refreshed-cache")
+        sinks.write_result_cache(meta, entries, path, part_chars=1)
+        refresh_stored(spark, path, cards, pages_of(spark, sf), NOW, 2 * lk.DAY, part_chars=1)
+        new_meta, new_entries = sinks.read_result_cache(spark, path)
+    else:
+        new_meta, new_entries = refresh_cycle(meta, entries, cards, pages_of(spark, sf), NOW, 2 * lk.DAY)
     return new_entries.join(new_meta.select("hash", "search_id", "count"), ["hash", "search_id"]).select(
         "hash", "search_id", "n", "lead.name", "count", F.round("cached_at", 3).alias("cached_at"))
 
@@ -314,3 +321,6 @@ ORACLES["h6_refresh_cycle"] = oracle(
     *_STORED, *_page_ctes("requests"),
     ("renewed", "select job_id as search_id, n, name, (count(*) over (partition by job_id))::int as cnt from found"),
 )
+# The same refresh as one commit over the stored cache, read back.
+QUERIES["h6_refresh_stored"] = lambda spark, sf: _refreshed(spark, sf, stored=True)
+ORACLES["h6_refresh_stored"] = ORACLES["h6_refresh_cycle"]
