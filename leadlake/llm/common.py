@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, label: str) -> DataFrame:
-    """``docs``, written with a number ``_row`` that tells its rows apart whatever their ids are."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+    """(row, document), written: ``row`` tells the rows of ``docs`` apart whatever their ids are, and ``document`` holds a row whole,
+    so that no column name can clash."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document")), label)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -134,7 +134,9 @@ def mix_sources(
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them. ``key`` tells the rows apart: ids if they are unique, else a row number."""
-    picks = mixed.where("times > 0").select(F.col(key).alias("_mix_key"), F.col("times").alias("_mix_times"))
-    again = docs.join(picks, F.col(key).eqNullSafe(F.col("_mix_key"))).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return again.select(*docs.columns)
+    """Rows of ``docs`` as often as the mix takes them, whatever their columns are called. ``key`` tells the rows apart: ids if they are
+    unique, else a row number."""
+    picks = mixed.where("times > 0").select(F.col(key).alias("picked"), "times")
+    rows = docs.select(F.col(key).alias("key"), F.struct("*").alias("document"))
+    again = rows.join(picks, F.col("key").eqNullSafe(F.col("picked"))).select("document", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return again.select("document.*")

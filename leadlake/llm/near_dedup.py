@@ -45,14 +45,18 @@ TILE_ROWS, TILES_TOGETHER = 512, 32
 PARTINGS = 1
 # Columns of the incidence matrix at once.
 SHINGLES_AT_ONCE = 1 << 12
+# Hashes of shingles at once while a text is sketched.
+RANKS_AT_ONCE = 1 << 21
 
 
 def order_sketches(shingles: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     """One hash per seed, of the ``picked`` labelled shingles with the smallest hashes in text order."""
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-    ranks = mixed(shingles[None, :] ^ seeds[:, None])
     picked = min(picked, len(shingles))
-    least = np.argpartition(ranks, picked - 1, axis=1)[:, :picked]
+    # Few seeds at once for a long text.
+    step = max(1, RANKS_AT_ONCE // len(shingles))
+    least = np.concatenate([
+        np.argpartition(mixed(shingles[None, :] ^ seeds[at : at + step, None]), picked - 1, axis=1)[:, :picked] for at in range(0, sketches, step)])
     in_order = shingles[np.sort(least, axis=1)]
     weights = mixed(np.arange(7, 7 + picked, dtype=np.uint64)) | np.uint64(1)
     return mixed((in_order * weights).sum(axis=1, dtype=np.uint64) ^ seeds)
@@ -69,9 +73,10 @@ def sketcher(k: int, sketches: int, picked: int):
                 found = [order_sketches(labelled[e - s : e], sketches, picked).astype(np.int64) if s else np.empty(0, np.int64) for s, e in zip(size, ends)]
                 check = [int(np.bitwise_xor.reduce(labelled[e - s : e])) if s else 0 for s, e in zip(size, ends)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a) if batch.num_columns > 2 else pa.array(part + n + np.arange(b - a), pa.int64()), pa.array(whole.astype(np.int64)),
+                    batch.column(0).slice(a, b - a), batch.column(3).slice(a, b - a) if batch.num_columns > 3 else pa.array(part + n + np.arange(b - a), pa.int64()),
+                    batch.column(2).slice(a, b - a), pa.array(whole.astype(np.int64)),
                     pa.array(np.array(check, dtype=np.uint64).astype(np.int64)), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64())),
-                ], names=["doc_id", "row", "whole", "check", "n", "sketches"])
+                ], names=["doc_id", "row", "raw", "whole", "check", "n", "sketches"])
                 n += b - a
 
     return run
@@ -128,10 +133,13 @@ def aligner(threshold: float):
 
 
 def node_sequences(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, shingles) of the wanted nodes, from the text of each node's first document; ``nodes`` has (node, doc_id, row, whole)."""
-    key = "row" if "row" in docs.columns else "doc_id"
-    first = wanted.select("node").distinct().join(nodes, "node").select("node", "whole", F.col(key).alias("first_key"))
-    texts = docs.join(first, F.col(key).eqNullSafe(F.col("first_key"))).select("node", "whole", "text")
+    """(node, n, shingles) of the wanted nodes, from the text of each node's first document; ``nodes`` has (node, doc_id, row, raw, whole).
+
+    Without row numbers, a document is found by its id and the hash of its text together, as many may have one id or none.
+    """
+    keys = ["row"] if "row" in docs.columns else ["doc_id", "raw"]
+    first = wanted.select("node").distinct().join(nodes, "node").select("node", "whole", *[F.col(key).alias(f"first_{key}") for key in keys])
+    texts = docs.join(first, [F.col(key).eqNullSafe(F.col(f"first_{key}")) for key in keys]).select("node", "whole", "text")
     return materialize(texts.mapInArrow(sequencer(k), "node long, shingles binary").dropDuplicates(["node"]), "near-sequences")
 
 
@@ -232,13 +240,13 @@ def near_duplicates(
 
     ``row`` names a long column that numbers the rows of ``docs``; without it they are numbered as they are read.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("raw"), *([F.col(row).alias("row")] if row else []))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rows = materialize(narrow.mapInArrow(
-        sketcher(k, sketches, picked), f"doc_id {kind}, row long, whole long, check long, n long, sketches array<long>"), "near-sketches")
+        sketcher(k, sketches, picked), f"doc_id {kind}, row long, raw long, whole long, check long, n long, sketches array<long>"), "near-sketches")
     same = ["whole", "check", "n"]
-    nodes = materialize(rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "row", "sketches"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(
-        F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.row", "first.sketches"), "near-nodes")
+    nodes = materialize(rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "row", "raw", "sketches"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(
+        F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.row", "first.raw", "first.sketches"), "near-nodes")
     # Buckets of one node say nothing; the others lose their largest part here.
     slots = nodes.select("node", F.posexplode("sketches").alias("slot", "value")).select("node", "slot", F.xxhash64("slot", "value").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -256,7 +264,7 @@ def near_duplicates(
     more = materialize(remaining_links(label, sequences, threshold, tile_rows, tiles_together, partings), "near-more-links")
     final = components(links.union(more), "near-components")
     classes = nodes.join(final, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
-    placed = rows.drop("sketches").join(classes, same)
+    placed = rows.drop("sketches", "raw").join(classes, same)
     heads = placed.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(heads, "component").select(

@@ -30,6 +30,8 @@ from leadlake.session import materialize
 
 # Words a worker remembers; beyond that it starts afresh.
 CACHE_WORDS = 1_000_000
+# Ids in one batch of pieces that carry their ids.
+IDS_HELD = 1 << 21
 # Bytes of text split into words at once.
 SLICE_BYTES = 1 << 22
 PLAIN = re.compile(r"[^İɐ-\U0010ffff]*\Z")
@@ -136,17 +138,23 @@ def packer(path: str, end_id: int, longest: int, with_ids: bool):
         words = encoder(path)
         part = TaskContext.get().partitionId()
         counts: dict[int, int] = {}
+        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids)
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids)}
+            kinds = {"doc_id": batch.schema.field(0).type, "ids": pa.list_(pa.int32())}
+            columns: dict[str, list] = {k: [] for k in names}
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 ids = np.append(words.encode(text.as_py() or b""), np.uint32(end_id)).astype("<u4")
                 for start, length in pieces(len(ids), longest):
                     piece = ids[start : start + length]
                     counts[length] = counts.get(length, -1) + 1
-                    row = (doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids), part, counts[length], *[piece.astype(np.int64)] * with_ids)
+                    row = (doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids), part, counts[length], *[piece.astype(np.int32)] * with_ids)
                     for column, value in zip(columns.values(), row):
                         column.append(value)
-            kinds = {"doc_id": batch.schema.field(0).type, "ids": pa.list_(pa.int64())}
+                held += len(ids) * with_ids
+                if held > IDS_HELD:
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
+                    columns, held = {k: [] for k in names}, 0
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()})
 
     return run
@@ -155,13 +163,13 @@ def packer(path: str, end_id: int, longest: int, with_ids: bool):
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]); ``with_ids`` adds the ids themselves.
 
     ``tokenizer`` is the path of a tokenizers file that every executor can read. ``longest`` is a power of two.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
-    cut = narrow.mapInArrow(packer(tokenizer, end_id, longest, with_ids), schema + ", ids array<long>" * with_ids)
+    cut = narrow.mapInArrow(packer(tokenizer, end_id, longest, with_ids), schema + ", ids array<int>" * with_ids)
     rows = materialize(cut, "pack-pieces")
     sizes = rows.groupBy("length", "part").agg((F.max("nth") + 1).alias("n"))
     bases = with_ordered(sizes, [], ["length", "part"], {"base": Total(F.col("n"))}).drop("n")

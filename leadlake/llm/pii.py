@@ -234,12 +234,12 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one.
 
-    Spans depend on the text alone, so they are found again by its digest, whatever the ids are.
+    Spans depend on the text alone, so they are found again by its digest, whatever the ids and the other columns are.
     """
-    key = F.sha2(F.col(text), 256).alias("_pii_key")
-    found = find_personal_data(docs.select(key, text), "_pii_key", text).where(F.size("spans") > 0)
-    spans = materialize(found.groupBy(F.col("doc_id").alias("_pii_key")).agg(F.first("spans").alias("_pii_spans")), "pii-spans")
-    body, names = F.col(text), F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    key = F.sha2(F.col(text), 256).alias("key")
+    found = find_personal_data(docs.select(key, F.col(text).alias("text")), "key").where(F.size("spans") > 0)
+    spans = materialize(found.groupBy(F.col("doc_id").alias("key")).agg(F.first("spans").alias("found")), "pii-spans")
+    body, names = F.col("document").getField(text), F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
     def step(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -249,12 +249,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             F.greatest(state["at"], span["end"]).alias("at"),
         )
 
-    by_start = F.transform(F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s)
+    by_start = F.transform(F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: s)
     clean = F.aggregate(by_start, F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")), step,
                         lambda s: F.concat(s["done"], F.substring(body, s["at"].cast("int") + 1, 1 << 30)))
-    marked = docs.withColumn("_pii_key", key).join(spans, "_pii_key", "left")
-    replaced = F.when(F.col("_pii_spans").isNull(), body).otherwise(clean)
-    return marked.select(*[replaced.alias(c) if c == text else F.col(c) for c in docs.columns])
+    marked = docs.select(key, F.struct("*").alias("document")).join(spans, "key", "left")
+    replaced = F.when(F.col("found").isNull(), body).otherwise(clean)
+    return marked.select(*[(replaced if c == text else F.col("document").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -58,10 +58,10 @@ def kd_shards(
     """
     dims = ["size", *[c for c in dimensions if c in docs.columns]]
     body = text_or_empty(text)
-    sized = docs.select("*", (F.octet_length(body).cast("long") + 1).alias("_bytes"))
-    rows = materialize(sized.select(
-        F.col(doc_id).alias("doc_id"), F.col("_bytes").alias("size"), F.crc32(body).alias("text_crc32"),
-        F.xxhash64(body, F.reverse(body)).alias("text_hash"), F.struct(F.log2("_bytes").alias("d0"), *[
+    size = F.octet_length(body).cast("long") + 1
+    rows = materialize(docs.select(
+        F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(body).alias("text_crc32"),
+        F.xxhash64(body, F.reverse(body)).alias("text_hash"), F.struct(F.log2(size).alias("d0"), *[
             c.alias(f"d{i + 1}") for i, c in enumerate(point(docs, dims[1:]))
         ]).alias("point"),
     ), "shard-rows")

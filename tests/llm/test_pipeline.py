@@ -77,3 +77,48 @@ def test_toxic_rows_go_whatever_their_ids(spark, tmp_path):
     kept = pipeline.drop_toxic(spark, docs, labels(spark, tmp_path / "good", 0))
     assert kept.columns == docs.columns and sorted(kept.collect(), key=repr) == sorted(docs.collect(), key=repr)
     assert pipeline.drop_toxic(spark, docs, labels(spark, tmp_path / "bad", 1)).count() == 0
+
+
+CLASHING = ["_row", "row", "document", "_pii_key", "key", "found", "_pii_spans", "_mix_key", "_mix_times", "picked", "times", "_bytes", "raw"]
+
+
+def test_extra_columns_pass_through_under_any_name(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i if i % 3 else None, words(rng, 40) + (" a@b.org" if i % 2 else ""), "s", str(i)) for i in range(9)]
+    docs = spark.createDataFrame([(*r, *[f"{c} of {r[3]}" for c in CLASHING]) for r in rows], SCHEMA + "".join(f", {c} string" for c in CLASHING))
+    folder = labels(spark, tmp_path, 0)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert len(found) == len(rows), name
+        for r in found:
+            assert [r[c] for c in CLASHING] == [f"{c} of {r.lang}" for c in CLASHING], name
+    from leadlake.llm.sharding import kd_shards
+
+    assert kd_shards(docs, 2).count() == len(rows)
+
+
+def test_packed_ids_are_the_text(spark):
+    rng = random.Random(6)
+    texts = ["", words(rng, 30), words(rng, 9000), "at [ip] it runs"]
+    docs = spark.createDataFrame([(None, t, "s", "a") for t in texts] + [(None, None, "s", "a")], SCHEMA)
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter(tuple(plain.encode(t, add_special_tokens=False).ids) + (2,) for t in [*texts, ""])
+    ends = Counter()
+    for r in pipeline.pack(spark, docs, "").collect():
+        assert len(r.ids) == r.length
+        if r.start + r.length == r.doc_tokens:
+            ends[r.doc_tokens, r.ids[-1]] += 1
+        if r.start == 0 and r.length == r.doc_tokens:
+            assert tuple(r.ids) in want
+    assert ends == Counter((len(t), 2) for t in want.elements())
+    whole = sorted((r.start, r.ids) for r in pipeline.pack(spark, docs.where("length(text) > 9000"), "").collect())
+    assert sum((ids for _, ids in whole), []) == [*plain.encode(texts[2], add_special_tokens=False).ids, 2]
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    folder = labels(spark, tmp_path, 0)
+    none = spark.createDataFrame([], SCHEMA)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, folder).isEmpty(), name
