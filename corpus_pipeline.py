@@ -3,14 +3,17 @@ mix sources to their weights, pack into sequences.
 
 Every stage takes (spark, docs, folder of the tables) and works on all rows its predecessor kept. All but the last
 return the columns of the documents. Rows are told apart by their own numbers, so ids may be null or repeated: of the
-rows of one class, one stays. A mixed document is there as often as the mix takes it.
+rows of one class, one stays. A mixed document is there as often as the mix takes it. The last stage returns pieces with their token ids,
+so that the packed text is there whatever the ids of the documents are.
+
+Defined cases: extra columns pass through under any name. Null and empty texts are harmless unless labels say otherwise, one class, without
+personal data, without words to mix; an empty document that is mixed is one end token. Texts may be of any length. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leadlake.llm.common import numbered, table
 from leadlake.llm.mixing import mix_sources, repeated
@@ -29,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
     rows = numbered(docs, "near-rows")
-    kept = near_duplicates(rows, row="_row").where("kept").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = near_duplicates(rows.select("row", "document.doc_id", "document.text"), row="row").where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select("document.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +44,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
     rows = numbered(docs, "mix-rows")
-    return repeated(rows, mix_sources(rows, row="_row"), "_row").select(*docs.columns)
+    mixed = mix_sources(rows.select("row", "document.doc_id", "document.text", "document.source"), row="row")
+    return repeated(rows, mixed, "row").select("document.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
