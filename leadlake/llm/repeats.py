@@ -42,7 +42,8 @@ BLOCK_BYTES, RANGE_BYTES = 1 << 23, 1 << 25
 STRETCH_WINDOWS = 128
 # Different stretches of one minimizer that meet in a task; beyond, their windows are grouped by Spark.
 STRETCHES_TOGETHER = 20_000
-MATRIX_BYTES = 1 << 26
+# Bytes of stretches behind one suffix array; a task holds about 60 times as much while it sorts.
+SORTED_BYTES = 1 << 20
 
 BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -134,11 +135,11 @@ def asker(bits: int, window: int):
                 keys, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 twice = n > 1
                 np.logical_or.at(twice, at, moves)
-                mark = np.array([int.from_bytes(row.digests[i][:5], "little") for i in chosen], dtype=np.uint64)
+                mark = np.array([int.from_bytes(row.digests[i][:8], "little") for i in chosen], dtype=np.uint64)
                 owner = mark[doc[first]] if len(keys) else keys
                 place, rest = in_range(keys, bits)
                 cuts = np.searchsorted(place, np.arange((1 << bits) + 1))
-                out = [(r, row.block, narrow(rest[a:b]), narrow(owner[a:b]), np.packbits(twice[a:b]).tobytes())
+                out = [(r, row.block, narrow(rest[a:b]), owner[a:b].astype("<u8").tobytes(), np.packbits(twice[a:b]).tobytes())
                        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                 yield pd.DataFrame(out, columns=["range", "block", "keys", "owners", "twice"])
 
@@ -147,7 +148,7 @@ def asker(bits: int, window: int):
 
 def answer(frame: pd.DataFrame) -> pd.DataFrame:
     """Tells each block which of its keys some other text has too."""
-    keys, owners = [wide(k) for k in frame["keys"]], [wide(k) for k in frame["owners"]]
+    keys, owners = [wide(k) for k in frame["keys"]], [np.frombuffer(o, "<u8") for o in frame["owners"]]
     sizes = [len(k) for k in keys]
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for t, n in zip(frame["twice"], sizes)])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -226,39 +227,78 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             yield left, last, d
 
 
+def ranked(values: np.ndarray) -> np.ndarray:
+    """Dense ranks; the last value is that of the place behind all texts."""
+    return np.unique(values, return_inverse=True)[1].astype(np.int32)
+
+
+def enhanced_array(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, common prefix with the next, byte to the left or -1) of the suffixes whose first window occurs more than once, in order.
+
+    Suffixes are places, ranked by prefix doubling up to the window; none is ever copied. Behind its end a text goes on with
+    zeros; of suffixes that this leaves equal the shorter comes first, and no prefix reaches over an end.
+    """
+    length = np.array([len(t) for t in texts])
+    end = np.cumsum(length)
+    data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    last = len(data) - 1
+    stop = np.append(np.repeat(end, length), last).astype(np.int32)
+
+    def beyond(at: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+        """The places ``step`` further on, or the one behind all texts."""
+        return np.where(at + step < stop[at], at + step, last)
+
+    every = np.arange(last + 1, dtype=np.int32)
+    word = np.zeros(last + 1, dtype=np.uint64)
+    for step in range(8):
+        word = word << np.uint64(8) | data[beyond(every, step)]
+    width, ranks = 8, {8: ranked(word)}
+    del word
+    while 2 * width <= window:
+        below = ranks[width]
+        ranks[2 * width] = ranked(below.astype(np.int64) << 32 | below[beyond(every, width)])
+        width *= 2
+    top = ranks[width]
+    at = np.flatnonzero(every[:-1] + window <= stop[:-1]).astype(np.int32)
+    _, same, times = np.unique(top[at].astype(np.int64) << 32 | top[at + (window - width)], return_inverse=True, return_counts=True)
+    at = at[times[same] > 1]
+    blocks = range(0, int(length.max()), width)
+    at = at[np.lexsort([stop[at] - at, *(top[beyond(at, step)] for step in reversed(blocks))])]
+    a, b = at[:-1], at[1:]
+    lcp, going = np.zeros(len(a), dtype=np.int32), np.ones(len(a), dtype=bool)
+    for step in blocks:
+        going &= top[beyond(a, step)] == top[beyond(b, step)]
+        lcp += np.int32(width) * going
+    while width > 8:
+        width //= 2
+        lcp += np.int32(width) * (ranks[width][beyond(a, lcp)] == ranks[width][beyond(b, lcp)])
+    going[:] = True
+    for _ in range(7):
+        going &= data[beyond(a, lcp)] == data[beyond(b, lcp)]
+        lcp += going
+    lcp = np.minimum(lcp, np.minimum(stop[a] - a, stop[b] - b))
+    of = np.searchsorted(end, at, "right")
+    begin = (end - length)[of]
+    return of, at - begin, lcp, np.where(at > begin, data[at - 1].astype(np.int64), -1)
+
+
 def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame:
     """Maximal repeats among different stretches: one row per repeat and stretch that has it, with the repeat's first occurrence.
 
     With ``spans``, only what each stretch repeats from earlier on, as (rank, a, b).
     """
     texts = group["stretch"].tolist()
-    length = np.array([len(t) for t in texts])
     rank, start = group["rank"].to_numpy(), group["start"].to_numpy()
-    moves = group["moves"].to_numpy()
     out: list[np.ndarray] = []
-    shared = group.duplicated("key", keep=False).to_numpy() | moves
-    some = np.flatnonzero(shared)
+    some = np.flatnonzero(group.duplicated("key", keep=False).to_numpy() | group["moves"].to_numpy())
     if len(some):
-        width = int(length[some].max())
-        padded = np.zeros((len(some), 2 * width), dtype=np.uint8)
-        for i, s in enumerate(some):
-            padded[i, : length[s]] = np.frombuffer(texts[s], np.uint8)
-        count = length[some] - window + 1
-        of = np.repeat(np.arange(len(some)), count)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[of, at])
-        order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
-        suffix, of, at = suffix[order], of[order], at[order]
-        differ = suffix[1:] != suffix[:-1]
-        lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        remain = length[some][of] - at
-        lcp = np.minimum(lcp, np.minimum(remain[1:], remain[:-1]))
-        before = np.where(at > 0, padded[of, at - 1].astype(np.int64), -1)
+        of, at, lcp, before = enhanced_array([texts[s] for s in some], window)
         # Where all suffixes of a run have one byte to the left, none of its intervals is a repeat of its own.
-        runs = np.flatnonzero(np.append(True, lcp < window))
-        least, most = np.minimum.reduceat(before, runs), np.maximum.reduceat(before, runs)
-        alike = np.repeat((least == most) & (least >= 0), np.diff(np.append(runs, len(before))))
-        lcp[alike[:-1] & alike[1:] & (lcp >= window)] = 0
+        runs = np.flatnonzero(np.append(True, lcp < window))[: len(at)]
+        if len(at):
+            least, most = np.minimum.reduceat(before, runs), np.maximum.reduceat(before, runs)
+            alike = np.repeat((least == most) & (least >= 0), np.diff(np.append(runs, len(before))))
+            lcp[alike[:-1] & alike[1:] & (lcp >= window)] = 0
         member = some[of]
         for left, right, depth in intervals(lcp, window):
             part = slice(left, right + 1)
@@ -285,24 +325,25 @@ def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame
 
 
 def scanner(window: int, spans: bool):
-    """Rows sorted by key to repeats; whole keys are gathered until their suffixes fill a matrix."""
+    """Rows sorted by key to repeats; whole keys are gathered until they fill a suffix array."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             key = frame["key"].to_numpy()
-            weight = frame["stretch"].str.len().to_numpy()
-            cells = np.cumsum((weight - window + 1) * weight)
+            filled = np.cumsum(frame["stretch"].str.len().to_numpy())
             ends = np.flatnonzero(np.append(key[1:] != key[:-1], False)) + 1
             a = 0
             while True:
-                done = cells[a - 1] if a else 0
-                full = ends[(ends > a) & (cells[ends - 1] - done >= MATRIX_BYTES)]
-                if not len(full):
+                done = filled[a - 1] if a else 0
+                # The keys that fit; a key that does not fit with others has an array of its own.
+                fits = ends[(ends > a) & (filled[ends - 1] - done <= SORTED_BYTES)]
+                if len(ends) and ends[-1] > a and filled[-1] - done > SORTED_BYTES:
+                    b = int(fits[-1]) if len(fits) else int(ends[ends > a][0])
+                    yield repeats_among(frame.iloc[a:b], window, spans)
+                    a = b
+                else:
                     break
-                b = int(full[0])
-                yield repeats_among(frame.iloc[a:b], window, spans)
-                a = b
             rest = frame.iloc[a:]
         if rest is not None and len(rest):
             yield repeats_among(rest, window, spans)
