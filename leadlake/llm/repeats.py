@@ -282,16 +282,29 @@ def enhanced_array(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     return of, at - begin, lcp, np.where(at > begin, data[at - 1].astype(np.int64), -1)
 
 
+def joined(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans a..b of the members ``of`` (small numbers), those that overlap or touch as one, in order."""
+    if not len(of):
+        return of, a, b
+    order = np.lexsort((a, of))
+    of, a, b = of[order], a[order], b[order]
+    # Members lie so far apart that the furthest end so far never reaches the next one.
+    apart = of * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + apart) - apart
+    begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (a[1:] > reach[:-1])))
+    return of[begin], a[begin], reach[np.append(begin[1:], len(of)) - 1]
+
+
 def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame:
     """Maximal repeats among different stretches: one row per repeat and stretch that has it, with the repeat's first occurrence.
 
     With ``spans``, only what each stretch repeats from earlier on, as (rank, a, b).
     """
-    texts = group["stretch"].tolist()
     rank, start = group["rank"].to_numpy(), group["start"].to_numpy()
-    out: list[np.ndarray] = []
     some = np.flatnonzero(group.duplicated("key", keep=False).to_numpy() | group["moves"].to_numpy())
+    found, member, at, place = np.empty((0, 3), np.int64), some[:0], some[:0], some[:0]
     if len(some):
+        texts = group["stretch"].tolist()
         of, at, lcp, before = enhanced_array([texts[s] for s in some], window)
         # Where all suffixes of a run have one byte to the left, none of its intervals is a repeat of its own.
         runs = np.flatnonzero(np.append(True, lcp < window))[: len(at)]
@@ -300,28 +313,38 @@ def repeats_among(group: pd.DataFrame, window: int, spans: bool) -> pd.DataFrame
             alike = np.repeat((least == most) & (least >= 0), np.diff(np.append(runs, len(before))))
             lcp[alike[:-1] & alike[1:] & (lcp >= window)] = 0
         member = some[of]
-        for left, right, depth in intervals(lcp, window):
-            part = slice(left, right + 1)
-            if before[part].min() != before[part].max() or before[left] < 0:
-                m, o = member[part], at[part]
-                f = np.lexsort((start[m] + o, rank[m]))[0]
-                first_rank, first_start = rank[m[f]], start[m[f]] + o[f]
-                if spans:
-                    later = (rank[m] != first_rank) | (start[m] + o != first_start)
-                    m, o = m[later], o[later]
-                out.append(np.stack([m, o, *(np.full(len(m), x) for x in (depth, first_rank, first_start))]))
-    i, o, n, r, s = np.concatenate(out, axis=1) if out else np.empty((5, 0), np.int64)
+        place = start[member] + at
+        found = np.array(list(intervals(lcp, window)), dtype=np.int64).reshape(-1, 3)
+    left, right, depth = found[np.argsort(found[:, 0], kind="stable")].T
+    first = left
+    if len(found):
+        bounds = np.stack([left, right + 1], axis=1).ravel()
+
+        def least_in(values: np.ndarray) -> np.ndarray:
+            return np.minimum.reduceat(np.append(values, values[-1]), bounds)[::2]
+
+        low = least_in(before)
+        diverse = (low < 0) | (low != -least_in(-before))
+        in_order = np.lexsort((place, rank[member]))
+        turn = np.empty(len(at), dtype=np.int64)
+        turn[in_order] = np.arange(len(at))
+        left, right, depth, first = left[diverse], right[diverse], depth[diverse], in_order[least_in(turn)[diverse]]
     if spans:
-        merged: list[tuple] = []
-        for k in np.lexsort((o, i)):
-            a = int(start[i[k]] + o[k])
-            if merged and merged[-1][0] == i[k] and a <= merged[-1][2]:
-                merged[-1] = (i[k], merged[-1][1], max(merged[-1][2], a + int(n[k])))
-            else:
-                merged.append((i[k], a, a + int(n[k])))
-        which = np.array([x[0] for x in merged], dtype=np.int64)
-        return pd.DataFrame({"rank": rank[which], "a": [x[1] for x in merged], "b": [x[2] for x in merged]}).astype("int64")
-    return pd.DataFrame({"key": group["key"].to_numpy()[i], "content": group["content"].to_numpy()[i], "at": o, "length": n, "first_rank": r, "first_start": s})
+        # The longest string of each suffix that starts earlier too: deeper intervals write over those around them, but for their first suffix.
+        longest = np.zeros(len(at), dtype=np.int64)
+        for i in np.argsort(depth, kind="stable").tolist():
+            own = longest[first[i]]
+            longest[left[i] : right[i] + 1] = depth[i]
+            longest[first[i]] = own
+        later = longest > 0
+        which, a, b = joined(member[later], place[later], place[later] + longest[later])
+        return pd.DataFrame({"rank": rank[which], "a": a, "b": b}).astype("int64")
+    size = right - left + 1
+    each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - left, size)
+    i = member[each]
+    return pd.DataFrame({
+        "key": group["key"].to_numpy()[i], "content": group["content"].to_numpy()[i], "at": at[each], "length": np.repeat(depth, size),
+        "first_rank": np.repeat(rank[member[first]], size), "first_start": np.repeat(place[first], size)}).astype("int64")
 
 
 def scanner(window: int, spans: bool):
@@ -449,13 +472,15 @@ def cutter(blocks: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
             continue
         texts = texts_of(row.sizes, row.texts)
         for span in spans.itertuples():
-            text, kept, at, removed = texts[span.place], [], 0, 0
-            for s in span.spans:
-                kept.append(text[at : s["a"]])
-                at, removed = s["b"], removed + s["b"] - s["a"]
+            text, kept, at = texts[span.place], [], 0
+            cover = np.array([(c["a"], c["b"]) for c in span.cover], dtype=np.int64)
+            _, begin, end = joined(np.zeros(len(cover), dtype=np.int64), cover[:, 0], cover[:, 1])
+            for a, b in zip(begin.tolist(), end.tolist()):
+                kept.append(text[at:a])
+                at = b
             kept.append(text[at:])
             left = b"".join(kept)
-            for column, value in zip(out.values(), (row.block, span.place, removed, len(span.spans), hashlib.sha256(left).hexdigest(), left)):
+            for column, value in zip(out.values(), (row.block, span.place, len(text) - len(left), len(begin), hashlib.sha256(left).hexdigest(), left)):
                 column.append(value)
     return pd.DataFrame(out).astype({"block": "int64", "place": "int32", "n_removed": "int64", "n_spans": "int64", "kept_sha256": object, "kept_text": object})
 
@@ -474,16 +499,8 @@ def remove_repeats(docs: DataFrame, window: int = MIN_BYTES, doc_id: str = "doc_
     copies = parts.all.join(several, ["key", "content"]).where(again).select("rank", F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
     many = window_repeats(parts.bytes.where("crowded"), window).where(again).select("rank", F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
     reach = parts.scanned(window, True).union(many).union(copies).groupBy("rank", "a").agg(F.max("b").alias("b"))
-    listed = reach.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cover"))
-    empty = F.array().cast("array<struct<a: bigint, b: bigint>>")
-
-    def join_span(state, s):
-        last = F.element_at(state, -1)
-        grown = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
-        return F.when((F.size(state) > 0) & (F.get(state, F.size(state) - 1)["b"] >= s["a"]), grown).otherwise(F.concat(state, F.array(s)))
-
-    spans = listed.select("rank", F.aggregate("cover", empty, join_span).alias("spans"))
-    placed = spans.join(corpus.firsts.select("rank", "block", "place"), "rank").select("block", "place", "spans")
+    covers = reach.groupBy("rank").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
+    placed = covers.join(corpus.firsts.select("rank", "block", "place"), "rank").select("block", "place", "cover")
     cut = corpus.blocks.select("block", "sizes", "texts").groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(
         cutter, "block long, place int, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
     cut = materialize(cut, "repeat-cut")
