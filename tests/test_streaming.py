@@ -201,3 +201,19 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert outcomes[1] == outcomes[2] == [("j", 1, 2, 1), ("k", 0, 1, 0)]
     stored = read_leads(spark, path, batch.schema)
     assert sorted((r.job_id, r.batch_id, r.n) for r in stored.collect()) == [("j", 0, 1), ("j", 0, 2), ("j", 1, 3), ("j", 1, 4), ("k", 0, 1)]
+
+
+def test_updates_fold_into_a_snapshot(spark, tmp_path):
+    out = str(tmp_path / "live")
+    rows = spark.createDataFrame([(f"j{i % 3}", i, f"name {i}") for i in range(1, 22)], "job_id string, n bigint, name string")
+    jobs = spark.createDataFrame([(f"j{i}", 10) for i in range(3)], "job_id string, max_results int")
+    live = progress.live_progress(in_files(rows, str(tmp_path / "in"), "n", 7), jobs)
+    finish(progress.write_updates(live, out, available_now=True, fold_epochs=2))
+    found = progress.read_updates(spark, out)
+    # Three snapshots were made: one row per job, and the one epoch after it; what only the first two needed is gone.
+    assert found.where("epoch <= 5").count() == 3 and {r.epoch for r in found.where("epoch > 5").collect()} <= {6}
+    assert progress._epochs(spark, out) == [4, 5, 6] and len(list((tmp_path / "live" / "snapshots").iterdir())) == 2
+    expected = sorted(tuple(r) for r in progress.live_progress(rows, jobs).collect())
+    assert sorted(tuple(r) for r in progress.latest_updates(found).collect()) == expected
+    progress.fold_updates(spark, out, 5)
+    assert sorted(tuple(r) for r in progress.latest_updates(progress.read_updates(spark, out)).collect()) == expected
