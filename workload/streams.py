@@ -15,6 +15,7 @@ from leadlake.schemas import LEAD_COLUMNS, PLACE_TEXTS, RESULT_ENTRY, RESULT_MET
 from leadlake.session import scratch_path
 from leadlake.sources import pages as page_source
 from leadlake.sources import sinks
+from leadlake.sources.cards import extract_feed_cards
 from leadlake.sources.pages import step
 from leadlake.streaming import leads as stream
 from leadlake.streaming import progress
@@ -108,7 +109,7 @@ def _progress(spark, sf):
     out = scratch_path(spark, "stream-progress")
     live = progress.live_progress(derived_stream(spark, sf, "places"), derived(spark, sf, "jobs"))
     finish(progress.write_updates(live, out, available_now=True))
-    return progress.latest_updates(spark.read.parquet(f"{out}/updates"))
+    return progress.latest_updates(progress.read_updates(spark, out))
 
 
 QUERIES["i3_live_progress"] = _progress
@@ -124,7 +125,7 @@ def _live_metrics(spark, sf):
     out = scratch_path(spark, "stream-metrics")
     live = progress.live_job_metrics(derived_stream(spark, sf, "job_events"))
     finish(progress.write_updates(live, out, available_now=True))
-    return progress.latest_updates(spark.read.parquet(f"{out}/updates")).select("job_id", *_COUNTERS, *_ENRICH, *_RATES)
+    return progress.latest_updates(progress.read_updates(spark, out)).select("job_id", *_COUNTERS, *_ENRICH, *_RATES)
 
 
 QUERIES["i4_live_job_metrics"] = _live_metrics
@@ -226,6 +227,26 @@ DERIVED["place_cards"] = """
            'Card ' || cast(o_orderkey as string) as name, case when o_orderkey % 3 = 0 then '' else '4,' || cast(o_orderkey % 10 as string) end as rating,
            cast(o_orderkey % 90 as string) as reviews, case when o_orderkey % 4 = 0 then '' else 'Padaria' end as category
     from @orders"""
+# Result pages: the cards of a job as its list shows them, a scroll at a time.
+_SCROLL = 400
+
+
+def result_pages(spark, sf):
+    card = F.concat(
+        F.lit('<div class="Nv2PK" jsaction="mouse:card"><a class="hfpxzc" href="'), c("url"), F.lit('"></a><div class="qBF1Pd fontHeadlineSmall"> '), c("name"),
+        F.lit('</div><span class="MW4etd">'), c("rating"), F.lit('</span><span class="UY7F9">('), c("reviews"),
+        F.lit(')</span><div class="W4Efsd"><div class="W4Efsd"><span>aberto</span><span><span>· '), c("category"), F.lit("</span><span>rua</span></span></div></div></div>"))
+    cards = derived(spark, sf, "place_cards", heavy=True).select("job_id", F.floor(c("position") / _SCROLL).alias("scroll_no"), "position", card.alias("card"))
+    lists = cards.groupBy("job_id", "scroll_no").agg(F.sort_array(F.collect_list(F.struct("position", "card"))).alias("cards"))
+    html = F.concat(F.lit('<html><body><div role="feed">'), F.array_join("cards.card", "<hr>"), F.lit("</div></body></html>"))
+    return lists.select("job_id", "scroll_no", html.alias("html"))
+
+
+QUERIES["a4_extract_feed_cards"] = lambda spark, sf: extract_feed_cards(result_pages(spark, sf), keep=["job_id", "scroll_no"], url=None)
+ORACLES["a4_extract_feed_cards"] = oracle(
+    f"""select job_id, scroll_no, row_number() over (partition by job_id, scroll_no order by position) - 1 as position, url as link, name, rating, reviews, category
+       from (select *, position // {_SCROLL} as scroll_no from @place_cards) s""")
+
 _FOUND = f"""
     select b.job_id, b.n, {', '.join('l.' + x for x in ['name', 'address', 'neighborhood', 'city', 'state', 'phone', 'website', 'instagram'])},
            l.score, l.digital_status, l.hours, l.photo_url, l.digital_maturity_score, l.status, l.source, l.tags, l.suggested_services,
