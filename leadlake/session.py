@@ -17,6 +17,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Set where the session leaves Spark's default. Shuffle partitions are joined up to this size; what a task sorts and hashes is many times
+# as large as what it reads compressed, so this bounds its memory as tables grow.
+DEFAULT_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -24,6 +27,9 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in DEFAULT_SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     ship(spark)
     return spark
 
