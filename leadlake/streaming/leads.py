@@ -21,6 +21,7 @@ from leadlake.operators.filters import city_matches
 from leadlake.operators.lookup import backfill_columns
 from leadlake.plans.leads import build_leads, job_context
 from leadlake.schemas import LEAD
+from leadlake.session import spread
 from leadlake.sources.pages import extract_place_fields, place_raw
 from leadlake.sources.sinks import append_leads
 from leadlake.streaming.state import controlled, first_leads
@@ -138,7 +139,8 @@ def stream_leads(
     ``places`` is a stream with (job_id, n, url) and the raw place columns, in job order. ``on_leads`` is called
     with the leads of an epoch, ``on_lead`` with every single lead. For jobs that are a stream too see :func:`stream_visits`.
     """
-    leads = leads_of(judged_visits(with_jobs(places, jobs)), None if available_now else forget_after_s)
+    # A stream of few files or partitions would build all its leads in as few tasks.
+    leads = leads_of(judged_visits(with_jobs(spread(places), jobs)), None if available_now else forget_after_s)
     return start(leads, deliver_to(out, on_leads, on_lead), f"{out}/checkpoint", available_now)
 
 
@@ -157,6 +159,7 @@ def stream_page_leads(
 
     ``captures`` has a row per card of a job's result list, in its order: (job_id, n, url, html) and the card's name, rating,
     reviews and category. ``html`` is null where there is no page; the card counts towards the job's limit all the same.
+    Pages are read in the partitions that ``captures`` has, dealt out by a join of cards with their pages.
     """
     leads = leads_of(judged_visits(with_jobs(read_captures(captures), jobs)), None if available_now else forget_after_s)
     return start(leads, deliver_to(out, on_leads, on_lead), f"{out}/checkpoint", available_now)

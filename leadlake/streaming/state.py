@@ -1,14 +1,14 @@
 """Rules that Spark's keyed state carries through a stream: which leads of a job are new, and which are held.
 
-Both rules are functions for ``applyInPandasWithState``, keyed by job. What a job keeps is one JSON text: bounded by its
-limit for leads, by the delay and the pause for job control.
+Both rules are functions for ``applyInPandasWithState``, job control keyed by job, leads by a bucket of jobs. What they keep is
+JSON text: bounded by the limits of the jobs for leads, by the delay and the pause for job control.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from leadlake.functions.text import absent_as_null, norm_text, phone_key
 
 STATE = "kept string"
+# Groups that the jobs of a lead stream are dealt into. A call for a group costs far more than a visit, so their number must not grow with the jobs.
+JOB_BUCKETS = 1 << 14
 
 
 def first_leads(found: DataFrame, forget_after_s: int | None = None) -> DataFrame:
@@ -30,43 +32,77 @@ def first_leads(found: DataFrame, forget_after_s: int | None = None) -> DataFram
     When the limit is used up only the number of visits stays. A job without visits for ``forget_after_s`` seconds is forgotten;
     such a stream never ends by itself, since Spark goes on looking for jobs to forget.
     """
-    keyed = found.select(
-        "job_id", "n", "url", "max_results", "accepted", norm_text(F.col("name")).alias("name"), norm_text(F.col("city")).alias("city"),
-        absent_as_null(phone_key(F.col("phone"))).alias("phone"), "lead",
-    )
+    # Few columns, as every one costs time per group; the job's text names it in the state, whatever the type of ``job_id``.
+    visit = F.struct(
+        F.col("job_id").cast("string").alias("job"), "url", "max_results", "accepted", norm_text(F.col("name")).alias("name"),
+        norm_text(F.col("city")).alias("city"), absent_as_null(phone_key(F.col("phone"))).alias("phone"))
+    keyed = found.select(F.pmod(F.xxhash64("job_id"), F.lit(JOB_BUCKETS)).alias("_bucket"), "job_id", "n", F.to_json(visit).alias("_visit"), "lead")
     schema = T.StructType([keyed.schema["job_id"], keyed.schema["n"], keyed.schema["lead"]])
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        visited, urls, names, phones = json.loads(state.get[0]) if state.exists else (0, [], [], [])
-        visits, limit = [], 0
-        for part in parts:
-            limit = max(limit, int(part["max_results"].fillna(0).max()))
-            rows = zip(*(part[c].tolist() for c in ("n", "url", "accepted", "name", "city", "phone", "lead")))
-            # Only the first visits within the limit are held.
-            visits = heapq.nsmallest(max(0, limit - visited), [*visits, *rows], key=lambda row: row[0])
-        visited += len(visits)
-        seen, known, called = set(urls), {tuple(name) for name in names}, set(phones)
+        # Per job: [its name, when it was last visited, number of visits, links, names and cities, phones].
+        jobs = {job[0]: job for job in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if forget_after_s is not None else 0
         kept = []
-        for n, url, accepted, name, city, phone, lead in visits:
-            again = url is not None and url in seen
-            seen.add(url)
-            if again or not accepted or (name, city) in known or phone is not None and phone in called:
-                continue
-            known.add((name, city))
-            called.add(phone)
-            kept.append((key[0], n, lead))
-        left = visited < limit
-        state.update((json.dumps([visited, *([sorted(x for x in some if x is not None) for some in (seen, known, called)] if left else [[], [], []])]),))
+        if not state.hasTimedOut:
+            for name, visits in _first_visits(parts, jobs).items():
+                job = jobs.setdefault(name, [name, now, 0, [], [], []])
+                job[1] = now
+                kept += _decide_job(job, *visits)
         if forget_after_s is not None:
-            state.setTimeoutDuration(forget_after_s * 1000)
+            jobs = {name: job for name, job in jobs.items() if job[1] + forget_after_s * 1000 > now}
+        if not jobs:
+            state.remove()
+        else:
+            state.update((json.dumps([*jobs.values()]),))
+            if forget_after_s is not None:
+                state.setTimeoutDuration(min(job[1] for job in jobs.values()) + forget_after_s * 1000 - now)
         if kept:
             yield pd.DataFrame(kept, columns=schema.fieldNames())
 
     timeout = GroupStateTimeout.NoTimeout if forget_after_s is None else GroupStateTimeout.ProcessingTimeTimeout
-    return keyed.groupBy("job_id").applyInPandasWithState(decide, schema, STATE, "append", timeout)
+    return keyed.groupBy("_bucket").applyInPandasWithState(decide, schema, STATE, "append", timeout)
+
+
+def _first_visits(parts: Iterable[pd.DataFrame], jobs: dict) -> dict:
+    """Per job its limit and its visits, (n, job_id, visit, lead) each; of every part only the first ones within the limit are held."""
+    found: dict = {}
+    for part in parts:
+        touched = set()
+        for job_id, n, text, lead in zip(part["job_id"].tolist(), part["n"].tolist(), part["_visit"].tolist(), part["lead"].tolist()):
+            visit = json.loads(text)
+            name = visit.get("job")
+            one = found.get(name)
+            if one is None:
+                one = found[name] = [0, []]
+            one[0] = max(one[0], visit.get("max_results") or 0)
+            one[1].append((n, job_id, visit, lead))
+            touched.add(name)
+        for name in touched:
+            limit, visits = found[name]
+            room = max(0, limit - (jobs[name][2] if name in jobs else 0))
+            if len(visits) > room:
+                found[name][1] = heapq.nsmallest(room, visits, key=lambda row: row[0])
+    return found
+
+
+def _decide_job(job: list, limit: int, visits: list[tuple]) -> list[tuple]:
+    """The leads (job_id, n, lead) that one job delivers, its state ``job`` brought up to date."""
+    job[2] += len(visits)
+    seen, known, called = set(job[3]), {tuple(name) for name in job[4]}, set(job[5])
+    kept = []
+    for n, job_id, visit, lead in sorted(visits, key=lambda row: row[0]):
+        url, name, phone = visit.get("url"), (visit["name"], visit["city"]), visit.get("phone")
+        again = url is not None and url in seen
+        seen.add(url)
+        if again or not visit["accepted"] or name in known or phone is not None and phone in called:
+            continue
+        known.add(name)
+        called.add(phone)
+        kept.append((job_id, n, lead))
+    # When the limit is used up only the number of visits stays.
+    job[3:] = [sorted(x for x in some if x is not None) for some in (seen, known, called)] if job[2] < limit else [[], [], []]
+    return kept
 
 
 def controlled(events: DataFrame, delay: str) -> DataFrame:
