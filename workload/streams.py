@@ -286,7 +286,8 @@ def _streamed_pages(spark, sf):
     """The same plan as a stream of captured pages, one per card."""
     out = scratch_path(spark, "stream-pages")
     cards = derived_stream(spark, sf, "place_cards").withColumnRenamed("position", "n")
-    finish(stream.stream_page_leads(cards.join(pages_of(spark, sf), "url", "left"), derived(spark, sf, "jobs"), out, available_now=True))
+    # Merged, which deals cards and pages out by address: the tables look small enough to be broadcast while the texts of their pages are not.
+    finish(stream.stream_page_leads(cards.join(pages_of(spark, sf).hint("merge"), "url", "left"), derived(spark, sf, "jobs"), out, available_now=True))
     return dg.flat_lead(spark.read.parquet(f"{out}/leads"), "job_id", "n")
 
 
