@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from leadlake.operators.ordered import Total, with_ordered
 from leadlake.session import materialize
 
-# Words a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 1_000_000
+# Words a worker remembers, about 150 bytes each and kept between tasks; beyond that it starts afresh.
+CACHE_WORDS = 250_000
 # Ids in one batch of pieces that carry their ids.
 IDS_HELD = 1 << 21
 # Bytes of text split into words at once.

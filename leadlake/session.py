@@ -18,8 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 # Set where the session leaves Spark's default. Shuffle partitions are joined up to this size; what a task sorts and hashes is many times
-# as large as what it reads compressed, so this bounds its memory as tables grow.
-DEFAULT_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+# as large as what it reads compressed, so this bounds its memory as tables grow. Rows go to Python in batches up to the second size: a batch is
+# there several times at once (in the JVM, in the worker, as Python objects), and by rows alone it grows with the texts.
+DEFAULT_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -193,3 +193,13 @@ def test_readings_inside_a_group_stay():
     assert read("see 0170 5551 (12), yes") == {("0170 5551 (12)", False)}
     for text in ("1 " * 150_000, "1 1x " * 60_000, "((((1" * 60_000, "1(1)" * 80_000):
         candidates(text, [])
+
+
+def test_a_worker_keeps_a_bounded_table_of_words():
+    words, held = WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    words.ids_of = lambda word: [1]
+    for n in range(6):
+        words.encode(" ".join(f"{n}x{i}" for i in range(100_000)).encode())
+        held.append(len(words))
+    # A few hundred bytes a word; workers stay alive between tasks and two share an executor's memory.
+    assert max(held) <= 350_000

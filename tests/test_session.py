@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from leadlake.session import tune
 
 SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -17,3 +19,16 @@ def test_a_size_chosen_by_the_session_stays(spark):
     finally:
         spark.conf.unset(SIZE)
         tune(spark)
+
+
+def test_rows_go_to_python_in_batches_bounded_by_bytes(spark):
+    tune(spark)
+    wide = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 8000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    found = [r.size for r in wide.mapInArrow(sizes, "size long").collect()]
+    # One row may go beyond the bound.
+    assert sum(found) >= 4000 * 8000 and max(found) < 9 << 20
