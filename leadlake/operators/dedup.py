@@ -24,11 +24,12 @@ def dedup_urls(
 ) -> DataFrame:
     """First occurrence of each exact link within a job.
 
-    An aggregate instead of a window: copies of a hot link collapse before the shuffle.
+    An aggregate instead of a window: copies of a hot link collapse before the shuffle. Spark sorts rows to aggregate
+    texts; a hash of the keys goes first, so that it compares numbers and not long links that begin alike.
     """
     keys = [*by, url]
     rest = [c for c in cards.columns if c not in keys]
-    first = cards.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    first = cards.withColumn("_hash_first", F.xxhash64(*keys)).groupBy("_hash_first", *keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
     return first.select(*keys, "_first.*").select(*cards.columns)
 
 

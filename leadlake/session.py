@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
 # as large as what it reads compressed, so this bounds its memory as tables grow. Rows go to Python in batches up to the second size: a batch is
 # there several times at once (in the JVM, in the worker, as Python objects), and by rows alone it grows with the texts.
 DEFAULT_SETTINGS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+# Rows of one partition that ``spread`` makes.
+SPREAD_ROWS = 500_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -98,8 +100,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a small table to all cores ahead of heavy per-row work.
+    """Deal the rows of a table to all cores ahead of heavy per-row work.
 
-    Costs a shuffle; a large table has enough partitions of its own.
+    Costs a shuffle, and a count, which reads no columns. A large table gets more partitions than there are cores, so that tasks do not grow with it;
+    a stream is dealt to the cores.
     """
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores if table.isStreaming else max(cores, -(-table.count() // SPREAD_ROWS)))

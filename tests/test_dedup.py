@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,19 @@ def test_dedup_urls(spark):
     assert sorted(tuple(r) for r in dedup_urls(cards).collect()) == [("j", 1, "u", "a"), ("j", 3, "v", "c"), ("k", 1, "u", "d")]
 
 
+def test_first_cards_are_sorted_by_a_number_before_the_links(spark, capsys):
+    cards = spark.createDataFrame([("j", 2, "u", "b")], "job_id string, position int, url string, name string")
+    dedup_urls(cards).explain()
+    sorts = re.findall(r"Sort \[(\w+)#", capsys.readouterr().out)
+    assert sorts and set(sorts) == {"_hash_first"}
+
+
+def test_first_cards_keep_null_keys_apart(spark):
+    cards = spark.createDataFrame([(None, 2, "u", "b"), (None, 1, "u", "a"), ("j", 3, None, "c"), ("j", 1, None, "d"), (None, 5, None, "e")],
+                                  "job_id string, position int, url string, name string")
+    assert {tuple(r) for r in dedup_urls(cards).collect()} == {(None, 1, "u", "a"), ("j", 1, None, "d"), (None, 5, None, "e")}
+
+
 def test_long_chain_takes_one_step_per_block(spark, monkeypatch):
     from leadlake.operators import dedup
 

@@ -1,5 +1,6 @@
 import pyarrow as pa
 
+from leadlake import session
 from leadlake.session import tune
 
 SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -32,3 +33,9 @@ def test_rows_go_to_python_in_batches_bounded_by_bytes(spark):
     found = [r.size for r in wide.mapInArrow(sizes, "size long").collect()]
     # One row may go beyond the bound.
     assert sum(found) >= 4000 * 8000 and max(found) < 9 << 20
+
+
+def test_a_large_table_is_spread_over_more_partitions_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    assert session.spread(spark.range(1000)).rdd.getNumPartitions() == 10
+    assert session.spread(spark.range(100)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
