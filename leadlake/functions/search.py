@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +27,11 @@ def search_query_url(keyword: Column, city: Column, state: Column) -> Column:
 
 def classify_captcha(html: Column) -> Column:
     """True when the page carries a marker of a blocked request."""
-    def marked(low: Column) -> Column:
-        return functools.reduce(Column.__or__, [low.contains(marker) for marker in BLOCK_MARKERS])
-
-    # Bound to a name, the page is built and lower-cased once and not once per marker.
-    return F.coalesce(F.exists(F.array(F.lower(html)), marked), F.lit(False))
+    low = F.lower(html)
+    found = F.lit(False)
+    for marker in BLOCK_MARKERS:
+        found = found | low.contains(marker)
+    return F.coalesce(found, F.lit(False))
 
 
 def _short_sha1(text: Column) -> Column:
